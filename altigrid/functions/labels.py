@@ -82,9 +82,33 @@ def degree_tile_name(lat, lon) -> Column:
     return F.format_string(DEGREE_TILE_FORMAT, ns, F.abs(lat), ew, F.abs(lon))
 
 
+def fixed_digits(value, digits: int) -> Column:
+    """Fixed-digit text of the number's exact binary value, ties to even.
+
+    The built-in formatter rounds the shortest decimal form half up, so 249.845 (stored slightly
+    below) would become 249.85. Here the product with 10^digits is split into its rounded value and
+    its exact remainder, and the remainder settles ties.
+    """
+    v, unit = F.abs(as_col(value)), float(10**digits)
+    high = v * 134217729.0 - (v * 134217729.0 - v)  # upper half of the mantissa
+    prod = v * unit
+    rest = (high * unit - prod) + (v - high) * unit
+    low = F.floor(prod)
+    part = prod - low
+    even = F.when(low % 2 == 0, low).otherwise(low + 1)
+    tie = F.when(rest > 0, low + 1).when(rest < 0, low).otherwise(even)
+    n = F.when(part > 0.5, low + 1).when(part < 0.5, low).otherwise(tie)
+    text = F.concat(
+        F.when(as_col(value) < 0, "-").otherwise(""), F.floor(n / unit).cast("string"), F.lit("."),
+        F.lpad((n % int(unit)).cast("string"), digits, "0"),
+    )
+    plain = F.when(v.isNotNull(), F.format_string(f"%.{digits}f", as_col(value)))
+    return F.when(v < 1e12, text).otherwise(plain)
+
+
 def fmt(value, digits: int = 2) -> Column:
     """C20: fixed-digit text, a dash for missing."""
-    return F.coalesce(F.format_string(f"%.{digits}f", as_col(value)), F.lit(MISSING_MARK))
+    return F.coalesce(fixed_digits(value, digits), F.lit(MISSING_MARK))
 
 
 def order_of(c, names: list[str]) -> Column:
