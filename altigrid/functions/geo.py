@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import as_col, clip
@@ -69,74 +69,76 @@ def _false_northing(epsg: Column) -> Column:
     return F.when(epsg >= 32700, UTM_N0_SOUTH).otherwise(0.0)
 
 
-def lonlat_to_utm(lon, lat, epsg) -> Column:
-    """C9 forward: struct<x,y> in metres (Krueger series, third order)."""
-    epsg = as_col(epsg)
-    phi, lam = F.radians(as_col(lat)), F.radians(as_col(lon)) - _central_meridian(epsg)
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - _CONFORMAL * F.atanh(_CONFORMAL * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1.0 + t * t))
+def add_utm(df: DataFrame, lon: str, lat: str, epsg: str, x: str = "x", y: str = "y") -> DataFrame:
+    """C9 forward: adds ``x, y`` in metres (Krueger series, third order).
+
+    The series is laid out as a chain of columns, so that shared terms are computed once.
+    """
+    d = df.withColumn("_lam", F.radians(lon) - _central_meridian(F.col(epsg))).withColumn("_s", F.sin(F.radians(lat)))
+    d = d.withColumn("_t", F.sinh(F.atanh("_s") - _CONFORMAL * F.atanh(_CONFORMAL * F.col("_s"))))
+    t = F.col("_t")
+    d = d.withColumn("_xi", F.atan2(t, F.cos("_lam"))).withColumn("_eta", F.atanh(F.sin("_lam") / F.sqrt(1.0 + t * t)))
+    xi, eta = F.col("_xi"), F.col("_eta")
     east, north = eta, xi
     for j, a in enumerate(ALPHA, 1):
         east = east + a * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
         north = north + a * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
     scale = UTM_K0 * _RECTIFYING
-    return F.struct((UTM_E0 + scale * east).alias("x"), (_false_northing(epsg) + scale * north).alias("y"))
+    d = d.withColumn(x, UTM_E0 + scale * east).withColumn(y, _false_northing(F.col(epsg)) + scale * north)
+    return d.drop("_lam", "_s", "_t", "_xi", "_eta")
 
 
-def utm_to_lonlat(x, y, epsg) -> Column:
-    """C9 inverse: struct<lon,lat> in degrees."""
-    epsg = as_col(epsg)
+def add_lonlat(df: DataFrame, x: str, y: str, epsg: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """C9 inverse: adds ``lon, lat`` in degrees."""
     scale = UTM_K0 * _RECTIFYING
-    xi = (as_col(y) - _false_northing(epsg)) / scale
-    eta = (as_col(x) - UTM_E0) / scale
+    d = df.withColumn("_xi", (F.col(y) - _false_northing(F.col(epsg))) / scale).withColumn("_eta", (F.col(x) - UTM_E0) / scale)
+    xi, eta = F.col("_xi"), F.col("_eta")
     xi1, eta1 = xi, eta
     for j, b in enumerate(BETA, 1):
         xi1 = xi1 - b * F.sin(2.0 * j * xi) * F.cosh(2.0 * j * eta)
         eta1 = eta1 - b * F.cos(2.0 * j * xi) * F.sinh(2.0 * j * eta)
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    lat = chi
-    for j, d in enumerate(DELTA, 1):
-        lat = lat + d * F.sin(2.0 * j * chi)
-    lon = _central_meridian(epsg) + F.atan2(F.sinh(eta1), F.cos(xi1))
-    return F.struct(F.degrees(lon).alias("lon"), F.degrees(lat).alias("lat"))
-
-
-def center_lonlat(t: Column, epsg, h, w) -> Column:
-    """Grid centre in degrees; ``epsg`` 4326 means the grid is already in degrees."""
-    mid = pixel_to_world(t, as_col(w) / 2.0, as_col(h) / 2.0)
-    inv = utm_to_lonlat(mid["x"], mid["y"], epsg)
-    deg = as_col(epsg) == 4326
-    return F.struct(
-        F.when(deg, mid["x"]).otherwise(inv["lon"]).alias("lon"),
-        F.when(deg, mid["y"]).otherwise(inv["lat"]).alias("lat"),
-    )
-
-
-def ground_pixel_sides(t: Column, epsg, w, h) -> Column:
-    """(east-west, north-south) ground size of the centre pixel in metres."""
-    epsg, cx, cy = as_col(epsg), as_col(w) / 2.0, as_col(h) / 2.0
-    mid = pixel_to_world(t, cx, cy)
-    zone = utm_epsg(mid["x"], mid["y"])
-    p = [pixel_to_world(t, x, y) for x, y in ((cx, cy), (cx + 1.0, cy), (cx, cy + 1.0))]
-    u = [lonlat_to_utm(q["x"], q["y"], zone) for q in p]
-    dx = F.hypot(u[1]["x"] - u[0]["x"], u[1]["y"] - u[0]["y"])
-    dy = F.hypot(u[2]["x"] - u[0]["x"], u[2]["y"] - u[0]["y"])
-    deg = epsg == 4326
-    return F.struct(
-        F.when(deg, dx).otherwise(F.abs(t["a"])).alias("dx"), F.when(deg, dy).otherwise(F.abs(t["e"])).alias("dy")
-    )
-
-
-def ground_pixel_size(sides: Column) -> Column:
-    """Finer side in metres."""
-    return F.least(sides["dx"], sides["dy"])
-
-
-def dem_resolution(sides: Column) -> Column:
-    """Geometric mean of the two sides: the isotropic resolution of an elevation model."""
-    return F.sqrt(sides["dx"] * sides["dy"])
+    d = d.withColumn("_xi1", xi1).withColumn("_eta1", eta1)
+    d = d.withColumn("_chi", F.asin(F.sin("_xi1") / F.cosh("_eta1")))
+    chi = F.col("_chi")
+    phi = chi
+    for j, c in enumerate(DELTA, 1):
+        phi = phi + c * F.sin(2.0 * j * chi)
+    lam = _central_meridian(F.col(epsg)) + F.atan2(F.sinh("_eta1"), F.cos("_xi1"))
+    d = d.withColumn(lon, F.degrees(lam)).withColumn(lat, F.degrees(phi))
+    return d.drop("_xi", "_eta", "_xi1", "_eta1", "_chi")
+
+
+def add_center(df: DataFrame, t: str, epsg: str, h: str, w: str) -> DataFrame:
+    """Adds the grid centre ``mid_lon, mid_lat``; ``epsg`` 4326 means the grid is in degrees."""
+    mid = pixel_to_world(F.col(t), F.col(w) / 2.0, F.col(h) / 2.0)
+    d = df.withColumn("_mx", mid["x"]).withColumn("_my", mid["y"])
+    d = add_lonlat(d, "_mx", "_my", epsg, "_mlon", "_mlat")
+    deg = F.col(epsg) == 4326
+    d = d.withColumn("mid_lon", F.when(deg, F.col("_mx")).otherwise(F.col("_mlon")))
+    d = d.withColumn("mid_lat", F.when(deg, F.col("_my")).otherwise(F.col("_mlat")))
+    return d.drop("_mx", "_my", "_mlon", "_mlat")
+
+
+def add_ground_sides(df: DataFrame, t: str, epsg: str, h: str, w: str) -> DataFrame:
+    """Adds ``dx, dy``, the east-west and north-south ground size of the centre pixel, and
+    ``pixel_m`` (the finer side) and ``res_m`` (their geometric mean)."""
+    cx, cy = F.col(w) / 2.0, F.col(h) / 2.0
+    d = df
+    for i, (px, py) in enumerate(((cx, cy), (cx + 1.0, cy), (cx, cy + 1.0))):
+        p = pixel_to_world(F.col(t), px, py)
+        d = d.withColumn(f"_lon{i}", p["x"]).withColumn(f"_lat{i}", p["y"])
+    d = d.withColumn("_gz", utm_epsg("_lon0", "_lat0"))
+    for i in range(3):
+        d = add_utm(d, f"_lon{i}", f"_lat{i}", "_gz", f"_x{i}", f"_y{i}")
+    deg = F.col(epsg) == 4326
+
+    def side(i: int, own: str) -> Column:
+        far = F.hypot(F.col(f"_x{i}") - F.col("_x0"), F.col(f"_y{i}") - F.col("_y0"))
+        return F.when(deg, far).otherwise(F.abs(F.col(t)[own]))
+
+    d = d.withColumn("dx", side(1, "a")).withColumn("dy", side(2, "e"))
+    d = d.withColumn("pixel_m", F.least("dx", "dy")).withColumn("res_m", F.sqrt(F.col("dx") * F.col("dy")))
+    return d.drop("_gz", *[f"_{n}{i}" for n in ("lon", "lat", "x", "y") for i in range(3)])
 
 
 def bounds(t: Column, h, w) -> Column:

@@ -4,40 +4,57 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altigrid.model import KEY, attach, scene_extent
-from altigrid.operators.neighbourhood import along_col, along_row, reflected
+from altigrid.model import KEY, attach, finite, scene_extent
+from altigrid.operators.neighbourhood import blocked
 from altigrid.operators.resample import area_resize, bilinear_resize
 
 DIRECT_SIGMA = 4.0  # fixed value: wider blurs work on an area-reduced grid
 REACH = 4.0  # kernel radius in sigmas
 
 
-def _taps(v: str, w, weights: list[Column]) -> Column:
-    """Weighted sum of a cell and its neighbours along one axis; a used missing value poisons."""
-    total = weights[0] * F.col(v)
-    for k in range(1, len(weights)):
-        pair = F.lag(v, k).over(w) + F.lead(v, k).over(w)
-        total = total + F.when(weights[k] > 0, weights[k] * pair).otherwise(0.0)
-    return total
-
-
-def _blur(cells: DataFrame, radius: int, weights: list[Column], carry: list[str]) -> DataFrame:
-    """Both passes inside one block shuffle: rows first (halo rows included), then columns.
-
-    Only core cells are kept, and every tap of a core cell lies inside its block's halo.
+def _blur_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Separable blur of one block with its halo; the border is mirrored only at true grid edges."""
+    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    top, left = row.min(), col.min()
+    grid = np.full((row.max() - top + 1, col.max() - left + 1), np.nan)
+    grid[row - top, col - left] = pdf["v"].to_numpy(dtype=float)
+    h, w, sigma = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0]), float(pdf["sigma"].iloc[0])
+    radius = math.ceil(REACH * sigma)
+    kernel = np.exp(-np.arange(-radius, radius + 1) ** 2 / (2.0 * sigma * sigma))
+    kernel /= kernel.sum()
+    pad = [
+        (radius if top == 0 else 0, radius if row.max() == h - 1 else 0),
+        (radius if left == 0 else 0, radius if col.max() == w - 1 else 0),
+    ]
+    out = np.pad(grid, pad, mode="symmetric")
+    n = out.shape[1] - 2 * radius
+    out = sum(k * out[:, i : i + n] for i, k in enumerate(kernel))
+    n = out.shape[0] - 2 * radius
+    out = sum(k * out[i : i + n] for i, k in enumerate(kernel))
+    core = pdf["core"].to_numpy()
+    r, c = row[core], col[core]
+    v = out[r - top + pad[0][0] - radius, c - left + pad[1][0] - radius]
+    return pd.DataFrame({"scene": pdf["scene"].iloc[0], "row": r, "col": c, "v": v})
+
+
+def _blur(cells: DataFrame, extent: DataFrame, radius: int) -> DataFrame:
+    """Blur every block in one task; ``extent``: scene, h, w, sigma (radius is the widest reach).
+
+    A group is one block and its halo, at most (block + 2 radius)^2 cells whatever the scene size.
     """
-    b = reflected(cells.select(*KEY, "v", *carry), radius)
-    b = b.withColumn("v", _taps("v", along_row(), weights))
-    b = b.withColumn("v", _taps("v", along_col(), weights))
-    return b.where("core").select(*KEY, "v")
+    b = blocked(attach(cells.select(*KEY, "v"), extent), radius, radius)
+    out = b.groupBy("scene", "br", "bc").applyInPandas(_blur_block, "scene bigint, row int, col int, v double")
+    return out.withColumn("v", finite("v"))
 
 
-def gaussian(cells: DataFrame, sigma: float | str, max_sigma: float | None = None) -> DataFrame:
+def gaussian(cells: DataFrame, sigma: float | str) -> DataFrame:
     """blur with a reflected border (edge cell repeated), weights exp(-k^2 / 2 sigma^2) for
-    |k| <= ceil(4 sigma), normalised.
+    |k| <= ceil(4 sigma), normalised; a missing cell makes every cell in reach missing.
 
     ``sigma`` in cells is a number, or a per-scene column of ``cells``. Above 4 cells the grid is
     area-reduced by ``floor(sigma / 4)``, blurred by what is left and enlarged bilinearly; the area
@@ -46,21 +63,16 @@ def gaussian(cells: DataFrame, sigma: float | str, max_sigma: float | None = Non
     if isinstance(sigma, str):
         return _gaussian_by_scene(cells, sigma)
     sigma = float(sigma)
-    if sigma <= DIRECT_SIGMA:
-        return _blur(cells, *_fixed_kernel(sigma), [])
-    f = int(sigma // DIRECT_SIGMA)
-    rest = math.sqrt(max(sigma**2 - f**2 / 12.0, 0.0)) / f
-    dims = _reduced(scene_extent(cells), F.lit(f))
-    small = cells if f == 1 else area_resize(cells, dims).select(*KEY, "v")
-    blurred = _blur(small, *_fixed_kernel(rest), [])
-    return blurred if f == 1 else bilinear_resize(blurred, dims)
-
-
-def _fixed_kernel(sigma: float) -> tuple[int, list[Column]]:
-    radius = math.ceil(REACH * sigma)
-    half = [math.exp(-k * k / (2.0 * sigma * sigma)) for k in range(radius + 1)]
-    norm = half[0] + 2.0 * sum(half[1:])
-    return radius, [F.lit(x / norm) for x in half]
+    ext = scene_extent(cells)
+    f = int(sigma // DIRECT_SIGMA) if sigma > DIRECT_SIGMA else 1
+    rest = math.sqrt(max(sigma**2 - f**2 / 12.0, 0.0)) / f if sigma > DIRECT_SIGMA else sigma
+    radius = math.ceil(REACH * rest)
+    if f == 1:
+        return _blur(cells, ext.withColumn("sigma", F.lit(rest)), radius)
+    dims = _reduced(ext, F.lit(f))
+    small = area_resize(cells, dims).select(*KEY, "v")
+    part = dims.select("scene", F.col("h2").alias("h"), F.col("w2").alias("w"), F.lit(rest).alias("sigma"))
+    return bilinear_resize(_blur(small, part, radius), dims)
 
 
 def _reduced(extent: DataFrame, f: Column) -> DataFrame:
@@ -76,19 +88,10 @@ def _gaussian_by_scene(cells: DataFrame, sigma: str) -> DataFrame:
     rest = F.when(s > DIRECT_SIGMA, F.sqrt(F.greatest(s * s - f * f / 12.0, F.lit(0.0))) / f).otherwise(s)
     ext = cells.groupBy("scene").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"), F.max(sigma).alias(sigma))
     dims = _reduced(ext, f).withColumn("_rest", rest)
-    radius = math.ceil(REACH * 2 * DIRECT_SIGMA)
-    r = F.col("_rest")
-    half = F.transform(
-        F.sequence(F.lit(0), F.lit(radius)),
-        lambda k: F.when(F.ceil(REACH * r) >= k, F.exp(-(k * k) / (2.0 * r * r))).otherwise(0.0),
-    )
-    dims = dims.withColumn("_half", half)
-    norm = F.aggregate("_half", -F.element_at("_half", 1), lambda acc, x: acc + 2.0 * x)
-    dims = dims.withColumn("_kernel", F.transform("_half", lambda x: x / norm))
+    part = dims.select("scene", F.col("h2").alias("h"), F.col("w2").alias("w"), F.col("_rest").alias("sigma"))
     small = area_resize(cells, dims.select("scene", "h", "w", "h2", "w2")).select(*KEY, "v")
-    small = attach(small, dims.select("scene", "_kernel"))
-    weights = [F.col("_kernel")[k] for k in range(radius + 1)]
-    return bilinear_resize(_blur(small, radius, weights, ["_kernel"]), dims.select("scene", "h", "w", "h2", "w2"))
+    blurred = _blur(small, part, math.ceil(REACH * 2 * DIRECT_SIGMA))
+    return bilinear_resize(blurred, dims.select("scene", "h", "w", "h2", "w2"))
 
 
 def band_split(cells: DataFrame, scenes: DataFrame, k: float, sigma: float | None = None) -> DataFrame:

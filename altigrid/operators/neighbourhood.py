@@ -15,52 +15,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import as_col
-from altigrid.model import KEY, attach, scene_extent
+from altigrid.model import KEY
 
 BLOCK = 256
 
 
-def _covering(pos: Column, before: int, after: int, block: int, length: Column | None) -> Column:
+def _covering(pos: Column, before: int, after: int, block: int) -> Column:
     """Blocks whose halo (``before`` cells ahead of the core, ``after`` behind) covers ``pos``."""
     lo = F.greatest(F.floor((pos - after) / block), F.lit(0))
     hi = F.floor((pos + before) / block)
-    if length is not None:
-        hi = F.least(hi, F.floor((length - 1) / block))
-    return F.when(hi >= lo, F.sequence(lo.cast("int"), hi.cast("int")))
-
-
-def _mirrored(pos: Column, length: Column, radius: int) -> Column:
-    """Positions in ``[-radius, length + radius)`` at which a reflected border repeats ``pos``."""
-    period = 2 * length
-    turns = F.sequence(-F.floor(F.lit(radius) / period) - 1, F.floor(F.lit(radius) / period) + 1)
-    copies = F.flatten(F.transform(turns, lambda k: F.array(pos + period * k, period * k - 1 - pos)))
-    near = (pos < radius) | (pos >= length - radius)
-    kept = F.filter(copies, lambda p: (p >= -radius) & (p < length + radius))
-    return F.when(near, kept).otherwise(F.array(pos.cast("bigint")))
+    return F.sequence(lo.cast("int"), hi.cast("int"))
 
 
 def blocked(cells: DataFrame, before: int, after: int, block: int = BLOCK) -> DataFrame:
     """Cells under each block that needs them: adds ``br, bc, core``; hash-partitioned by block."""
-    out = cells.withColumn("br", F.explode(_covering(F.col("row"), before, after, block, None)))
-    out = out.withColumn("bc", F.explode(_covering(F.col("col"), before, after, block, None)))
+    out = cells.withColumn("br", F.explode(_covering(F.col("row"), before, after, block)))
+    out = out.withColumn("bc", F.explode(_covering(F.col("col"), before, after, block)))
     core = (F.floor(F.col("row") / block) == F.col("br")) & (F.floor(F.col("col") / block) == F.col("bc"))
     return out.withColumn("core", core).repartition("scene", "br", "bc")
 
 
-def reflected(cells: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """Like :func:`blocked` with a reflected border (edge cell repeated) around every scene."""
-    x = attach(cells, scene_extent(cells))
-    h, w = F.col("h"), F.col("w")
-    x = x.withColumn("_r", F.explode(_mirrored(F.col("row"), h, radius)))
-    x = x.withColumn("_c", F.explode(_mirrored(F.col("col"), w, radius)))
-    x = x.withColumn("row", F.col("_r").cast("int")).withColumn("col", F.col("_c").cast("int")).drop("_r", "_c")
-    x = x.withColumn("br", F.explode(_covering(F.col("row"), radius, radius, block, h)))
-    x = x.withColumn("bc", F.explode(_covering(F.col("col"), radius, radius, block, w)))
-    inside = F.col("row").between(0, h - 1) & F.col("col").between(0, w - 1)
-    home = (F.floor(F.col("row") / block) == F.col("br")) & (F.floor(F.col("col") / block) == F.col("bc"))
-    return x.withColumn("core", inside & home).drop("h", "w").repartition("scene", "br", "bc")
-
-
 def along_row() -> Window:
     return Window.partitionBy("scene", "br", "bc", "row").orderBy("col")
 

@@ -230,9 +230,8 @@ def reproject_to_utm(cells: DataFrame, scenes: DataFrame, edge_points: int = 21)
     """
     deg = geo.is_georeferenced("crs", F.col("t")) & (F.col("epsg") == 4326)
     flat, keep = scenes.where(deg), scenes.where(~F.coalesce(deg, F.lit(False)))
-    mid = geo.center_lonlat(F.col("t"), F.col("epsg"), F.col("h"), F.col("w"))
-    plan = flat.withColumn("_zone", geo.utm_epsg(mid["lon"], mid["lat"]))
-    plan = plan.withColumn("_res", geo.ground_pixel_size(geo.ground_pixel_sides(F.col("t"), F.col("epsg"), F.col("w"), F.col("h"))))
+    plan = geo.add_center(flat, "t", "epsg", "h", "w").withColumn("_zone", geo.utm_epsg("mid_lon", "mid_lat"))
+    plan = geo.add_ground_sides(plan, "t", "epsg", "h", "w").withColumnRenamed("pixel_m", "_res")
     # outline of the grid in the target zone
     k = F.explode(F.sequence(F.lit(0), F.lit(edge_points - 1)))
     edge = plan.withColumn("_k", k).withColumn("_f", F.col("_k") / (edge_points - 1))
@@ -241,9 +240,9 @@ def reproject_to_utm(cells: DataFrame, scenes: DataFrame, edge_points: int = 21)
         (w * f, F.lit(0.0)), (w * f, h * 1.0), (F.lit(0.0), h * f), (w * 1.0, h * f))]))
     edge = edge.withColumn("_e", sides)
     ll = geo.pixel_to_world(F.col("t"), F.col("_e.x"), F.col("_e.y"))
-    edge = edge.withColumn("_u", geo.lonlat_to_utm(ll["x"], ll["y"], F.col("_zone")))
-    box = edge.groupBy("scene").agg(
-        F.min("_u.x").alias("_l"), F.max("_u.x").alias("_r"), F.min("_u.y").alias("_b"), F.max("_u.y").alias("_t")
+    edge = edge.withColumn("_lon", ll["x"]).withColumn("_lat", ll["y"]).select("scene", "_zone", "_lon", "_lat")
+    box = geo.add_utm(edge, "_lon", "_lat", "_zone", "_ux", "_uy").groupBy("scene").agg(
+        F.min("_ux").alias("_l"), F.max("_ux").alias("_r"), F.min("_uy").alias("_b"), F.max("_uy").alias("_t")
     )
     out = plan.join(box, "scene")
     zero = F.lit(0.0)
@@ -258,10 +257,10 @@ def reproject_to_utm(cells: DataFrame, scenes: DataFrame, edge_points: int = 21)
     )
     tgt = grid_frame(out)
     world = geo.pixel_to_world(F.col("t"), F.col("col") + 0.5, F.col("row") + 0.5)
-    back = geo.utm_to_lonlat(world["x"], world["y"], F.col("epsg"))
-    p = tgt.select(*KEY, "_src", back.alias("_g"))
-    p = p.select(*KEY, geo.world_to_pixel(F.col("_src"), F.col("_g.lon"), F.col("_g.lat")).alias("_p"))
-    p = p.select(*KEY, (F.col("_p.row") - 0.5).alias("_y"), (F.col("_p.col") - 0.5).alias("_x"))
+    p = tgt.select(*KEY, "_src", "epsg", world["x"].alias("_wx"), world["y"].alias("_wy"))
+    p = geo.add_lonlat(p, "_wx", "_wy", "epsg", "_lon", "_lat")
+    at = geo.world_to_pixel(F.col("_src"), "_lon", "_lat")
+    p = p.select(*KEY, (at["row"] - 0.5).alias("_y"), (at["col"] - 0.5).alias("_x"))
     vals = bilinear_at(cells, p, "_y", "_x", "v")
     near = vals.withColumn("_yn", F.floor(F.col("_y") + 0.5).cast("int")).withColumn("_xn", F.floor(F.col("_x") + 0.5).cast("int"))
     src = cells.select("scene", F.col("row").alias("_yn"), F.col("col").alias("_xn"), F.col("v").isNotNull().alias("valid"))

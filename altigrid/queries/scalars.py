@@ -218,12 +218,9 @@ def _krueger_sql(src: str, lon="lon", lat="lat", out="utm") -> str:
 SELECT site, epsg, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(lon, 6) + 0.0 AS lon_back, round(lat, 6) + 0.0 AS lat_back FROM utm""")
 def c09(spark, d):
     s = sites(spark, d).withColumn("epsg", geo.utm_epsg("lon", "lat"))
-    s = s.withColumn("p", geo.lonlat_to_utm("lon", "lat", "epsg"))
-    s = s.withColumn("b", geo.utm_to_lonlat("p.x", "p.y", "epsg"))
-    return s.select(
-        "site", "epsg", rounded("p.x", 4).alias("x"), rounded("p.y", 4).alias("y"),
-        rounded("b.lon").alias("lon_back"), rounded("b.lat").alias("lat_back"),
-    )
+    s = geo.add_utm(s.select("site", "lon", "lat", "epsg"), "lon", "lat", "epsg")
+    s = geo.add_lonlat(s, "x", "y", "epsg", "lon_back", "lat_back")
+    return r6(r6(s.drop("lon", "lat"), ["x", "y"], 4), ["lon_back", "lat_back"])
 
 
 @query("c10_ground_pixel_size", fx.with_sql(SITES, f"z AS (SELECT *, {ZONE} AS epsg FROM sites)",
@@ -238,11 +235,9 @@ def c10(spark, d):
         F.lit(0.01).alias("a"), F.lit(0.0).alias("b"), (F.col("lon") - 0.5).alias("c"),
         F.lit(0.0).alias("d"), F.lit(-0.01).alias("e"), (F.col("lat") + 0.4).alias("f"),
     )
-    s = sites(spark, d).select("site", geo.ground_pixel_sides(t, F.lit(4326), F.lit(100), F.lit(80)).alias("g"))
-    return s.select(
-        "site", rounded("g.dx", 4).alias("dx"), rounded("g.dy", 4).alias("dy"),
-        rounded(geo.ground_pixel_size(F.col("g")), 4).alias("pixel_m"), rounded(geo.dem_resolution(F.col("g")), 4).alias("res_m"),
-    )
+    s = sites(spark, d).select("site", t.alias("t"), F.lit(4326).alias("epsg"), F.lit(80).alias("h"), F.lit(100).alias("w"))
+    s = geo.add_ground_sides(s, "t", "epsg", "h", "w")
+    return r6(s.select("site", "dx", "dy", "pixel_m", "res_m"), ["dx", "dy", "pixel_m", "res_m"], 4)
 
 
 PATHS = """paths AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '/data/CartoDEM/x' WHEN 1 THEN '/d/copernicus/y' WHEN 2 THEN '/d/nasadem_srtm/z'
