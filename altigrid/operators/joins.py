@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from altigrid.functions import geo
 from altigrid.functions.numbers import as_col
 from altigrid.model import KEY, attach, finite
 
@@ -88,6 +89,26 @@ def join_footprints(items: DataFrame, sites: DataFrame, cell_deg: float = 1.0) -
     return both.where(meet & first).drop("_gx", "_gy")
 
 
+def site_squares(sites: DataFrame, size_px: int, res: float, origin_x: float, origin_y: float) -> DataFrame:
+    """Square of ``size_px`` cells around each site, snapped to the source pixel grid.
+
+    ``sites``: lon, lat, epsg. Adds the corner ``left_x, top_y`` in metres and the degree box
+    ``west, south, east, north`` of the four corners.
+    """
+    half = size_px / 2.0 * res
+    d = geo.add_utm(sites, "lon", "lat", "epsg", "_x", "_y")
+    d = d.withColumn("left_x", origin_x + F.rint((F.col("_x") - half - origin_x) / res) * res)
+    d = d.withColumn("top_y", origin_y + F.rint((F.col("_y") + half - origin_y) / res) * res).drop("_x", "_y")
+    side = size_px * res
+    for i, (dx, dy) in enumerate(((0, 0), (side, 0), (side, -side), (0, -side))):
+        d = d.withColumn("_px", F.col("left_x") + dx).withColumn("_py", F.col("top_y") + dy)
+        d = geo.add_lonlat(d, "_px", "_py", "epsg", f"_lon{i}", f"_lat{i}")
+    lons, lats = [f"_lon{i}" for i in range(4)], [f"_lat{i}" for i in range(4)]
+    d = d.withColumn("west", F.least(*lons)).withColumn("east", F.greatest(*lons))
+    d = d.withColumn("south", F.least(*lats)).withColumn("north", F.greatest(*lats))
+    return d.drop("_px", "_py", *lons, *lats)
+
+
 def latest_year(items: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     """Items of the most recent year of their site.
 
