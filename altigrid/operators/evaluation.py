@@ -247,6 +247,7 @@ def rank_sweep(scores: DataFrame, current: dict, top: int = 10) -> DataFrame:
     """
     keys = ["mode", "band_sigma_k", "band_coarse_cells", "band_min_r", "dem_relief_std_m", "prior_height_m"]
     by = ["setting", *keys]
+    scores = cut(scores)  # read four times below
     obj = balanced_objective(scores, by)
     nd = balanced_objective(scores, by, "rmse_objects").withColumnRenamed("objective", "ndsm_objective").select("setting", "ndsm_objective")
     # one source per scene and setting

@@ -104,8 +104,8 @@ def list_results(spark: SparkSession, root: str) -> DataFrame:
 
 def validate_meta(df: DataFrame, json_col: str) -> DataFrame:
     """Adds ``meta`` (units default to ``relative``) and ``error``, NULL when valid."""
-    m = F.from_json(json_col, META_SCHEMA)
-    x = df.withColumn("meta", m)
+    is_object = F.coalesce(F.get_json_object(json_col, "$").startswith("{"), F.lit(False))
+    x = df.withColumn("meta", F.when(is_object, F.from_json(json_col, META_SCHEMA)))
     f = {n: F.col(f"meta.{n}") for n in ("width", "height", "pixel_size_m", "min_h", "max_h", "units")}
 
     def bad_side(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altigrid.model import CONTRACT_VERSION, KEY, NODATA, finite
@@ -85,11 +85,15 @@ def run_record(summary: DataFrame, run_id: str, extra: dict[str, str] | None = N
 
     The summary has a handful of landscapes and methods, whatever the number of tiles.
     """
+
+    def keyed(key: str, value) -> Column:
+        entries = F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))
+        by_key = F.array_sort(entries, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
+        return F.map_from_entries(by_key)
+
     values = F.struct(*[c for c in summary.columns if c not in ("landscape", "method")])
-    methods = summary.groupBy("landscape").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", values.alias("m"))))).alias("m")
-    )
-    record = methods.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("landscape", "m")))).alias("summary"))
+    methods = summary.groupBy("landscape").agg(keyed("method", values).alias("m"))
+    record = methods.agg(keyed("landscape", F.col("m")).alias("summary"))
     return record.select(F.lit(run_id).alias("run_id"), *[F.lit(v).alias(k) for k, v in (extra or {}).items()], "summary")
 
 
