@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,7 +117,13 @@ def cut(df: DataFrame) -> DataFrame:
     Used before iterative fits: the rounds then re-read a small stored table, and a lost executor
     costs one task instead of the whole chain.
     """
+    return cut_measured(df, F.count(F.lit(1)).alias("rows"))[0]
+
+
+def cut_measured(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut` that also returns aggregates of the rows, observed while they are written."""
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, *measures).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import pearson
-from altigrid.model import attach, finite
+from altigrid.model import attach, cut, cut_measured, finite
 from altigrid.operators.joins import valid_pairs
-from altigrid.operators.ranks import quantiles
+from altigrid.operators.ranks import IN_MEMORY_ROWS, quantiles
 
 NMAD_K = 1.4826  # fixed value: makes NMAD equal the standard deviation of normal errors
 FLOOR = 1e-6
@@ -28,8 +28,17 @@ def _errors(df: DataFrame, pred: str, ref: str, by: list[str], mask: Column | No
     return df.where(keep).select(*by, p.alias("_p"), r.alias("_r"), (p - r).alias("_e"))
 
 
-def _join(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
-    return left.join(right, by, how) if by else left.crossJoin(right)
+def row_count() -> Column:
+    return F.count(F.lit(1)).alias("rows")
+
+
+def median_and_mad(e: DataFrame, value: str, by: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Median (``_med``) and median distance from it (``_mad``) of a stored table's column."""
+    med = quantiles(e, by, {"_med": (value, 0.5)}, known_rows=rows)
+    if rows > IN_MEMORY_ROWS:
+        med = cut(med)
+    dev = attach(e.select(*by, value), med, by, [value]).select(*by, F.abs(F.col(value) - F.col("_med")).alias("_d"))
+    return med, quantiles(dev, by, {"_mad": ("_d", 0.5)}, known_rows=rows)
 
 
 def dsm_metrics(
@@ -40,9 +49,10 @@ def dsm_metrics(
     Groups with fewer than two valid pairs keep only ``n_pixels``. The offset-free RMSE follows from
     the variance and the distance of mean and median, so it needs no pass of its own.
     """
-    e = _errors(df, pred, ref, by, mask)
     if not by:
         return dsm_metrics(df.withColumn("_all", F.lit(1)), pred, ref, ["_all"], mask).drop("_all")
+    # read by three passes; the joins behind it run once
+    e, seen = cut_measured(_errors(df, pred, ref, by, mask), row_count())
     sums = e.groupBy(*by).agg(
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.avg(F.abs("_e")).alias("mae"),
@@ -51,9 +61,7 @@ def dsm_metrics(
         F.var_pop("_e").alias("_var"),
         F.count(F.lit(1)).alias("n_pixels"),
     )
-    med = quantiles(e, by, {"_med": ("_e", 0.5)})
-    dev = attach(e.select(*by, "_e"), med, by, ["_e"]).select(*by, F.abs(F.col("_e") - F.col("_med")).alias("_d"))
-    mad = quantiles(dev, by, {"_mad": ("_d", 0.5)})
+    med, mad = median_and_mad(e, "_e", by, seen["rows"])
     out = sums.join(med, by, "left").join(mad, by, "left")
     free = F.sqrt(F.col("_var") + F.pow(F.col("bias") - F.col("_med"), 2))
     cols = {
@@ -108,8 +116,8 @@ def affine_fit(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
 
 def relative_metrics(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
     """E1 after the best least-squares scale and shift of the prediction."""
-    fit = affine_fit(df, pred, ref, by)
-    pairs = valid_pairs(df, pred, ref).select(*by, pred, ref)
+    pairs = cut(valid_pairs(df, pred, ref).select(*by, pred, ref))
+    fit = cut(affine_fit(pairs, pred, ref, by))
     aligned = attach(pairs, fit, by, [pred, ref]).withColumn(
         "_aligned", F.col("align_a") * F.col(pred) + F.col("align_b")
     )
@@ -144,16 +152,15 @@ def datum_check(three: DataFrame, by: list[str]) -> DataFrame:
     x = three.select(
         *by, "a", "b", "n", (F.col("a") - F.col("b")).alias("_d"), (F.col("a") - F.col("n") - F.col("b")).alias("_left")
     )
+    x, seen = cut_measured(x, row_count())
     sums = x.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cells"), pearson("a", "b").alias("pearson_r"),
         F.min("n").alias("geoid_min"), F.max("n").alias("geoid_max"),
     )
-    med = quantiles(x, by, {"diff_median": ("_d", 0.5), "geoid_median": ("n", 0.5), "corrected_median": ("_left", 0.5)})
-    dev = attach(x.select(*by, "_d"), med.select(*by, "diff_median"), by, ["_d"]).select(
-        *by, F.abs(F.col("_d") - F.col("diff_median")).alias("_dev")
-    )
-    mad = quantiles(dev, by, {"_mad": ("_dev", 0.5)})
-    return sums.join(med, by).join(mad, by).withColumn("diff_nmad", NMAD_K * F.col("_mad")).drop("_mad")
+    med, mad = median_and_mad(x, "_d", by, seen["rows"])
+    rest = quantiles(x, by, {"geoid_median": ("n", 0.5), "corrected_median": ("_left", 0.5)}, known_rows=seen["rows"])
+    out = sums.join(med.withColumnRenamed("_med", "diff_median"), by).join(rest, by).join(mad, by)
+    return out.withColumn("diff_nmad", NMAD_K * F.col("_mad")).drop("_mad")
 
 
 def ssi_l1(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
@@ -162,8 +169,8 @@ def ssi_l1(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
     For an even count the *lower* of the two middle values is the median, as in the reference
     normalisation.
     """
-    e = _errors(df, pred, ref, by, None)
-    med = lower_medians(e, by, {"_mp": "_p", "_mr": "_r"})
+    e = cut(_errors(df, pred, ref, by, None))
+    med = cut(lower_medians(e, by, {"_mp": "_p", "_mr": "_r"}))
     centred = attach(e, med, by, ["_p", "_r"]).select(
         *by, (F.col("_p") - F.col("_mp")).alias("_cp"), (F.col("_r") - F.col("_mr")).alias("_cr")
     )

@@ -1,10 +1,10 @@
 """Exact grouped ranks and quantiles that never gather a group in one task.
 
-Every value is put in an order-preserving bucket (its binary exponent and the leading bits of its
-mantissa). Bucket counts are tiny and combine map-side; their running sum says which bucket holds a
-wanted rank and how many values lie below it. Only inside a bucket are values sorted, and a bucket
-is a few ten-thousandths of its group. Equal values are collapsed to one row with a count before
-anything is sorted, so a constant group is one row.
+Every value belongs to an order-preserving bucket (its binary exponent and the leading bits of its
+mantissa). Bucket counts are tiny and combine before the shuffle; their running sum says which
+bucket holds a wanted rank and how many values lie below it. Only the values of those buckets are
+sorted. Buckets that are still large are divided again, until what is left to sort is small or a
+single value. Nothing is sampled and no value is dropped: the result is the exact order statistic.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import as_col
-from altigrid.model import finite
+from altigrid.model import cut_measured, finite
 
-MANTISSA_STEPS = 4096.0
+MANTISSA_STEPS = 128.0
 EXPONENT_BIAS = 1100
+SPLIT = 4096
+SORT_ROWS = 4_000_000  # a larger bucket is divided before it is sorted
+IN_MEMORY_ROWS = 2_000_000  # inputs known to be smaller use the built-in exact percentile
+MAX_SPLITS = 3
 
 
 def order_code(v: Column) -> Column:
@@ -35,114 +39,112 @@ def order_code(v: Column) -> Column:
     return F.coalesce(signed, F.lit(0).cast("bigint"))
 
 
-def _distinct_values(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
-    """``by, _m, _code, _v, _n``: distinct finite values of each measure with their counts."""
+def _coded(df: DataFrame, by: list[str], measures: dict[str, Column]) -> DataFrame:
+    """``by, (_m), _v, _code``: finite values of every measure with their buckets."""
     if len(measures) == 1:
-        ((name, c),) = measures.items()
+        (c,) = measures.values()
         long = df.select(*by, finite(c).alias("_v"))
     else:
-        stacked = F.explode(
-            F.array(*[F.struct(F.lit(m).alias("m"), finite(c).alias("v")) for m, c in measures.items()])
-        )
-        long = df.select(*by, stacked.alias("_s")).select(
-            *by, F.col("_s.m").alias("_m"), F.col("_s.v").alias("_v")
-        )
-    keys = [*by, *_measure_key(measures), "_code", "_v"]
-    return (
-        long.where(F.col("_v").isNotNull())
-        .withColumn("_v", F.col("_v") + 0.0)
-        .withColumn("_code", order_code(F.col("_v")))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-
+        stacked = F.array(*[F.struct(F.lit(m).alias("m"), finite(c).alias("v")) for m, c in measures.items()])
+        long = df.select(*by, F.explode(stacked).alias("_s")).select(*by, F.col("_s.m").alias("_m"), F.col("_s.v").alias("_v"))
+    return long.where(F.col("_v").isNotNull()).withColumn("_v", F.col("_v") + 0.0).withColumn("_code", order_code(F.col("_v")))
 
-def _measure_key(measures) -> list[str]:
-    return ["_m"] if len(measures) > 1 else []
 
-
-def _bucket_offsets(values: DataFrame, by: list[str]) -> DataFrame:
-    """``by, _code, _below, _in, _total``: rank range of every bucket."""
-    hist = values.groupBy(*by, "_code").agg(F.sum("_n").alias("_in"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_in").over(group.orderBy("_code").rowsBetween(Window.unboundedPreceding, 0))
-    return hist.select(
-        "*",
-        (upto - F.col("_in")).alias("_below"),
-        F.sum("_in").over(group).alias("_total"),
-    )
+def _positions(hist: DataFrame, group: list[str], start: Column) -> DataFrame:
+    """Adds ``_below``: the rank at which each bucket starts within its group."""
+    w = Window.partitionBy(*group).orderBy("_code").rowsBetween(Window.unboundedPreceding, 0)
+    return hist.withColumn("_below", start + F.sum("_in").over(w) - F.col("_in"))
 
 
 def value_ranks(df: DataFrame, by: list[str], value) -> DataFrame:
-    """``by, v, n, below, total``: each distinct value with its count and the count under it."""
-    values = _distinct_values(df, by, {"v": as_col(value)})
-    offsets = _bucket_offsets(values, by).drop("_in")
+    """``by, v, n, below, total``: each distinct value with its count and the count under it.
+
+    Equal values are one row before anything is sorted; a sort covers one bucket of one group.
+    """
+    values = _coded(df, by, {"v": as_col(value)}).groupBy(*by, "_code", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    hist = values.groupBy(*by, "_code").agg(F.sum("_n").alias("_in"))
+    offsets = _positions(hist, by, F.lit(0)).withColumn("_total", F.sum("_in").over(Window.partitionBy(*by))).drop("_in")
     inside = Window.partitionBy(*by, "_code").orderBy("_v")
     ahead = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     return values.join(offsets, [*by, "_code"]).select(
-        *by,
-        F.col("_v").alias("v"),
-        F.col("_n").alias("n"),
-        (F.col("_below") + ahead).alias("below"),
-        F.col("_total").alias("total"),
+        *by, F.col("_v").alias("v"), F.col("_n").alias("n"), (F.col("_below") + ahead).alias("below"), F.col("_total").alias("total")
     )
 
 
+def _inside(start: Column, count: Column) -> Column:
+    """Wanted ranks (``_want``) that fall in ``[start, start + count)``."""
+    return F.filter("_want", lambda t: (t["rank"] >= start) & (t["rank"] < start + count))
+
+
 def quantiles(
-    df: DataFrame, by: list[str], wanted: dict[str, tuple], lower: bool = False
+    df: DataFrame, by: list[str], wanted: dict[str, tuple], lower: bool = False, sort_rows: int = SORT_ROWS,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, one column per ``wanted`` entry.
 
     ``wanted`` maps an output name to ``(value, probability)``. Missing values are skipped; groups
     without any value do not appear. With ``lower`` the value at the rank below is taken as it is.
+
+    The histogram runs when this is called: its outcome, the few buckets to look into, is stored, so
+    the pass over the values knows their true size (a small list is broadcast by the planner, a long
+    one is joined by shuffle). Values outside these buckets are never shuffled. Where the caller
+    knows that the whole input has few rows (``known_rows``), the built-in exact percentile is
+    enough: its memory is bounded by that number.
     """
+    if known_rows is not None and known_rows <= IN_MEMORY_ROWS and not lower:
+        direct = [F.percentile(finite(as_col(v)), float(p)).alias(n) for n, (v, p) in wanted.items()]
+        some = F.greatest(*[F.count(finite(as_col(v))) for v, _ in wanted.values()], F.lit(0)).alias("_some")
+        return df.groupBy(*by).agg(*direct, some).where("_some > 0").drop("_some")
     measures: dict[str, Column] = {}
     plan = []
     for name, (value, prob) in wanted.items():
-        key = value if isinstance(value, str) else f"_x{len(measures)}"
-        for k, c in measures.items():
-            if c is value:
-                key = k
+        key = value if isinstance(value, str) else next((k for k, c in measures.items() if c is value), f"_x{len(measures)}")
         measures.setdefault(key, as_col(value))
         plan.append((name, key, float(prob)))
-    group = [*by, *_measure_key(measures)]
+    many = len(measures) > 1
+    group = [*by, "_m"] if many else list(by)
     keys = [*group, "_code"]
-    values = _distinct_values(df, by, measures)
+    rows = _coded(df, by, measures)
 
     last = (F.col("_total") - 1).cast("double")
     entries = []
     for name, key, prob in plan:
         pos = last * prob
         for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            entries.append(
-                F.struct(
-                    F.lit(key).alias("m"),
-                    F.lit(name).alias("q"),
-                    F.lit(side).alias("side"),
-                    rank.cast("bigint").alias("rank"),
-                    (pos - F.floor(pos)).alias("frac"),
-                )
-            )
-    hits = F.filter(
-        F.array(*entries),
-        lambda t: ((t["m"] == F.col("_m")) if len(measures) > 1 else F.lit(True))
-        & (t["rank"] >= F.col("_below"))
-        & (t["rank"] < F.col("_below") + F.col("_in")),
-    )
-    chosen = (
-        _bucket_offsets(values, group)
-        .withColumn("_hits", hits)
-        .where(F.size("_hits") > 0)
-        .select(*keys, "_below", "_hits")
-    )
+            entries.append(F.struct(
+                F.lit(key).alias("m"), F.lit(name).alias("q"), F.lit(side).alias("side"), rank.cast("bigint").alias("rank"), (pos - F.floor(pos)).alias("frac")))
+    counts = [F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    hist = _positions(rows.groupBy(*keys).agg(*counts), group, F.lit(0))
+    hist = hist.withColumn("_total", F.sum("_in").over(Window.partitionBy(*group)))
+    mine = F.array(*entries)
+    if many:
+        mine = F.filter(mine, lambda t: t["m"] == F.col("_m"))
+    hist = hist.withColumn("_want", mine).withColumn("_want", _inside(F.col("_below"), F.col("_in")))
+    kept = [*keys, "_below", "_in", "_lo", "_hi", "_want"]
+    widest = F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_in"))).alias("widest")
+    chosen, seen = cut_measured(hist.where(F.size("_want") > 0).select(*kept), widest)
+
+    for _ in range(MAX_SPLITS):
+        if (seen["widest"] or 0) <= sort_rows:
+            break
+        rows = rows.join(chosen.select(*keys, "_lo", "_hi"), keys)
+        part = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * SPLIT)
+        part = F.coalesce(F.least(part, F.lit(SPLIT - 1)), F.lit(0)).cast("bigint")
+        rows = rows.select(*group, "_v", F.col("_code").alias("_up"), (F.col("_code") * SPLIT + part).alias("_code"))
+        hist = rows.groupBy(*group, "_up", "_code").agg(*counts)
+        parent = chosen.select(*group, F.col("_code").alias("_up"), F.col("_below").alias("_start"), "_want")
+        hist = _positions(hist.join(parent, [*group, "_up"]), [*group, "_up"], F.col("_start"))
+        hist = hist.withColumn("_want", _inside(F.col("_below"), F.col("_in")))
+        chosen, seen = cut_measured(hist.where(F.size("_want") > 0).select(*kept), widest)
+        rows = rows.drop("_up")
+
+    close = rows.join(chosen.select(*keys, "_below", "_want"), keys)
+    # equal values collapse to one counted row before the sort
+    close = close.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_below").alias("_below"), F.first("_want").alias("_want"))
     inside = Window.partitionBy(*keys).orderBy("_v")
     ahead = F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    ranked = values.join(chosen, keys).withColumn("_below", F.col("_below") + ahead)
-    mine = F.filter(
-        "_hits",
-        lambda t: (t["rank"] >= F.col("_below")) & (t["rank"] < F.col("_below") + F.col("_n")),
-    )
-    picked = ranked.select(*by, "_v", F.explode(mine).alias("_t"))
+    ranked = close.withColumn("_below", F.col("_below") + ahead)
+    picked = ranked.select(*by, "_v", F.explode(_inside(F.col("_below"), F.col("_n"))).alias("_t"))
 
     def end(name: str, side: str, field) -> Column:
         return F.max(F.when((F.col("_t.q") == name) & (F.col("_t.side") == side), field))
