@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from altigrid.functions import geo
 from altigrid.functions.numbers import as_col, half_up
 from altigrid.functions.terrain import slope_degrees, unit_normal, uv
-from altigrid.model import KEY, attach, scene_extent
-from altigrid.operators.neighbourhood import corners, differences, patch4
+from altigrid.model import KEY, attach, cut_measured, scene_extent
+from altigrid.operators.neighbourhood import corners, patch4
 
 WEIGHT_FLOOR = 1e-10  # fixed value: lighter neighbours are ignored, even missing ones
 MAX_PROFILE_POINTS = 2048
@@ -57,36 +57,78 @@ def bilinear_at(cells: DataFrame, at: DataFrame, y: str, x: str, out: str) -> Da
     return j.withColumn(out, F.when(F.col("_hit"), value)).drop("_y0", "_x0", "_hit", "v00", "v01", "v10", "v11")
 
 
+def look_up(cells: DataFrame, points: DataFrame, y: str, x: str, out: str, gradient: bool = False) -> DataFrame:
+    """Values at points that are few next to the cells: adds ``out``, with ``gradient`` also the
+    neighbour steps ``_dx, _dy`` and their cell distances ``_nx, _ny`` at the nearest cell.
+
+    The wanted cells are listed first and stored, so the planner knows the list's true size (a short
+    list is broadcast, the grid is then read once and not shuffled) and the grid scan is narrowed to
+    the rows and scenes the points touch.
+    """
+    y0, x0 = F.floor(y).cast("int"), F.floor(x).cast("int")
+    wanted = [("p00", y0, x0), ("p01", y0, x0 + 1), ("p10", y0 + 1, x0), ("p11", y0 + 1, x0 + 1)]
+    if gradient:
+        r, c = half_up(y).cast("int"), half_up(x).cast("int")
+        wanted += [("c", r, c), ("e", r, c + 1), ("w", r, c - 1), ("s", r + 1, c), ("n", r - 1, c)]
+    spots = points.select("scene", F.col(y).alias("_y"), F.col(x).alias("_x")).distinct()
+    spots = spots.withColumnsRenamed({"_y": y, "_x": x})
+    slots = F.array(*[F.struct(F.lit(n).alias("slot"), rr.alias("row"), cc.alias("col")) for n, rr, cc in wanted])
+    keys = spots.select("scene", y, x, F.explode(slots).alias("_s")).select("scene", y, x, "_s.*")
+    edges = [f(c).alias(f"{n}_{c}") for c in KEY for n, f in (("lo", F.min), ("hi", F.max))]
+    keys, box = cut_measured(keys, *edges)
+    near = cells.select(*KEY, "v")
+    for c in KEY:
+        if box[f"lo_{c}"] is not None:
+            near = near.where(F.col(c).between(box[f"lo_{c}"], box[f"hi_{c}"]))
+    found = keys.join(near, KEY)
+    got = found.groupBy("scene", y, x).agg(*[
+        a for n, _, _ in wanted for a in (F.max(F.when(F.col("slot") == n, F.col("v"))).alias(f"_v_{n}"), F.max((F.col("slot") == n).cast("int")).alias(f"_has_{n}"))
+    ])
+    j = points.join(got, ["scene", y, x], "left")
+    ty, tx = F.col(y) - F.floor(y), F.col(x) - F.floor(x)
+    value = _weighted([((1 - tx) * (1 - ty), F.col("_v_p00")), (tx * (1 - ty), F.col("_v_p01")), ((1 - tx) * ty, F.col("_v_p10")), (tx * ty, F.col("_v_p11"))])
+    j = j.withColumn(out, F.when(F.col("_has_p00") == 1, value))
+    if gradient:
+        for axis, lo, hi in (("x", "w", "e"), ("y", "n", "s")):
+            first = F.when(F.col(f"_has_{lo}") == 1, F.col(f"_v_{lo}")).otherwise(F.col("_v_c"))
+            last = F.when(F.col(f"_has_{hi}") == 1, F.col(f"_v_{hi}")).otherwise(F.col("_v_c"))
+            j = j.withColumn(f"_d{axis}", last - first).withColumn(f"_n{axis}", F.col(f"_has_{lo}") + F.col(f"_has_{hi}"))
+    return j.drop(*[f"_v_{n}" for n, _, _ in wanted], *[f"_has_{n}" for n, _, _ in wanted])
+
+
+def _with_gradient(df: DataFrame, px: Column) -> DataFrame:
+    """``gx, gy`` from the steps of :func:`look_up`, NULL unless both are known."""
+    gx, gy = F.try_divide(F.col("_dx"), F.col("_nx") * px), F.try_divide(F.col("_dy"), F.col("_ny") * px)
+    known = gx.isNotNull() & gy.isNotNull()
+    return df.withColumn("gx", F.when(known, gx)).withColumn("gy", F.when(known, gy)).drop("_dx", "_dy", "_nx", "_ny")
+
+
 def sample_points(cells: DataFrame, points: DataFrame) -> DataFrame:
     """Value at control points given in pixel coordinates (cell centres at .5).
 
     Points outside the grid are dropped; between the outermost centres and the grid edge there is
     no value.
     """
+    p = points.withColumn("_y", F.col("row_f") - 0.5).withColumn("_x", F.col("col_f") - 0.5)
     ext = scene_extent(cells)
-    p = attach(points, ext, spread=["row_f", "col_f"])
+    p = attach(p, ext, spread=["row_f", "col_f"])
     p = p.where((F.col("col_f") >= 0) & (F.col("col_f") < F.col("w")) & (F.col("row_f") >= 0) & (F.col("row_f") < F.col("h")))
-    p = p.withColumn("_y", F.col("row_f") - 0.5).withColumn("_x", F.col("col_f") - 0.5)
-    return bilinear_at(cells, p, "_y", "_x", "value").drop("_y", "_x", "h", "w")
+    return look_up(cells, p, "_y", "_x", "value").drop("_y", "_x", "h", "w")
 
 
 def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
     """``height`` at fractional cell-index coordinates ``row_f, col_f`` (NULL outside)."""
-    return bilinear_at(cells, points, "row_f", "col_f", "height")
+    return look_up(cells, points, "row_f", "col_f", "height")
 
 
 def inspect(cells: DataFrame, points: DataFrame, ref: DataFrame | None = None, px=1.0) -> DataFrame:
     """Height, slope at the nearest cell and error against a reference at each point."""
-    out = bilinear_at(cells, points, "row_f", "col_f", "height")
-    g = differences(cells, px).select(
-        "scene", F.col("row").alias("_yr"), F.col("col").alias("_xr"), slope_degrees("gx", "gy").alias("_slope")
-    )
-    out = out.withColumn("_yr", half_up("row_f").cast("int")).withColumn("_xr", half_up("col_f").cast("int"))
-    out = out.join(g, ["scene", "_yr", "_xr"], "left").drop("_yr", "_xr")
-    out = out.withColumn("slope", F.when(F.col("height").isNotNull(), F.col("_slope"))).drop("_slope")
+    px = as_col(px) if isinstance(px, (str, Column)) else F.lit(float(px))
+    out = _with_gradient(look_up(cells, points, "row_f", "col_f", "height", gradient=True), px)
+    out = out.withColumn("slope", F.when(F.col("height").isNotNull(), slope_degrees("gx", "gy"))).drop("gx", "gy")
     if ref is None:
         return out.withColumn("error", F.lit(None).cast("double"))
-    out = bilinear_at(ref, out, "row_f", "col_f", "_ref")
+    out = look_up(ref, out, "row_f", "col_f", "_ref")
     return out.withColumn("error", F.col("height") - F.col("_ref")).drop("_ref")
 
 
@@ -286,15 +328,10 @@ def mesh(cells: DataFrame, scenes: DataFrame, cap: int = 513, ref: DataFrame | N
     col_f = F.col("c") / (F.col("w") - 1) * (F.col("_w") - 1)
     row_f = F.col("r") / (F.col("h") - 1) * (F.col("_h") - 1)
     g = g.withColumn("col_f", col_f).withColumn("row_f", row_f)
-    at = bilinear_at(cells, g, "row_f", "col_f", "height")
-    grad = differences(attach(cells, dims.select("scene", "_px")), F.col("_px")).select(
-        "scene", F.col("row").alias("_yr"), F.col("col").alias("_xr"), "gx", "gy"
-    )
-    at = at.withColumn("_yr", half_up("row_f").cast("int")).withColumn("_xr", half_up("col_f").cast("int"))
-    at = at.join(grad, ["scene", "_yr", "_xr"], "left")
-    known = F.col("gx").isNotNull() & F.col("gy").isNotNull()
-    gx, gz = F.when(known, F.col("gx")).otherwise(0.0), F.when(known, F.col("gy")).otherwise(0.0)
-    at = bilinear_at(ref, at, "row_f", "col_f", "_ref") if ref is not None else at.withColumn("_ref", F.lit(None).cast("double"))
+    at = _with_gradient(look_up(cells, g, "row_f", "col_f", "height", gradient=True), F.col("_px"))
+    known = F.col("gx").isNotNull()
+    gx, gz = F.coalesce("gx", F.lit(0.0)), F.coalesce("gy", F.lit(0.0))
+    at = look_up(ref, at, "row_f", "col_f", "_ref") if ref is not None else at.withColumn("_ref", F.lit(None).cast("double"))
     n, t = unit_normal(gx, gz), uv("row_f", "col_f", "_h", "_w")
     err = F.col("height") - F.col("_ref")
     vertices = at.select(
