@@ -18,6 +18,17 @@ def tile_origins(length, tile: int, stride: int) -> Column:
     return F.when(length <= tile, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(regular, F.array(end))))
 
 
+def covering_origins(pos, length, tile: int, stride: int) -> Column:
+    """Starts of the tiles that contain position ``pos``: the same tiles as :func:`tile_origins`,
+    found by arithmetic instead of listing them all for every cell."""
+    pos, end = as_col(pos).cast("int"), as_col(length).cast("int") - tile
+    first = F.greatest(F.ceil((pos - tile + 1) / stride), F.lit(0)).cast("int")
+    last = F.floor(F.least(pos, end) / stride).cast("int")
+    regular = F.when(last >= first, F.sequence(first * stride, last * stride, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    flush = F.when((pos >= end) & (end % stride != 0), F.array(end)).otherwise(F.array().cast("array<int>"))
+    return F.when(end <= 0, F.array(F.lit(0))).otherwise(F.concat(regular, flush))
+
+
 def tile_borders(length, tile: int, stride: int) -> Column:
     """Offsets strictly inside ``(0, length)`` where some tile starts or ends."""
     starts = tile_origins(length, tile, stride)

@@ -101,7 +101,7 @@ def huber_affine(
     ))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ok.select(*by).schema.fields)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([[*key, *_irls(pdf, delta, rounds)]], columns=[*by, "a", "b"])
 
     small = varied.where(F.col("_n") <= in_task_rows).drop("_n")
@@ -271,6 +271,8 @@ def method_b(
     """
     if d_high is None:
         d_high = band_split(d, scenes, cfg.band_sigma_k, sigma).select(*KEY, F.col("high").alias("v"))
+        if gcps is not None or cfg.prior_height_m > 0:
+            d_high = cut(d_high)  # sampled for the scale, then used again for the surface
     band = band if band is not None else band_scale(d, dem, scenes, cfg.band_coarse_cells, cfg.band_min_cells)
     relief = dem.groupBy("scene").agg(F.stddev_pop("v").alias("dem_std_m"))
     points = control_point_scale(d_high, dem, gcps, cfg.gcp_min_points) if gcps is not None else None

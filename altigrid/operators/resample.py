@@ -210,20 +210,23 @@ def area_resize(cells: DataFrame, dims: DataFrame) -> DataFrame:
     """
     x = attach(cells, dims)
 
+    def long(name: str) -> Column:
+        return F.col(name).cast("bigint")
+
     def targets(pos: str, n: str, n2: str) -> Column:
-        p, n, n2 = F.col(pos).cast("bigint"), F.col(n).cast("bigint"), F.col(n2).cast("bigint")
-        first, last = F.floor(p * n2 / n), F.floor(((p + 1) * n2 - 1) / n)
-        span = F.sequence(first, last)
-        return F.transform(
-            span,
-            lambda t: F.struct(t.alias("t"), (F.least((p + 1) * n2, (t + 1) * n) - F.greatest(p * n2, t * n)).alias("o")),
-        )
-
-    x = x.withColumn("_ty", F.explode(targets("row", "h", "h2"))).withColumn("_tx", F.explode(targets("col", "w", "w2")))
-    area = (F.col("_ty.o") * F.col("_tx.o")).cast("double")
-    ok = F.when(F.col("v").isNotNull(), area).otherwise(0.0)
-    g = x.groupBy("scene", F.col("_ty.t").cast("int").alias("row"), F.col("_tx.t").cast("int").alias("col")).agg(
-        F.sum(area * F.col("v")).alias("_s"), F.sum(ok).alias("_ok"), F.sum(area).alias("_all")
+        p, n, n2 = long(pos), long(n), long(n2)
+        return F.explode(F.sequence(F.floor(p * n2 / n), F.floor(((p + 1) * n2 - 1) / n)))
+
+    def overlap(t: str, pos: str, n: str, n2: str) -> Column:
+        p, n, n2, t = long(pos), long(n), long(n2), F.col(t)
+        return F.least((p + 1) * n2, (t + 1) * n) - F.greatest(p * n2, t * n)
+
+    x = x.withColumn("_ty", targets("row", "h", "h2")).withColumn("_tx", targets("col", "w", "w2"))
+    area = (overlap("_ty", "row", "h", "h2") * overlap("_tx", "col", "w", "w2")).cast("double")
+    x = x.select("scene", "v", "_ty", "_tx", area.alias("_a"))
+    ok = F.when(F.col("v").isNotNull(), F.col("_a")).otherwise(0.0)
+    g = x.groupBy("scene", F.col("_ty").cast("int").alias("row"), F.col("_tx").cast("int").alias("col")).agg(
+        F.sum(F.col("_a") * F.col("v")).alias("_s"), F.sum(ok).alias("_ok"), F.sum("_a").alias("_all")
     )
     return g.select(*KEY, F.try_divide(F.col("_s"), F.col("_ok")).alias("v"), (F.col("_ok") / F.col("_all")).alias("valid_frac"))
 

@@ -101,9 +101,9 @@ def flooded_share(cells: DataFrame, steps: int = FLOOD_STEPS, shown: DataFrame |
     low, high = F.col("min_h"), F.col("max_h")
     share = F.try_divide(F.col("v") - low, high - low)
     guess = F.floor(FLOOD_STEPS * F.sqrt(clip(share, 0.0, 4.0)))
-    around = F.array(*[F.greatest(guess + k, F.lit(1)).cast("int") for k in (-1, 0, 1, 2)])
-    floods = F.filter(around, lambda s: F.col("v") < flood_level(s, low, high))
-    first = F.coalesce(F.array_min(floods), F.lit(10**9))  # a level never reached in the series
+    around = [F.greatest(guess + k, F.lit(1)).cast("int") for k in (-1, 0, 1, 2)]
+    floods = F.least(*[F.when(F.col("v") < flood_level(s, low, high), s) for s in around])
+    first = F.coalesce(floods, F.lit(10**9))  # a level never reached in the series
     counts = x.withColumn("_s", first).groupBy("scene", "_s").agg(F.count(F.lit(1)).alias("_n"))
     totals = counts.groupBy("scene").agg(F.sum("_n").alias("_total"))
     frame = totals.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
