@@ -106,9 +106,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder under the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/altigrid-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table."""
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Drop this application's intermediate tables once its results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -181,6 +181,8 @@ def sweep(
     stats, bands, reliefs, slopes, priors = [], [], [], [], []
     for k in widths:
         high = band_split(d, scenes, k, (sigma_of or {}).get(k)).select(*KEY, F.col("high"))
+        if want_prior or len(modes) > 1:
+            high = cut(high)  # read once per resampling and once for the percentile
         if want_prior:
             priors.append(quantiles(high, ["scene"], {"_ref": ("high", cfg.prior_percentile / 100.0)}).withColumn("k", F.lit(k)))
         for mode in modes:

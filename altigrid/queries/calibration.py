@@ -96,7 +96,7 @@ def e10(spark, d):
     return r6(cal.prior_scale(high, 98, 12.0), ["scale"])
 
 
-# scenes by number: even ones have control points, every third one is flat enough for the prior
+# control points of odd scenes have no height, so that the later sources of the cascade are reached
 CASCADE = ",\n".join([
     HIGH, GCP_SCALE, BAND, irls_sql("bp"),
     "rel AS (SELECT scene, stddev_pop(v) AS dem_std_m FROM dem GROUP BY scene)",
@@ -111,7 +111,7 @@ CASCADE_CFG = cal.CalibrationConfig(band_min_r=0.97, dem_relief_std_m=1.9, prior
 
 def cascade(spark, d):
     x, dem, sc = inputs(spark, d)
-    gcps = fx.points(spark, d).where(F.col("scene") % 2 == 0)
+    gcps = fx.points(spark, d).withColumn("height", F.when(F.col("scene") % 2 == 0, F.col("height")))
     return cal.method_b(x, dem, sc, CASCADE_CFG, gcps, sigma=4.0)
 
 

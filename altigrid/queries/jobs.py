@@ -15,7 +15,7 @@ from altigrid.queries.terrain import bilin_sql, blur_sql
 
 KEY = ["scene", "row", "col"]
 
-# V1: the coarse DEM in two overlapping parts, bilinear onto the image grid; every fifth scene has none
+# V1: the coarse DEM in two overlapping parts, bilinear onto the image grid; on every fifth scene it is all nodata
 V1_CTES = [
     fx.G1, fx.G2_FULL, fx.G4,
     "g4s AS (SELECT * FROM g4 WHERE scene % 5 <> 4)",
@@ -38,7 +38,7 @@ V1_CTES = [
 def calibrated(spark, d):
     cells = fx.g1(spark, d)
     sc = fx.scenes(cells).withColumn("source", F.lit("srtm"))
-    coarse = fx.g4(cells).where(F.col("scene") % 5 != 4)
+    coarse = fx.g4(cells).withColumn("v", F.when(F.col("scene") % 5 != 4, F.col("v")))
     # part 1 lacks a strip of rows, part 2 has everything but loses where part 1 is present
     one = coarse.select(*KEY, F.when(F.col("row") != 3, F.col("v")).alias("v"), F.lit("p1").alias("layer"), F.lit(1).alias("priority"))
     two = coarse.select(*KEY, F.when(F.col("row") == 3, F.col("v")).alias("v"), F.lit("p2").alias("layer"), F.lit(2).alias("priority"))
