@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import rounded
+from altigrid.model import cut
 from altigrid.operators import calibration as cal
 from altigrid.operators import tiling
 from altigrid.operators.blur import band_split
@@ -35,8 +36,8 @@ def irls_sql(src: str, rounds: int = 20, delta: float = 2.0) -> str:
 
 
 def inputs(spark, d):
-    cells = fx.g1(spark, d)
-    return cells, fx.dem_on_grid(cells), fx.scenes(cells)
+    cells = cut(fx.g1(spark, d))  # calibration reads stored grids
+    return cells, cut(fx.dem_on_grid(cells)), fx.scenes(cells)
 
 
 @query("e06_block_mean", fx.with_sql(fx.G1, fx.G2) + """
