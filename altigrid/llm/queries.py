@@ -84,3 +84,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, ws[i:i + 34] AS g FROM w, unnest(range(1, len(ws) - 33)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM g) WHERE c > 1),
+cov AS (SELECT DISTINCT doc_id, i + j AS i FROM r, unnest(range(0, 35)) AS o(j)),
+p AS (SELECT doc_id, i, ws[i] AS word FROM w, unnest(range(1, len(ws) + 1)) AS u(i)),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p ANTI JOIN cov ON p.doc_id = cov.doc_id AND p.i = cov.i GROUP BY p.doc_id),
+n AS (SELECT doc_id, count(*) AS c FROM cov GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id LEFT JOIN n ON w.doc_id = n.doc_id
+"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import substring
+
+    out = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
