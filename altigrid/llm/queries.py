@@ -106,3 +106,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = substring.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import tokens
+
+    out = tokens.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "n_tokens", tokens.crc32_udf()("ids").alias("ids_crc32"))
