@@ -120,3 +120,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = tokens.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
     return out.select("doc_id", "start", "n_tokens", tokens.crc32_udf()("ids").alias("ids_crc32"))
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from altigrid.llm import bpe
+
+    path, pattern = vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
