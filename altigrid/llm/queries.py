@@ -139,3 +139,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern), path, pattern)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import ann
+
+    e = table(spark, sf_dir, "embeddings")
+    return ann.nearest(e, e.where(F.col("vec_id") % 100 == 0), k=10)
