@@ -186,3 +186,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\\### Assistant: </turn> ok").alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
     return chat.digest(chat.windows(turns))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM documents),
+e AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) AS u(i) WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN e ON w.doc_id = e.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e AS a JOIN e AS b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (
+  SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept
+FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY n.doc_id, n
+"""
+
+
+@query("op6_near_duplicates", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
