@@ -209,3 +209,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from altigrid.llm import minhash
 
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import pii
+
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
