@@ -110,7 +110,7 @@ def rules(text: Column, w: Column, known: Mapping[str, Column] | None = None, mi
     chars = F.greatest(known.get("word_chars", F.char_length(F.array_join(w, ""))), F.lit(1))
     return {
         "few_words": n < min_words,
-        "repetition": 100 * known.get("n_repeat_words", n_repeat_words(w)) > 50 * n,
+        "repetition": (n >= 50) & (100 * known.get("n_repeat_words", n_repeat_words(w)) > 50 * n),
         "symbols": 10 * known.get("n_symbols", n_symbols(text)) > n,
         "bars": F.coalesce(F.regexp_count(text, F.lit(r" \| ")), F.lit(0)) * 10 > n,
         "shouting": only(text, r"\p{Lu}") * 10 > chars * 4,
