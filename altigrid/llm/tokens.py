@@ -30,12 +30,14 @@ from altigrid.llm.arrays import chunks
 from altigrid.model import scratch_path
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 SAMPLE_DOCS = 2_000
 DICTIONARY_BYTES = 65_536
 BLOCK_BYTES = 1_000_000
 #: Letters below this code point have been letters in every Unicode version in use.
-STABLE_LETTERS = 0x530
+STABLE_LETTERS = chr(0x530)
+#: One token of the vocabulary; parts words whose number of tokens is not known beforehand.
+PARTING = b"the"
 
 
 class WordEncoder:
@@ -49,44 +51,53 @@ class WordEncoder:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.parting = np.zeros(len(self.ends), bool)
+        self.parting[vocab[PARTING.decode() + "</w>"]] = True
         self.words: dict[bytes, bytes] = {}
 
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def _learn(self, missing: list[bytes]) -> None:
-        """Plain letter words share calls; a word's ids end with its end-of-word id."""
-        plain: dict[bytes, str] = {}
-        tails: list[tuple[bytes, bytes]] = []
-        for w in missing:
-            s = w.decode()
-            base = s[:-1] if s[-1] in ".," else s
-            if base.isalpha() and max(base) < chr(STABLE_LETTERS):
-                b = base.encode()
-                if b not in self.words:
-                    plain[b] = base
-                if len(b) < len(w):
-                    tails.append((w, b))
-            else:
-                self.words[w] = self._one(w)
-        names = list(plain)
-        groups = [names[i : i + 50] for i in range(0, len(names), 50)]
-        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join([plain[b] for b in g]) for g in groups], add_special_tokens=False), strict=True):
+    def _batch(self, names: list[bytes], joint: str, stop: np.ndarray, keep: int) -> None:
+        """Words that share calls: ``joint`` parts them, and ids flagged by ``stop`` end a word's ids (or follow them, with keep 0)."""
+        groups = [names[i : i + 64] for i in range(0, len(names), 64)]
+        lines = [b" ".join(g).decode() if not joint else joint.join([w.decode() for w in g]) + joint for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(lines, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(g):
+            at = np.flatnonzero(stop[ids])
+            if len(at) == len(g):
                 raw = ids.tobytes()
-                at = 0
-                for b, stop in zip(g, (4 * stops).tolist(), strict=True):
-                    self.words[b] = raw[at:stop]
-                    at = stop
+                ends = 4 * (at + keep)
+                starts = np.concatenate([[0], 4 * (at[:-1] + 1)])
+                self.words.update(zip(g, [raw[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+            else:
+                self.words.update((w, self._one(w.decode())) for w in g)
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Plain letter words end with their end-of-word id; other words are parted by a word that none of them holds."""
+        plain: set[bytes] = set()
+        others: list[bytes] = []
+        made: list[tuple[bytes, bytes]] = []
+        for w in missing:
+            base = w[:-1] if w[-1] in b".," else w
+            if base.isalpha():  # ASCII letters; case is folded by the tokenizer, here already
+                low = base.lower()
+            elif base and not base.isascii() and (s := base.decode()).isalpha() and max(s) < STABLE_LETTERS:
+                low = base
             else:
-                for b in g:
-                    self.words[b] = self._one(b)
-        for mark in {w[-1:] for w, _ in tails} - self.words.keys():
-            self.words[mark] = self._one(mark)
-        for w, b in tails:
-            self.words[w] = self.words[b] + self.words[w[-1:]]
+                others.append(w)
+                continue
+            plain.add(low)
+            if low is not w and low != w:
+                made.append((w, low))
+        plain -= self.words.keys()
+        self._batch(list(plain), "", self.ends, 1)
+        odd = [w for w in others if PARTING in w.lower()]
+        self._batch([w for w in others if PARTING not in w.lower()], f" {PARTING.decode()} ", self.parting, 0)
+        self.words.update((w, self._one(w.decode())) for w in odd)
+        marks = {b".": self._one("."), b",": self._one(",")}
+        for w, low in made:
+            self.words[w] = self.words[low] + marks.get(w[-1:], b"")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
@@ -98,7 +109,7 @@ class WordEncoder:
             missing.update(ws)
         missing -= self.words.keys()
         if missing:
-            self._learn(list(missing))
+            self._learn(missing)
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
 
@@ -108,7 +119,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(path: str, end_id: int, limit: int = 1_000_000):
+def encoded(path: str, end_id: int, limit: int = 4_000_000):
     """Iterator helper: (rows, ids with the end id as uint32 arrays) per chunk of text."""
     end = np.array([end_id], np.uint32).tobytes()
 
