@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altigrid.llm.arrays import PerfectHash, chunks
@@ -136,11 +136,12 @@ def _probe(asked: pa.Table, index: pa.Table) -> pa.Table:
 
 def line_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> tuple[DataFrame, int, dict[int, int]]:
     """The stored shard table, the number of shards, and the copies wanted of heavily probed shards."""
-    seen = Observation()
-    found = docs.select("doc_id", "text").mapInArrow(_found(min_chars), "h1 bigint, h2 bigint, doc_id bigint").observe(seen, F.count(F.lit(1)).alias("n"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = docs.select("doc_id", "text").mapInArrow(_found(min_chars), "h1 bigint, h2 bigint, doc_id bigint")
     counted = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     keys, got = cut_measured(counted, F.count(F.lit(1)).alias("keys"))
-    shards = max(1, math.ceil(max(seen.get["n"] or 0, got["keys"] or 0) / SHARD_LOAD))
+    # no more lines are asked for than the texts' bytes can hold
+    shards = max(1, math.ceil(max(size / (2 * min_chars), got["keys"] or 0) / SHARD_LOAD))
     keys = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
     # at most (lines / SHARD_LOAD) shards can be over the load, so this stays as small as the shard count
     heavy = keys.groupBy("shard").agg(F.sum("n").alias("n")).where(F.col("n") > SHARD_LOAD // 4).collect()
