@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE_KINDS = KINDS[:4]
 VOTERS = 4
-ACCEPT = 0.9
+ACCEPT = 0.6
 
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -187,7 +187,8 @@ class Model:
 
 def _row(kind: str, vote: tuple[int, ...], feature: tuple[int, ...]) -> np.ndarray:
     x = [1.0, *(float(kind == k) for k in KINDS)]
-    for v in vote[1:]:  # what the strict pattern says is no feature: the classifier is for what it leaves open
+    x.append(float(vote[0] == -1))  # that a strict pattern matched is no feature: the classifier is for what it leaves open
+    for v in vote[1:]:
         x += [float(v == 1), float(v == -1)]
     for f, n in zip(feature, SIZES, strict=True):
         x += [float(f == i) for i in range(n)]
@@ -197,13 +198,15 @@ def _row(kind: str, vote: tuple[int, ...], feature: tuple[int, ...]) -> np.ndarr
 def fit(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], rounds: int = 50) -> Model:
     """EM over vote counts, then iteratively reweighted least squares on the posteriors.
 
-    Strict matches are known to be personal; for the rest both classes start from the votes' majority.
+    Strict matches are known to be personal and matches that failed their test are known not to be; the
+    rest start from the votes' majority.
     """
     kinds = [k for k, *_ in patterns]
     v = np.array([x for _, x, _, _ in patterns], int).reshape(-1, VOTERS)
     n = np.array([c for *_, c in patterns], float)
-    base = v[:, 0] == 1
-    post = np.where(base, 1.0, 1 / (1 + np.exp(-1.5 * v.sum(axis=1))))
+    base, failed = v[:, 0] == 1, v[:, 0] == -1
+    settled = lambda p: np.where(base, 1.0, np.where(failed, 0.0, p))
+    post = settled(1 / (1 + np.exp(-1.5 * v.sum(axis=1))))
     rel = np.full((VOTERS, 3, 2), 1 / 3)
     prior = dict.fromkeys(KINDS, 0.5)
     for _ in range(rounds if len(n) else 0):
@@ -214,14 +217,13 @@ def fit(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], round
             rel[j] /= rel[j].sum(axis=0)
         for k in set(kinds):
             # the share among what the strict pattern leaves open
-            at = np.array([x == k for x in kinds]) & ~base
+            at = np.array([x == k for x in kinds]) & ~base & ~failed
             prior[k] = float(((n[at] * post[at]).sum() + 1) / (n[at].sum() + 2))
         odds = np.log([prior[k] / (1 - prior[k]) for k in kinds])
         for j in range(1, VOTERS):
             r = rel[j, v[:, j] + 1]
             odds = odds + np.log(r[:, 1]) - np.log(r[:, 0])
-        odds = odds + np.where(v[:, 0] == -1, -2.0, 0.0)
-        post = np.where(base, 1.0, 1 / (1 + np.exp(-odds)))
+        post = settled(1 / (1 + np.exp(-odds)))
     width = len(_row("email", (0,) * VOTERS, (0,) * len(SIZES)))
     w = np.zeros(width)
     if len(n):
