@@ -38,6 +38,7 @@ MISS = 1e-6
 BLOCK = 1024
 PAIR_BLOCK = 512
 GROUPS = 256
+JUMPS = 3
 
 
 def reach(threshold: float, symbols: int = SYMBOLS, miss: float = MISS) -> int:
@@ -164,31 +165,6 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return two.where(check("_ta", "_tb")).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, comp): the smallest id reachable, for every id that has a link.
-
-    Large and small stars in turn (each a minimum per node and a join), a stored table per round.
-    """
-    spark = links.sparkSession
-    say = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
-    edges, seen = cut_measured(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), *say)
-    for _ in range(rounds):
-        if not seen["n"]:
-            return spark.createDataFrame([], "id bigint, comp bigint")
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(down.select("a", F.col("m").alias("b"))).distinct()
-        edges, now = cut_measured(small, *say)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
-
-
 class Joined:
     """Union-find over the component numbers that one task sees."""
 
@@ -207,6 +183,55 @@ class Joined:
         return x != y
 
 
+CONTRACT = 400_000
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a stretch of rows become one link per node, to the smallest node that the stretch ties it to."""
+    out, n = Joined(), 0
+
+    def star() -> pa.RecordBatch:
+        rows = [(x, out.root(x)) for x in list(out.up)]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            out.link(x, y)
+        n += batch.num_rows
+        if n >= CONTRACT:
+            yield star()
+            out, n = Joined(), 0
+    yield star()
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, comp): the smallest id reachable, for every id that has a link.
+
+    Each round contracts bounded stretches of rows, then makes a large and a small star (a minimum per
+    node and a join each) and stores the result.
+    """
+    spark = links.sparkSession
+    say = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")]
+    edges, seen = cut_measured(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), *say)
+    for _ in range(rounds):
+        if not seen["n"]:
+            return spark.createDataFrame([], "id bigint, comp bigint")
+        near = edges.select("a", "b").mapInArrow(_contract, "a bigint, b bigint").where("a <> b")
+        both = near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        # each node's smallest neighbour (or itself): first over all neighbours, then over the smaller ones
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(down, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        edges, now = cut_measured(small.select("e.*").where("a <> b").distinct(), *say)
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
+
+
 def grid(members: DataFrame, by: str, block: int) -> DataFrame:
     """Members dealt to (row block, column block) tasks so that each pair across components meets once or more.
 
@@ -310,7 +335,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     wanted = members.select("rep").distinct()
     texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text")))
     links = cut(verified(nearest, texts, words, percent))
-    first = components(links).withColumnRenamed("id", "rep")
+    # each text has one link at most, to a smaller id; following it a few times joins most of a component,
+    # and what is left apart is only compared once more below
+    first = links.select(F.col("a").alias("rep"), F.col("b").alias("comp"))
+    for _ in range(JUMPS):
+        onward = first.select(F.col("rep").alias("comp"), F.col("comp").alias("_on"))
+        first = first.join(onward, "comp", "left").select("rep", F.coalesce("_on", "comp").alias("comp"))
+    first = cut(first)
+    first = first.union(first.select(F.col("comp").alias("rep"), "comp").distinct().join(first.select("rep"), "rep", "left_anti"))
 
     rest = members.select("key", "rep").join(first, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = rest.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key")
