@@ -7,21 +7,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altigrid.functions.labels import CONVERTED_DATUM, ELLIPSOIDAL_SOURCES, datum_of
 from altigrid.functions.numbers import pearson
-from altigrid.model import KEY, attach, cut
+from altigrid.model import KEY, attach, cut, cut_measured
 from altigrid.operators.blur import band_split, gaussian
 from altigrid.operators.ranks import quantiles
 from altigrid.operators.resample import sample_points
 
 FLOAT32_EPS = 1.1920928955078125e-07
 RELIEF_OFF = 1e9
-IN_TASK_ROWS = 1_000_000  # larger groups are fitted by distributed rounds
 
 
 @dataclass(frozen=True)
@@ -66,73 +63,49 @@ def block_mean(cells: DataFrame, block: int | DataFrame) -> DataFrame:
     return block_means(cells, ["v"], block)
 
 
-def _irls(pdf: pd.DataFrame, delta: float, rounds: int) -> tuple[float, float]:
-    x, y = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
-    a, b = float((x * y).sum() / (x * x).sum()), 0.0
-    for _ in range(rounds):
-        off = np.abs(a * x + b - y)
-        w = np.where(off > delta, delta / np.where(off > 0, off, 1.0), 1.0)
-        sw, sx, sy = w.sum(), (w * x).sum(), (w * y).sum()
-        a = (sw * (w * x * y).sum() - sx * sy) / (sw * (w * x * x).sum() - sx * sx)
-        b = (sy - a * sx) / sw
-    return float(a), float(b)
-
-
-def huber_affine(
-    df: DataFrame, x: str, y: str, by: list[str], delta: float = 2.0, rounds: int = 20, in_task_rows: int = IN_TASK_ROWS
-) -> DataFrame:
+def huber_affine(df: DataFrame, x: str, y: str, by: list[str], delta: float = 2.0, rounds: int = 20) -> DataFrame:
     """Huber fit ``y = a*x + b`` per group by iteratively reweighted least squares.
 
-    20 rounds from the least-squares start, weights ``min(1, delta/|residual|)``, on centred values.
-    A group without spread in ``x`` (or with one pair) gets ``a = 0`` and the median of ``y``.
-    Groups of at most ``in_task_rows`` pairs (counted first) are fitted in one task each; larger ones
-    by one distributed aggregate per round over a stored table, so a hot group is never gathered.
+    At most ``rounds`` rounds from the least-squares start, weights ``min(1, delta/|residual|)``, on
+    centred values; earlier rounds end the fit only where a round changes nothing. A round is one
+    combinable aggregate over a stored table, so a group of any size is never gathered. A group
+    without spread in ``x`` (or with one pair) gets ``a = 0`` and the median of ``y``. Runs when called.
     """
-    ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    ok = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
-    )
-    stats = ok.groupBy(*by).agg(
-        F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), F.count(F.lit(1)).alias("_n"),
-        (F.max("_x") > F.min("_x")).alias("_varies"),
-    )
-    stats = cut(stats)
-    varied = cut(attach(ok, stats.where("_varies"), by, ["_x", "_y"]).select(
-        *by, "_n", (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y")
     ))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ok.select(*by).schema.fields)
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, *_irls(pdf, delta, rounds)]], columns=[*by, "a", "b"])
-
-    small = varied.where(F.col("_n") <= in_task_rows).drop("_n")
-    fits = small.groupBy(*by).applyInPandas(fit, f"{schema}, a double, b double")
-    if not stats.where(F.col("_varies") & (F.col("_n") > in_task_rows)).isEmpty():
-        large = varied.where(F.col("_n") > in_task_rows).drop("_n")
-        fits = fits.unionByName(_distributed_rounds(large, by, delta, rounds))
+    stats = cut(ok.groupBy(*by).agg(
+        F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), (F.max("_x") > F.min("_x")).alias("_varies"),
+    ))
+    centred = cut(attach(ok, stats.where("_varies"), by, ["_x", "_y"]).select(
+        *by, (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y")
+    ))
+    fits = _reweighted(centred, by, delta, rounds)
     out = fits.join(stats, by).select(*by, "a", (F.col("b") + F.col("_my") - F.col("a") * F.col("_mx")).alias("b"))
     level = stats.where(~F.col("_varies")).select(*by)
-    if level.isEmpty():
-        return out
     flat = quantiles(ok.join(level, by, "left_semi"), by, {"b": ("_y", 0.5)})
     return out.unionByName(flat.select(*by, F.lit(0.0).alias("a"), "b"))
 
 
-def _distributed_rounds(centred: DataFrame, by: list[str], delta: float, rounds: int) -> DataFrame:
-    """IRLS with one aggregate per round; the few parameters are stored between rounds."""
+def _reweighted(centred: DataFrame, by: list[str], delta: float, rounds: int) -> DataFrame:
+    """The rounds: one aggregate each; the few parameters are stored between rounds."""
     x, y = F.col("_x"), F.col("_y")
     params = cut(centred.groupBy(*by).agg((F.sum(x * y) / F.sum(x * x)).alias("a"), F.lit(0.0).alias("b")))
     for _ in range(rounds):
         off = F.abs(F.col("a") * x + F.col("b") - y)
-        w = F.when(off > delta, delta / off).otherwise(1.0)
-        g = attach(centred, params, by, ["_x", "_y"]).withColumn("_w", w)
+        g = attach(centred, params, by, ["_x", "_y"]).withColumn("_w", F.when(off > delta, delta / off).otherwise(1.0))
         w = F.col("_w")
         s = g.groupBy(*by).agg(
-            F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
+            F.first("a").alias("_a"), F.first("b").alias("_b"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
             F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"),
         )
         a = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
-        s = s.withColumn("a", a)
-        params = cut(s.select(*by, "a", ((F.col("sy") - F.col("a") * F.col("sx")) / F.col("sw")).alias("b")))
+        s = s.withColumn("a", a).withColumn("b", (F.col("sy") - F.col("a") * F.col("sx")) / F.col("sw"))
+        moved = F.max(F.greatest(F.abs(F.col("a") - F.col("_a")), F.abs(F.col("b") - F.col("_b")))).alias("moved")
+        stored, seen = cut_measured(s.select(*by, "a", "b", "_a", "_b"), moved)
+        params = stored.select(*by, "a", "b")
+        if not seen["moved"]:
+            break
     return params
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import pearson
-from altigrid.model import attach, cut, cut_measured, finite
+from altigrid.model import attach, cut, finite
 from altigrid.operators.joins import valid_pairs
-from altigrid.operators.ranks import IN_MEMORY_ROWS, quantiles
+from altigrid.operators.ranks import quantiles
 
 NMAD_K = 1.4826  # fixed value: makes NMAD equal the standard deviation of normal errors
 FLOOR = 1e-6
@@ -21,24 +21,20 @@ METRICS = ["rmse", "mae", "pearson_r", "bias", "nmad", "offset_free_rmse"]
 
 
 def _errors(df: DataFrame, pred: str, ref: str, by: list[str], mask: Column | None) -> DataFrame:
+    """All rows; the three values are NULL unless both sides are finite and the mask holds."""
     p, r = finite(pred), finite(ref)
     keep = p.isNotNull() & r.isNotNull()
     if mask is not None:
-        keep = keep & mask
-    return df.where(keep).select(*by, p.alias("_p"), r.alias("_r"), (p - r).alias("_e"))
+        keep = keep & F.coalesce(mask, F.lit(False))
+    pick = [F.when(keep, c).alias(n) for n, c in (("_p", p), ("_r", r), ("_e", p - r))]
+    return df.select(*by, *pick)
 
 
-def row_count() -> Column:
-    return F.count(F.lit(1)).alias("rows")
-
-
-def median_and_mad(e: DataFrame, value: str, by: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+def median_and_mad(e: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Median (``_med``) and median distance from it (``_mad``) of a stored table's column."""
-    med = quantiles(e, by, {"_med": (value, 0.5)}, known_rows=rows)
-    if rows > IN_MEMORY_ROWS:
-        med = cut(med)
-    dev = attach(e.select(*by, value), med, by, [value]).select(*by, F.abs(F.col(value) - F.col("_med")).alias("_d"))
-    return med, quantiles(dev, by, {"_mad": ("_d", 0.5)}, known_rows=rows)
+    med = cut(quantiles(e, by, {"_med": (value, 0.5)}))
+    dev = attach(e.where(F.col(value).isNotNull()).select(*by, value), med, by, [value]).select(*by, F.abs(F.col(value) - F.col("_med")).alias("_d"))
+    return med, quantiles(dev, by, {"_mad": ("_d", 0.5)})
 
 
 def dsm_metrics(
@@ -46,22 +42,23 @@ def dsm_metrics(
 ) -> DataFrame:
     """Rmse, mae, pearson_r, bias, nmad, offset_free_rmse, n_pixels per group.
 
-    Groups with fewer than two valid pairs keep only ``n_pixels``. The offset-free RMSE follows from
-    the variance and the distance of mean and median, so it needs no pass of its own.
+    Every group of the input has a row; with fewer than two valid pairs it keeps only ``n_pixels``.
+    The offset-free RMSE follows from the variance and the distance of mean and median, so it needs
+    no pass of its own. Runs the histograms of the medians when called (see ``quantiles``).
     """
     if not by:
         return dsm_metrics(df.withColumn("_all", F.lit(1)), pred, ref, ["_all"], mask).drop("_all")
     # read by three passes; the joins behind it run once
-    e, seen = cut_measured(_errors(df, pred, ref, by, mask), row_count())
+    e = cut(_errors(df, pred, ref, by, mask))
     sums = e.groupBy(*by).agg(
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
         F.avg(F.abs("_e")).alias("mae"),
         pearson("_p", "_r").alias("pearson_r"),
         F.avg("_e").alias("bias"),
         F.var_pop("_e").alias("_var"),
-        F.count(F.lit(1)).alias("n_pixels"),
+        F.count("_e").alias("n_pixels"),
     )
-    med, mad = median_and_mad(e, "_e", by, seen["rows"])
+    med, mad = median_and_mad(e, "_e", by)
     out = sums.join(med, by, "left").join(mad, by, "left")
     free = F.sqrt(F.col("_var") + F.pow(F.col("bias") - F.col("_med"), 2))
     cols = {
@@ -125,16 +122,18 @@ def relative_metrics(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataF
 
 
 def polarity(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
-    """E5: correlation per tile; positive means taller surfaces got larger values."""
+    """E5: correlation per tile; positive means taller surfaces got larger values.
+
+    A tile with fewer than two valid pairs has a NULL ``r``; the verdict counts tiles that have one.
+    """
     e = _errors(df, pred, ref, by, None)
-    out = e.groupBy(*by).agg(pearson("_p", "_r").alias("r"), F.count(F.lit(1)).alias("n"))
-    return out.where("n >= 2").drop("n")
+    return e.groupBy(*by).agg(F.when(F.count("_e") >= 2, pearson("_p", "_r")).alias("r"))
 
 
 def polarity_verdict(per_tile: DataFrame) -> DataFrame:
     """Fleet verdict: flipped when the mean is not positive or most tiles are negative."""
     agg = per_tile.agg(
-        F.count(F.lit(1)).alias("tiles"), F.avg("r").alias("mean_r"), F.count_if(F.col("r") < 0).alias("negative")
+        F.count("r").alias("tiles"), F.avg("r").alias("mean_r"), F.count_if(F.col("r") < 0).alias("negative")
     )
     flipped = (F.col("mean_r") <= 0) | (F.col("negative") > F.col("tiles") / 2)
     return agg.withColumn(
@@ -152,13 +151,13 @@ def datum_check(three: DataFrame, by: list[str]) -> DataFrame:
     x = three.select(
         *by, "a", "b", "n", (F.col("a") - F.col("b")).alias("_d"), (F.col("a") - F.col("n") - F.col("b")).alias("_left")
     )
-    x, seen = cut_measured(x, row_count())
+    x = cut(x)
     sums = x.groupBy(*by).agg(
         F.count(F.lit(1)).alias("cells"), pearson("a", "b").alias("pearson_r"),
         F.min("n").alias("geoid_min"), F.max("n").alias("geoid_max"),
     )
-    med, mad = median_and_mad(x, "_d", by, seen["rows"])
-    rest = quantiles(x, by, {"geoid_median": ("n", 0.5), "corrected_median": ("_left", 0.5)}, known_rows=seen["rows"])
+    med, mad = median_and_mad(x, "_d", by)
+    rest = quantiles(x, by, {"geoid_median": ("n", 0.5), "corrected_median": ("_left", 0.5)})
     out = sums.join(med.withColumnRenamed("_med", "diff_median"), by).join(rest, by).join(mad, by)
     return out.withColumn("diff_nmad", NMAD_K * F.col("_mad")).drop("_mad")
 
@@ -169,7 +168,7 @@ def ssi_l1(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
     For an even count the *lower* of the two middle values is the median, as in the reference
     normalisation.
     """
-    e = cut(_errors(df, pred, ref, by, None))
+    e = cut(_errors(df, pred, ref, by, None).where("_e is not null"))
     med = cut(lower_medians(e, by, {"_mp": "_p", "_mr": "_r"}))
     centred = attach(e, med, by, ["_p", "_r"]).select(
         *by, (F.col("_p") - F.col("_mp")).alias("_cp"), (F.col("_r") - F.col("_mr")).alias("_cr")

@@ -19,8 +19,6 @@ MANTISSA_STEPS = 128.0
 EXPONENT_BIAS = 1100
 SPLIT = 4096
 SORT_ROWS = 4_000_000  # a larger bucket is divided before it is sorted
-IN_MEMORY_ROWS = 2_000_000  # inputs known to be smaller use the built-in exact percentile
-MAX_SPLITS = 3
 
 
 def order_code(v: Column) -> Column:
@@ -77,8 +75,7 @@ def _inside(start: Column, count: Column) -> Column:
 
 
 def quantiles(
-    df: DataFrame, by: list[str], wanted: dict[str, tuple], lower: bool = False, sort_rows: int = SORT_ROWS,
-    known_rows: int | None = None,
+    df: DataFrame, by: list[str], wanted: dict[str, tuple], lower: bool = False, sort_rows: int = SORT_ROWS
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group, one column per ``wanted`` entry.
 
@@ -87,14 +84,10 @@ def quantiles(
 
     The histogram runs when this is called: its outcome, the few buckets to look into, is stored, so
     the pass over the values knows their true size (a small list is broadcast by the planner, a long
-    one is joined by shuffle). Values outside these buckets are never shuffled. Where the caller
-    knows that the whole input has few rows (``known_rows``), the built-in exact percentile is
-    enough: its memory is bounded by that number.
+    one is joined by shuffle). Values outside these buckets are never shuffled. A bucket wider than
+    ``sort_rows`` is divided between its own smallest and largest value, as often as it takes: every
+    division narrows the range, down to a single value, which needs no sort.
     """
-    if known_rows is not None and known_rows <= IN_MEMORY_ROWS and not lower:
-        direct = [F.percentile(finite(as_col(v)), float(p)).alias(n) for n, (v, p) in wanted.items()]
-        some = F.greatest(*[F.count(finite(as_col(v))) for v, _ in wanted.values()], F.lit(0)).alias("_some")
-        return df.groupBy(*by).agg(*direct, some).where("_some > 0").drop("_some")
     measures: dict[str, Column] = {}
     plan = []
     for name, (value, prob) in wanted.items():
@@ -124,13 +117,13 @@ def quantiles(
     widest = F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_in"))).alias("widest")
     chosen, seen = cut_measured(hist.where(F.size("_want") > 0).select(*kept), widest)
 
-    for _ in range(MAX_SPLITS):
-        if (seen["widest"] or 0) <= sort_rows:
-            break
-        rows = rows.join(chosen.select(*keys, "_lo", "_hi"), keys)
+    while (seen["widest"] or 0) > sort_rows:
+        # the chosen buckets are few; numbering them anew keeps the bucket numbers small at any depth
+        slot = F.row_number().over(Window.partitionBy(*group).orderBy("_code"))
+        rows = rows.join(chosen.select(*keys, "_lo", "_hi", slot.cast("bigint").alias("_slot")), keys)
         part = F.floor(F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * SPLIT)
         part = F.coalesce(F.least(part, F.lit(SPLIT - 1)), F.lit(0)).cast("bigint")
-        rows = rows.select(*group, "_v", F.col("_code").alias("_up"), (F.col("_code") * SPLIT + part).alias("_code"))
+        rows = rows.select(*group, "_v", F.col("_code").alias("_up"), (F.col("_slot") * SPLIT + part).alias("_code"))
         hist = rows.groupBy(*group, "_up", "_code").agg(*counts)
         parent = chosen.select(*group, F.col("_code").alias("_up"), F.col("_below").alias("_start"), "_want")
         hist = _positions(hist.join(parent, [*group, "_up"]), [*group, "_up"], F.col("_start"))

@@ -314,18 +314,20 @@ def reproject_to_utm(cells: DataFrame, scenes: DataFrame, edge_points: int = 21)
     return moved.unionByName(same), out.drop("_src").unionByName(keep.select("scene", "h", "w", "crs", "epsg", "t"))
 
 
-def mesh(cells: DataFrame, scenes: DataFrame, cap: int = 513, ref: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Display vertices (at most ``cap`` per side, outer cells kept) and triangles.
+def mesh(cells: DataFrame, scenes: DataFrame, cap: int = 513, ref: DataFrame | None = None, most: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Display vertices (at most ``cap`` per side, ``most`` in any case; outer cells kept) and triangles.
+
+    A mesh is for display: a grid with more cells than that is thinned, and heights between vertices are lost.
 
     ``scenes``: scene, h, w, pixel_m, min_h. A triangle is kept when its three vertices are valid.
     """
-    cap = max(2, min(1024, math.floor(cap)))
+    cap = max(2, min(most, math.floor(cap)))
     long = F.greatest("h", "w") - 1
     factor = F.least(F.lit(1.0), F.lit(float(cap - 1)) / long)
     dims = scenes.select(
         "scene", F.col("h").alias("_h"), F.col("w").alias("_w"), F.col("pixel_m").alias("_px"), F.col("min_h").alias("_min"),
-        (F.greatest(F.lit(2), half_up((F.col("h") - 1) * factor)) + 1).cast("int").alias("h"),
-        (F.greatest(F.lit(2), half_up((F.col("w") - 1) * factor)) + 1).cast("int").alias("w"),
+        F.greatest(F.lit(2), half_up((F.col("h") - 1) * factor) + 1).cast("int").alias("h"),
+        F.greatest(F.lit(2), half_up((F.col("w") - 1) * factor) + 1).cast("int").alias("w"),
     )
     g = grid_frame(dims).withColumnsRenamed({"row": "r", "col": "c"})
     col_f = F.col("c") / (F.col("w") - 1) * (F.col("_w") - 1)

@@ -9,8 +9,8 @@ from altigrid.functions.numbers import clip
 from altigrid.functions.terrain import (
     SLOPE_SATURATION_DEG, shade, signed_share, slope_degrees, unit_normal,
 )
-from altigrid.model import attach, cut, cut_measured, finite
-from altigrid.operators.metrics import NMAD_K, finite_range, median_and_mad, row_count
+from altigrid.model import attach, cut, finite
+from altigrid.operators.metrics import NMAD_K, finite_range, median_and_mad
 from altigrid.operators.neighbourhood import differences
 from altigrid.operators.ranks import value_ranks
 
@@ -36,9 +36,9 @@ def hillshade(cells: DataFrame, px=1.0, azimuth: float = 315.0, altitude: float
 
 def normalised_error(df: DataFrame, pred: str, ref: str, by: list[str], clamp_nmad: float = ERROR_CLAMP_NMAD) -> DataFrame:
     """``share`` of the error within ``clamp_nmad`` NMADs of its tile, -1..1."""
-    e, seen = cut_measured(df.withColumn("_e", finite(pred) - finite(ref)), row_count())
+    e = cut(df.withColumn("_e", finite(pred) - finite(ref)))
     spread = [c for c in df.columns if c not in by]
-    _, mad = median_and_mad(e.where("_e IS NOT NULL"), "_e", by, seen["rows"])
+    _, mad = median_and_mad(e, "_e", by)
     nmad = cut(mad.select(*by, (NMAD_K * F.col("_mad")).alias("_nmad")))
     unit = F.when(F.coalesce(F.col("_nmad"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("_nmad"))
     return attach(e, nmad, by, spread, how="left").withColumn("share", signed_share("_e", clamp_nmad * unit)).drop("_e", "_nmad")

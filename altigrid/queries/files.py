@@ -75,8 +75,8 @@ def a08(spark, d):
 
 
 @query("a09_metadata_validation", fx.with_sql(RESULT) + """
-SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'metadata must be an object' WHEN event_id % 50 < 2 THEN 'width must be an integer of at least 2' WHEN k < 2 THEN 'height must be an integer of at least 2'
-  WHEN event_id % 9 < 1 THEN 'min_h and max_h must be finite and ordered' END AS error FROM rs""")
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not a JSON object' WHEN event_id % 50 < 2 THEN 'bad width' WHEN k < 2 THEN 'bad height'
+  WHEN event_id % 9 < 1 THEN 'bad height range' END AS error FROM rs""")
 def a09(spark, d):
     t = result_texts(spark, d).withColumn("text", F.when(F.col("text").endswith("}"), F.col("text")).otherwise("[]"))
     out = files.validate_meta(t, "text")

@@ -18,16 +18,18 @@ def sql_r(cols, digits=6):
     return ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
 
 
-# E1 in SQL over a relation ``e(<by>, p, r)`` of valid pairs
+# E1 in SQL over a relation ``(<by>, p, r)``; a pair counts when both are there, a group always has a row
 def e1_sql(by: str, src: str) -> str:
+    valid = "FILTER (WHERE p - r IS NOT NULL)"
     return f"""
 e1_med AS (SELECT {by}, quantile_cont(p - r, 0.5) AS med FROM {src} GROUP BY {by}),
-e1 AS (
+e1_all AS (
   SELECT {by}, sqrt(avg((p - r) * (p - r))) AS rmse, avg(abs(p - r)) AS mae,
-         CASE WHEN max(p) > min(p) AND max(r) > min(r) THEN corr(p, r) ELSE 0 END AS pearson_r,
+         CASE WHEN max(p) {valid} > min(p) {valid} AND max(r) {valid} > min(r) {valid} THEN corr(p, r) ELSE 0 END AS pearson_r,
          avg(p - r) AS bias, 1.4826::DOUBLE * quantile_cont(abs(p - r - med), 0.5) AS nmad,
-         sqrt(avg((p - r - med) * (p - r - med))) AS offset_free_rmse, count(*) AS n_pixels
-  FROM {src} JOIN e1_med USING ({by}) GROUP BY {by})"""
+         sqrt(avg((p - r - med) * (p - r - med))) AS offset_free_rmse, count(p - r) AS n_pixels
+  FROM {src} JOIN e1_med USING ({by}) GROUP BY {by}),
+e1 AS (SELECT {by}, {", ".join(f"CASE WHEN n_pixels >= 2 THEN {m} END AS {m}" for m in M)}, n_pixels FROM e1_all)"""
 
 
 SCENE_PAIRS = """sp AS (
@@ -65,8 +67,7 @@ def e01_pairs(spark, d):
 
 
 @query("e01_dsm_metrics_objects", fx.with_sql(fx.G1, fx.G2, fx.G3, """op AS (
-  SELECT scene, g1.v AS p, g2.v AS r FROM g1 JOIN g2 USING (scene, row, col) JOIN g3 USING (scene, row, col)
-  WHERE g2.v - g3.v > 2.5)""", e1_sql("scene", "op")) + f"SELECT scene, {sql_r(M)}, n_pixels FROM e1")
+  SELECT scene, CASE WHEN g2.v - g3.v > 2.5 THEN g1.v END AS p, g2.v AS r FROM g1 JOIN g2 USING (scene, row, col) JOIN g3 USING (scene, row, col))""", e1_sql("scene", "op")) + f"SELECT scene, {sql_r(M)}, n_pixels FROM e1")
 def e01_objects(spark, d):
     cells = fx.g1(spark, d)
     trio = joins.join_cells(cells, fx.g2(cells)).join(fx.g3(cells).select("scene", "row", "col", F.col("v").alias("dtm")), ["scene", "row", "col"])

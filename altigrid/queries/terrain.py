@@ -308,7 +308,7 @@ def r02(spark, d):
     return r6(j, ["v", "a"])
 
 
-MESH_DIMS = """md AS (SELECT scene, h, w, greatest(2, floor((h - 1) * f + 0.5)) + 1 AS hr, greatest(2, floor((w - 1) * f + 0.5)) + 1 AS wr
+MESH_DIMS = """md AS (SELECT scene, h, w, greatest(2, floor((h - 1) * f + 0.5) + 1) AS hr, greatest(2, floor((w - 1) * f + 0.5) + 1) AS wr
   FROM (SELECT *, least(1.0::DOUBLE, 32.0::DOUBLE / (greatest(h, w) - 1)) AS f FROM dims)),
 mp AS (SELECT scene * 1000000 + r * 1000 + c AS vid, scene, r, c, h, w, hr, wr, c / (wr - 1) * (w - 1) AS col_f, r / (hr - 1) * (h - 1) AS row_f
   FROM md, range(0, 33) a(r), range(0, 33) b(c) WHERE r < hr AND c < wr)"""

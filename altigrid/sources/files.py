@@ -20,7 +20,7 @@ def _unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in frames:
         for scene, content, width, height in pdf.itertuples(index=False, name=None):
             if len(content) != width * height * 4:
-                raise ValueError(f"Grid {scene}: expected {width * height * 4} bytes, received {len(content)}.")
+                raise ValueError(f"scene {scene}: a {width} x {height} float grid cannot be read from {len(content)} bytes")
             grid = np.frombuffer(content, dtype="<f4").reshape(height, width)
             step = max(1, 1_000_000 // width)
             for top in range(0, height, step):
@@ -102,8 +102,11 @@ def list_results(spark: SparkSession, root: str) -> DataFrame:
     return catalogue_rows(read_results(spark.read, root)).orderBy(F.desc("finished"), "job_id")
 
 
-def validate_meta(df: DataFrame, json_col: str) -> DataFrame:
-    """Adds ``meta`` (units default to ``relative``) and ``error``, NULL when valid."""
+def validate_meta(df: DataFrame, json_col: str, max_cells: int = MAX_CELLS) -> DataFrame:
+    """Adds ``meta`` (units default to ``relative``) and ``error``, NULL when valid.
+
+    Grids of more than ``max_cells`` cells are marked as errors: the limit of a viewer, not of the other operators.
+    """
     is_object = F.coalesce(F.get_json_object(json_col, "$").startswith("{"), F.lit(False))
     x = df.withColumn("meta", F.when(is_object, F.from_json(json_col, META_SCHEMA)))
     f = {n: F.col(f"meta.{n}") for n in ("width", "height", "pixel_size_m", "min_h", "max_h", "units")}
@@ -115,13 +118,13 @@ def validate_meta(df: DataFrame, json_col: str) -> DataFrame:
         return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
 
     error = (
-        F.when(F.col("meta").isNull(), "metadata must be an object")
-        .when(bad_side(f["width"]), "width must be an integer of at least 2")
-        .when(bad_side(f["height"]), "height must be an integer of at least 2")
-        .when(f["width"] * f["height"] > MAX_CELLS, "too many cells")
-        .when(unbounded(f["pixel_size_m"]) | (f["pixel_size_m"] <= 0), "pixel_size_m must be positive and finite")
-        .when(unbounded(f["min_h"]) | unbounded(f["max_h"]) | (f["min_h"] > f["max_h"]), "min_h and max_h must be finite and ordered")
-        .when(f["units"].isNotNull() & ~f["units"].isin("m", "relative"), "units must be m or relative")
+        F.when(F.col("meta").isNull(), "not a JSON object")
+        .when(bad_side(f["width"]), "bad width")
+        .when(bad_side(f["height"]), "bad height")
+        .when(f["width"] * f["height"] > max_cells, "grid over the cell limit")
+        .when(unbounded(f["pixel_size_m"]) | (f["pixel_size_m"] <= 0), "bad pixel size")
+        .when(unbounded(f["min_h"]) | unbounded(f["max_h"]) | (f["min_h"] > f["max_h"]), "bad height range")
+        .when(f["units"].isNotNull() & ~f["units"].isin("m", "relative"), "unknown units")
     )
     units = F.coalesce(f["units"], F.lit("relative"))
     return x.withColumn("error", error).withColumn("meta", F.when(F.col("meta").isNotNull(), F.col("meta").withField("units", units)))

@@ -51,14 +51,22 @@ def test_object_mask(spark):
     assert [r[0] for r in df.select(object_mask("dsm", "dtm")).collect()] == [False, True, False, False]
 
 
-def test_large_inputs_take_the_bucket_path(spark, monkeypatch):
+def test_empty_groups_keep_their_row(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 2.5), ("b", None, 1.0), ("b", float("nan"), 3.0), ("c", 1.0, 1.0)], "g string, pred double, ref double")
+    got = {r.g: r for r in metrics.dsm_metrics(df, "pred", "ref", ["g"]).collect()}
+    assert {g: r.n_pixels for g, r in got.items()} == {"a": 2, "b": 0, "c": 1}
+    assert got["a"].rmse == pytest.approx(math.sqrt((1 + 0.25) / 2)) and got["b"].rmse is None and got["c"].nmad is None
+    flips = {r.g: r.r for r in metrics.polarity(df, "pred", "ref", ["g"]).collect()}
+    assert flips == {"a": pytest.approx(1.0), "b": None, "c": None}
+
+
+def test_medians_against_numpy(spark):
     rng = np.random.default_rng(3)
     pred, ref = rng.normal(size=3000), rng.normal(size=3000)
-    fast = metrics.dsm_metrics(pairs(spark, pred, ref), "pred", "ref", ["g"]).first()
-    monkeypatch.setattr("altigrid.operators.ranks.IN_MEMORY_ROWS", 10)
-    monkeypatch.setattr("altigrid.operators.metrics.IN_MEMORY_ROWS", 10)
-    slow = metrics.dsm_metrics(pairs(spark, pred, ref), "pred", "ref", ["g"]).first()
-    assert all(slow[k] == pytest.approx(fast[k], rel=1e-12) for k in metrics.METRICS)
+    got = metrics.dsm_metrics(pairs(spark, pred, ref), "pred", "ref", ["g"]).first()
+    e = pred - ref
+    assert got.nmad == pytest.approx(1.4826 * np.median(np.abs(e - np.median(e))), rel=1e-12)
+    assert got.offset_free_rmse == pytest.approx(np.sqrt(np.mean((e - np.median(e)) ** 2)), rel=1e-9)
 
 
 @pytest.mark.parametrize("sort_rows", [4_000_000, 5])
