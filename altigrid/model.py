@@ -8,8 +8,6 @@ CRS and affine transform.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -93,16 +91,10 @@ def attach(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables, as the cluster names it.
-
-    Only a local session without the setting gets a temporary folder of its own.
-    """
+    """Folder for checkpoints and intermediate tables, as the cluster names it in ``spark.checkpoint.dir``."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
-        path = os.environ.get("ALTIGRID_LOCAL_SCRATCH") or tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("Set spark.checkpoint.dir to a folder every executor can reach.")
     return path
 
 

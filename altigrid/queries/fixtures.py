@@ -151,20 +151,28 @@ PER_TILE = """per_tile AS (
   FROM (SELECT *, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice / 1000.0::DOUBLE END AS rmse FROM orders))"""
 
 
+def scene_count(spark: SparkSession, sf_dir: str) -> int:
+    """Scenes that G1 has, from the vectors' ids."""
+    return table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] // 50 + 1
+
+
+SCENE_COUNT = "(SELECT max(vec_id) // 50 + 1 FROM embeddings)"
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractional points from events, as pixel coordinates of the G1 scenes."""
     k = F.col("event_id")
     return table(spark, sf_dir, "events").select(
         k.alias("point"),
-        (F.col("user_id") % 10).alias("scene"),
+        (F.col("user_id") % scene_count(spark, sf_dir)).alias("scene"),
         (F.pmod(k * 13, F.lit(4999)) / 100.0).alias("row_f"),
         (F.pmod(k * 29, F.lit(6399)) / 100.0).alias("col_f"),
         F.col("value").alias("height"),
     )
 
 
-POINTS = """points AS (
-  SELECT event_id AS point, user_id % 10 AS scene, (event_id * 13 % 4999) / 100.0::DOUBLE AS row_f,
+POINTS = f"""points AS (
+  SELECT event_id AS point, user_id % {SCENE_COUNT} AS scene, (event_id * 13 % 4999) / 100.0::DOUBLE AS row_f,
          (event_id * 29 % 6399) / 100.0::DOUBLE AS col_f, value AS height FROM events)"""
 
 

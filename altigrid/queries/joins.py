@@ -14,14 +14,14 @@ from altigrid.queries.scalars import SITES, ZONE, _krueger_sql, sites
 KEY = ["scene", "row", "col"]
 
 
-@query("d02_window_range_join", fx.with_sql(fx.G1, """rects AS (SELECT o_orderkey AS tile, o_orderkey % 10 AS scene, CAST(o_orderkey * 7 % 45 AS BIGINT) AS r0, CAST(o_orderkey * 11 % 60 AS BIGINT) AS c0,
+@query("d02_window_range_join", fx.with_sql(fx.G1, f"""rects AS (SELECT o_orderkey AS tile, o_orderkey % {fx.SCENE_COUNT} AS scene, CAST(o_orderkey * 7 % 45 AS BIGINT) AS r0, CAST(o_orderkey * 11 % 60 AS BIGINT) AS c0,
   o_orderkey % 6 AS hh, o_orderkey % 9 AS ww FROM orders)""") + """
 SELECT tile, scene, row, col, round(v, 6) + 0.0 AS v FROM g1 JOIN rects USING (scene) WHERE row BETWEEN r0 AND r0 + hh AND col BETWEEN c0 AND c0 + ww""")
 def d02(spark, d):
     k = F.col("o_orderkey")
     px, origin_x, origin_y = 0.5, 100.0, 900.0
     t = fx.table(spark, d, "orders").select(
-        k.alias("tile"), (k % 10).alias("scene"), (origin_x + (k * 11 % 60) * px).alias("c"), (origin_y - (k * 7 % 45) * px).alias("f"),
+        k.alias("tile"), (k % fx.scene_count(spark, d)).alias("scene"), (origin_x + (k * 11 % 60) * px).alias("c"), (origin_y - (k * 7 % 45) * px).alias("f"),
         (k % 6 + 1).alias("h"), (k % 9 + 1).alias("w"),
     )
     cells = fx.g1(spark, d)
