@@ -102,9 +102,9 @@ class Codec:
         if len(self.known) > CACHE_TOKENS:
             self.known.clear()
         pieces = self.split(text)
-        new = set(pieces) - self.known.keys()
+        new = [p for p in set(pieces) if p not in self.known]
         if new:
-            self.resolve(list(new))
+            self.resolve(new)
         return b"".join(map(self.known.__getitem__, pieces))
 
     def decode(self, ids: np.ndarray) -> bytes:
