@@ -73,7 +73,7 @@ class WordEncoder:
             else:
                 self.words.update((w, self._one(w.decode())) for w in g)
 
-    def _learn(self, missing: set[bytes]) -> None:
+    def _learn(self, missing: list[bytes]) -> None:
         """Plain letter words end with their end-of-word id; other words are parted by a word that none of them holds."""
         plain: set[bytes] = set()
         others: list[bytes] = []
@@ -90,8 +90,7 @@ class WordEncoder:
             plain.add(low)
             if low is not w and low != w:
                 made.append((w, low))
-        plain -= self.words.keys()
-        self._batch(list(plain), "", self.ends, 1)
+        self._batch([w for w in plain if w not in self.words], "", self.ends, 1)
         odd = [w for w in others if PARTING in w.lower()]
         self._batch([w for w in others if PARTING not in w.lower()], f" {PARTING.decode()} ", self.parting, 0)
         self.words.update((w, self._one(w.decode())) for w in odd)
@@ -107,9 +106,9 @@ class WordEncoder:
         missing: set[bytes] = set()
         for ws in split:
             missing.update(ws)
-        missing -= self.words.keys()
-        if missing:
-            self._learn(missing)
+        new = [w for w in missing if w not in self.words]
+        if new:
+            self._learn(new)
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
 
