@@ -22,10 +22,6 @@ def half_up(c) -> Column:
     return F.floor(as_col(c) + 0.5)
 
 
-def half_even(c) -> Column:
-    return F.rint(as_col(c))
-
-
 def pearson(x, y) -> Column:
     """Grouped correlation that is 0 when either side is constant.
 

@@ -111,7 +111,8 @@ def diverse_worst(per_tile: DataFrame, method: str) -> DataFrame:
     The worst tile per landscape is a combinable aggregate; the two worst of those are the pair.
     """
     rows = per_tile.where((F.col("method") == method) & F.col("rmse").isNotNull())
-    top = last_per(rows, ["landscape"], "rmse", ["tile", "rmse"])
+    first = F.min(F.struct((-F.col("rmse")).alias("_o"), "tile", "rmse")).alias("_t")  # equal values: the smallest tile, as in H1
+    top = rows.groupBy("landscape").agg(first).select("landscape", "_t.tile", "_t.rmse")
     return top.orderBy(F.desc("rmse"), F.asc("tile")).limit(2)
 
 

@@ -172,7 +172,7 @@ def apply_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
 
 
 def canonical(value: Column) -> Column:
-    """JSON text with struct fields and map keys in sorted order, so key order never matters."""
+    """JSON text of a typed value: fields stand in the schema's order, whatever the order in the source text."""
     return F.to_json(F.struct(value.alias("v")))
 
 

@@ -117,6 +117,8 @@ def _fill_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             src = np.array([np.nan if x is None else x for x in r], dtype=float)
             val = np.array([np.nan if x is None else x for x in v], dtype=float)
             oth = np.array([np.nan if x is None else x for x in a], dtype=float)
+            if not np.isfinite(src).any():
+                continue  # no source in any column: nothing to fill from
             drop2 = (src - row) ** 2
             n = len(col)
             gap = np.flatnonzero(np.asarray(m, dtype=bool))

@@ -26,7 +26,7 @@ def g1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_from_arrays(e, "row", "embedding").withColumn("v", 100.0 + 50.0 * F.col("v"))
 
 
-G1 = """g1 AS (
+G1 = """g1 AS MATERIALIZED (
   SELECT vec_id // 50 AS scene, CAST(vec_id % 50 AS INTEGER) AS row, CAST(p - 1 AS INTEGER) AS col,
          100.0::DOUBLE + 50.0::DOUBLE * CAST(embedding[p] AS DOUBLE) AS v
   FROM embeddings, range(1, 65) t(p))"""
@@ -49,9 +49,9 @@ def g2(cells: DataFrame) -> DataFrame:
     return cells.withColumn("v", F.when(~hole, _truth()))
 
 
-G2 = f"""g2 AS (
+G2 = f"""g2 AS MATERIALIZED (
   SELECT scene, row, col, CASE WHEN (row * 64 + col) % 17 <> 0 THEN {TRUTH} END AS v FROM g1)"""
-G2_FULL = f"g2f AS (SELECT scene, row, col, {TRUTH} AS v FROM g1)"
+G2_FULL = f"g2f AS MATERIALIZED (SELECT scene, row, col, {TRUTH} AS v FROM g1)"
 
 
 def g3(cells: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def g3(cells: DataFrame) -> DataFrame:
     return cells.withColumn("v", F.col("v") - ((F.col("row") + 2 * F.col("col")) % 9).cast("double"))
 
 
-G3 = "g3 AS (SELECT scene, row, col, v - CAST((row + 2 * col) % 9 AS DOUBLE) AS v FROM g1)"
+G3 = "g3 AS MATERIALIZED (SELECT scene, row, col, v - CAST((row + 2 * col) % 9 AS DOUBLE) AS v FROM g1)"
 
 
 def g4(cells: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def g4(cells: DataFrame) -> DataFrame:
     )
 
 
-G4 = """g4 AS (
+G4 = """g4 AS MATERIALIZED (
   SELECT scene, row // 5 AS row, col // 4 AS col, avg(v) AS v FROM g2f GROUP BY 1, 2, 3)"""
 
 

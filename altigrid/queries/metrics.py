@@ -103,11 +103,6 @@ def e04(spark, d):
     return r6(metrics.relative_metrics(scene_pairs(spark, d), "pred", "ref", ["scene"]), [*M, "align_a", "align_b"])
 
 
-E5_CTE = """pol AS (
-  SELECT l_returnflag || l_linestatus || CAST(CAST(pred AS BIGINT) % 97 AS VARCHAR) AS tile, corr(pred, ref) AS r
-  FROM pairs GROUP BY 1 HAVING count(*) >= 2)"""
-
-
 @query("e05_polarity", fx.with_sql(fx.G1, fx.G2, SCENE_PAIRS) + "SELECT scene, round(corr(p, r), 6) + 0.0 AS r FROM sp GROUP BY scene")
 def e05(spark, d):
     return r6(metrics.polarity(scene_pairs(spark, d), "pred", "ref", ["scene"]), ["r"])

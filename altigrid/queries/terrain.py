@@ -181,14 +181,6 @@ def r05(spark, d):
     return r6(out.select("point", "scene", "height"), ["height"])
 
 
-def inspect_sql(pts: str, keep: str) -> str:
-    return ",\n".join([
-        bilin_sql("g1", pts, "row_f", "col_f", "hh", f"{keep}, q.scene, q.row_f, q.col_f"),
-        f"h2 AS (SELECT hh.*, gx, gy FROM hh LEFT JOIN gr ON gr.scene = hh.scene AND gr.row = floor(row_f + 0.5) AND gr.col = floor(col_f + 0.5))",
-        bilin_sql("g2", "h3", "row_f", "col_f", "rr", f"{keep}, q.scene, q.row_f, q.col_f, q.height, q.slope"),
-    ]).replace("rr AS (", "rr AS (", 1)
-
-
 def _inspect_ctes(pts: str, key: str) -> list[str]:
     return [
         bilin_sql("g1", pts, "row_f", "col_f", "hh", f"q.{key}, q.scene, q.row_f, q.col_f"),
