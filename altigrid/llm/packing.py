@@ -132,7 +132,7 @@ def _pieces(length: int, with_ids: bool):
 def pack(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents: where each run of ids lies in its document and in its sequence."""
     line = along_curve(docs, path, end_id)
-    placed = line.join(part_starts(line.select("part", "tokens")), "part")
-    placed = placed.select("doc_id", "tokens", (F.col("local") + F.col("before")).alias("at"), "ids")
+    placed = line.join(F.broadcast(part_starts(line.select("part", "tokens"))), "part")
+    placed = placed.select("doc_id", "tokens", (F.col("local") + F.col("earlier")).alias("at"), "ids")
     types = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>"
     return placed.mapInArrow(_pieces(length, with_ids), types)

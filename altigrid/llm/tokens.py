@@ -152,8 +152,8 @@ def _unpress(dictionary: bytes):
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-BLOCKS = "part int, block int, tokens bigint, dictionary_crc32 bigint, width int, doc_ids array<bigint>, lengths array<bigint>, offsets array<bigint>, payload binary"
-_BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+BLOCKS = "part int, block int, before bigint, tokens bigint, dictionary_crc32 bigint, width int, doc_ids array<bigint>, lengths array<bigint>, offsets array<bigint>, payload binary"
+_BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 _BLOCK_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 
 
@@ -165,12 +165,12 @@ def write_blocks(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
     width = 2 if len(encoder(path).ends) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, part, block = _press(dictionary), TaskContext.get().partitionId(), 0
+        press, part, block, before = _press(dictionary), TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, int, bytes]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            row = [part, block, sum(n for _, n, _ in held), zlib.crc32(dictionary), width, [d for d, _, _ in held], [n for _, n, _ in held],
+            row = [part, block, before, sum(n for _, n, _ in held), zlib.crc32(dictionary), width, [d for d, _, _ in held], [n for _, n, _ in held],
                    np.cumsum([0, *(len(x) for _, _, x in held)]).tolist(), b"".join(x for _, _, x in held)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)], names=_BLOCK_NAMES)
 
@@ -181,6 +181,7 @@ def write_blocks(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
                 size += len(x)
                 if size >= BLOCK_BYTES:
                     yield flush()
+                    before += sum(n for _, n, _ in held)
                     held, size, block = [], 0, block + 1
         if held:
             yield flush()
@@ -191,10 +192,10 @@ def write_blocks(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
 
 
 def part_starts(parts: DataFrame) -> DataFrame:
-    """(part, before): what lies in all earlier partitions. One row per partition, not per document."""
+    """(part, earlier): what lies in all earlier partitions. One row per partition, not per document, so it may be broadcast."""
     total = parts.groupBy("part").agg(F.sum("tokens").alias("tokens"))
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    return total.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return total.select("part", F.coalesce(before, F.lit(0)).alias("earlier"))
 
 
 def read_dictionary(spark: SparkSession, folder: str) -> bytes:
@@ -205,8 +206,8 @@ def read_dictionary(spark: SparkSession, folder: str) -> bytes:
     return raw
 
 
-def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per document, from the files alone: doc_id, start, n_tokens, ids (little-endian uint32)."""
+def read_blocks(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """One row per document, from the files alone: doc_id, start, n_tokens, ids_crc32, ids (little-endian uint32)."""
     dictionary = read_dictionary(spark, folder)
     crc = zlib.crc32(dictionary)
 
@@ -222,19 +223,16 @@ def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
                     x = unpress.decompress(r["payload"][a:b])
                     ids.append(np.frombuffer(x, np.uint16).astype(np.uint32).tobytes() if r["width"] == 2 else x)
                 n = [len(x) // 4 for x in ids]
-                local = np.cumsum([0, *n[:-1]])
                 k = len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["part"]] * k, pa.int32()), pa.array([r["block"]] * k, pa.int32()), pa.array(r["doc_ids"], pa.int64()),
-                     pa.array(local, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["part", "block", "doc_id", "local", "n_tokens", "ids"])
+                    [pa.array([r["part"]] * k, pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["before"] + np.cumsum([0, *n[:-1]]), pa.int64()),
+                     pa.array(n, pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids if with_ids else [None] * k, pa.binary())],
+                    names=["part", "doc_id", "local", "n_tokens", "ids_crc32", "ids"])
 
     blocks = spark.read.parquet(f"{folder}/blocks")
-    sizes = blocks.select("part", "block", "tokens")
-    in_part = F.sum("tokens").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    at = sizes.select("part", "block", F.coalesce(in_part, F.lit(0)).alias("in_part")).join(part_starts(sizes), "part")
-    docs = blocks.mapInArrow(run, "part int, block int, doc_id bigint, local bigint, n_tokens bigint, ids binary")
-    return docs.join(at, ["part", "block"]).select("doc_id", (F.col("local") + F.col("in_part") + F.col("before")).alias("start"), "n_tokens", "ids")
+    docs = blocks.mapInArrow(run, "part int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    placed = docs.join(F.broadcast(part_starts(blocks.select("part", "tokens"))), "part")
+    return placed.select("doc_id", (F.col("local") + F.col("earlier")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def fetch(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
@@ -253,12 +251,8 @@ def fetch(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
     return frame.select("doc_id", open_frame("frame", "width").alias("ids"))
 
 
-def crc32_udf():
-    return F.pandas_udf(lambda ids: pd.Series([zlib.crc32(x) for x in ids]), "bigint")
-
-
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """Write the files to the session's shared folder and read every document back from them."""
     folder = scratch_path(docs.sparkSession, "tokens")
     write_blocks(docs, folder, path)
-    return read_blocks(docs.sparkSession, folder)
+    return read_blocks(docs.sparkSession, folder, with_ids)
