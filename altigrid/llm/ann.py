@@ -65,53 +65,50 @@ def blocks(vectors: DataFrame, per_block: int) -> DataFrame:
 
 
 def search(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, distance) of the k nearest found in one block."""
+    """(query row, vector row, distance) of the k nearest found in one block. Queries share the rounds."""
     a = lines(x.shape[1])
     px, pq = x @ a, q @ a
-    arrays = [px[order[j], j] for j in range(a.shape[1])]
-    need = math.ceil(SHARE * a.shape[1])
-    spread = float(np.median(np.std(px, axis=0))) or 1.0
-    rows, cols, dists = [], [], []
-    n = len(x)
-    for i in range(len(q)):
-        own = ids == qid[i]
-        want = min(k, n - int(own.sum()))
-        if not want:
-            continue
-        counts = np.zeros(n, np.int32)
-        lo = np.array([np.searchsorted(s, v, side="left") for s, v in zip(arrays, pq[i], strict=True)])
-        hi = lo.copy()
-        seen = np.zeros(n, bool)
-        seen[own] = True
-        best_row, best = np.zeros(0, np.int64), np.zeros(0)
-        radius = spread / 16
-        while True:
-            for j, s in enumerate(arrays):
-                left = np.searchsorted(s, pq[i, j] - radius, side="left")
-                right = np.searchsorted(s, pq[i, j] + radius, side="right")
-                left, right = min(left, lo[j]), max(right, hi[j])
-                np.add.at(counts, order[j, left : lo[j]], 1)
-                np.add.at(counts, order[j, hi[j] : right], 1)
-                lo[j], hi[j] = left, right
-            fresh = np.flatnonzero((counts >= need) & ~seen)
+    n, m = len(x), a.shape[1]
+    arrays = [px[order[j], j] for j in range(m)]
+    need = math.ceil(SHARE * m)
+    radius = 0.5 * (float(np.median(np.std(px, axis=0))) or 1.0)
+    counts = np.zeros((len(q), n), np.int16)
+    lo = np.stack([np.searchsorted(s, pq[:, j]) for j, s in enumerate(arrays)], 1)
+    hi = lo.copy()
+    seen = ids[None, :] == qid[:, None]
+    want = np.minimum(k, n - seen.sum(axis=1))
+    found = [(np.zeros(0, np.int64), np.zeros(0))] * len(q)
+    active = np.flatnonzero(want > 0)
+    while len(active):
+        for j, s in enumerate(arrays):
+            left = np.minimum(np.searchsorted(s, pq[active, j] - radius, side="left"), lo[active, j])
+            right = np.maximum(np.searchsorted(s, pq[active, j] + radius, side="right"), hi[active, j])
+            for i, b, c, d, e in zip(active.tolist(), left.tolist(), lo[active, j].tolist(), hi[active, j].tolist(), right.tolist(), strict=True):
+                if b < c:
+                    counts[i][order[j, b:c]] += 1
+                if d < e:
+                    counts[i][order[j, d:e]] += 1
+            lo[active, j], hi[active, j] = left, right
+        still = []
+        for i in active.tolist():
+            fresh = np.flatnonzero((counts[i] >= need) & ~seen[i])
+            row, dist = found[i]
             if len(fresh):
-                seen[fresh] = True
+                seen[i, fresh] = True
                 d = x[fresh] - q[i]
-                best_row, best = np.concatenate([best_row, fresh]), np.concatenate([best, np.sqrt((d * d).sum(axis=1))])
-                if len(best) > want:
-                    keep = np.lexsort((ids[best_row], best))[:want]
-                    best_row, best = best_row[keep], best[keep]
+                row, dist = np.concatenate([row, fresh]), np.concatenate([dist, np.sqrt((d * d).sum(axis=1))])
+                if len(dist) > want[i]:
+                    keep = np.lexsort((ids[row], dist))[: want[i]]
+                    row, dist = row[keep], dist[keep]
+                found[i] = (row, dist)
             # a vector at distance d projects within d of the query on two lines in three
-            if len(best) == want and (best.max() <= radius * 1.02 or (lo == 0).all() and (hi == n).all()):
-                break
-            if (lo == 0).all() and (hi == n).all():
-                break
-            radius *= GROWTH
-        rows.append(np.full(len(best), i))
-        cols.append(best_row)
-        dists.append(best)
-    cat = lambda z, kind: np.concatenate(z) if z else np.zeros(0, kind)
-    return cat(rows, np.int64), cat(cols, np.int64), cat(dists, np.float64)
+            near = len(dist) == want[i] and dist.max() <= radius * 1.02
+            if not near and not ((lo[i] == 0).all() and (hi[i] == n).all()):
+                still.append(i)
+        active = np.array(still, np.int64)
+        radius *= GROWTH
+    rows = np.repeat(np.arange(len(q)), [len(r) for r, _ in found])
+    return rows, np.concatenate([r for r, _ in found] or [np.zeros(0, np.int64)]), np.concatenate([d for _, d in found] or [np.zeros(0)])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding",
