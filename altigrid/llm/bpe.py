@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from altigrid.llm.arrays import PerfectHash, chunks
 
-CACHE_TOKENS = 250_000
+CACHE_TOKENS = 600_000
 
 
 class Vocabulary:
