@@ -8,7 +8,8 @@ labeler's reliability, and its posteriors train a logistic span classifier, whic
 strict patterns do not cover. Nothing of a text reaches the driver.
 
 Defined results: a null text is empty; spans are code points, end exclusive; an added span never
-overlaps a base span. Other columns pass through.
+overlaps a base span. A secret of any length is one value: where it holds base spans, it is judged as a
+whole and added as the stretches between them. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOSE_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]+(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]+)+")
 LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
-SECRET = re.compile(r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,200})", re.I)
+SECRET = re.compile(r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,})", re.I)
 SECRET_WORDS = ("passw", "pwd", "token", "secret", "api", "access")
 
 # Gazetteers: fixed values.
@@ -104,7 +105,7 @@ class Candidate:
 
 
 def candidates(text: str) -> list[Candidate]:
-    """Base spans, failed strict matches and loose matches that touch no base span."""
+    """Base spans, failed strict matches and loose matches that touch no base span, or secrets not all within them."""
     found = base_spans(text)
     out = [Candidate(k, a, b, True, False) for k in BASE_KINDS for a, b in found[k]]
     taken = sorted((c.start, c.end) for c in out)
@@ -123,11 +124,22 @@ def candidates(text: str) -> list[Candidate]:
     for c in sorted(loose, key=lambda c: (c.start, -c.end, KINDS.index(c.kind))):
         # base spans of different kinds may overlap each other, so look at all that start before the end
         near = int(np.searchsorted(starts, c.end)) if len(starts) else 0
-        if not any(b > c.start for _, b in taken[:near]):
+        if not any(b > c.start for _, b in taken[:near]) or (c.kind == "secret" and outside(c, taken[:near])):
             out.append(c)
     return out
 
 
+def outside(c: Candidate, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a candidate that none of the sorted spans covers."""
+    out, at = [], c.start
+    for a, b in taken:
+        if b > at:
+            if min(a, c.end) > at:
+                out.append((at, min(a, c.end)))
+            at = b
+    return [*out, (at, c.end)] if at < c.end else out
+
+
 def entropy(s: str) -> float:
     n = len(s)
     return -sum(v / n * math.log2(v / n) for v in Counter(s).values())
@@ -166,7 +178,7 @@ def features(text: str, c: Candidate) -> tuple[int, ...]:
     n = len(s)
     around = (text[c.start - 1] if c.start else " ") + (text[c.end] if c.end < len(text) else " ")
     return (
-        min(5, n.bit_length() - 2), min(4, 5 * sum(x.isdigit() for x in s) // n), min(3, int(entropy(s[:64]))),
+        min(5, n.bit_length() - 2), min(4, 5 * sum(x.isdigit() for x in s) // n), min(3, int(entropy(s))),
         min(2, sum(not x.isalnum() for x in s)), int(not any(x.isalnum() for x in around)))
 
 
@@ -263,7 +275,9 @@ def spans(text: str, model: Model, accept: float = ACCEPT, known: dict | None =
     """(kind, start, end, base) by kind, then start."""
     known = {} if known is None else known
     out, end = [], -1
-    for c in candidates(text):
+    found = candidates(text)
+    taken = sorted((c.start, c.end) for c in found if c.base)
+    for c in found:
         if c.base:
             out.append((c.kind, c.start, c.end, True))
         elif c.start >= end:
@@ -271,7 +285,7 @@ def spans(text: str, model: Model, accept: float = ACCEPT, known: dict | None =
             if key not in known:
                 known[key] = model.probability(*key)
             if known[key] >= accept:
-                out.append((c.kind, c.start, c.end, False))
+                out += [(c.kind, a, b, False) for a, b in outside(c, taken)]
                 end = c.end
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 

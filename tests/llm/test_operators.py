@@ -356,6 +356,26 @@ def test_personal_data(spark, empty):
     assert pii.find(empty).count() == 0 and pii.mask(docs, model).columns == docs.columns
 
 
+def test_long_secrets_are_whole(spark):
+    """Tokens of any length are one span, and nothing of them is left in the text, base spans inside or not."""
+    from altigrid.llm import pii
+
+    rng = random.Random(3)
+    token = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ_") + rng.choice("0123456789") for _ in range(500))
+    card = f"{token[:600]}x4111111111111111x{token[600:]}"
+    plain = [(i, f"the token = {token[i:i + 24]} is set") for i in range(20)]
+    docs = frame(spark, [(100, f"use token={token} here"), (101, f"use token={card} here"), *plain])
+    model = pii.train(docs)
+    got = {r.doc_id: r.spans for r in pii.find(docs, model).where("doc_id >= 100").collect()}
+    assert [(x.kind, x.start, x.end) for x in got[100]] == [("secret", 10, 1010)]
+    assert [(x.kind, x.start, x.end) for x in got[101]] == [("card", 611, 627), ("secret", 10, 611), ("secret", 627, 1028)]
+    out = {r.doc_id: r.text for r in pii.mask(docs, model).collect()}
+    assert out[100] == "use token=[SECRET] here" and out[101] == "use token=[SECRET][CARD][SECRET] here"
+    # the features are those of the whole span
+    c = next(x for x in pii.candidates("token=" + "a" * 64 + token) if x.kind == "secret")
+    assert pii.features("token=" + "a" * 64 + token, c)[2:5:2] == (3, 1)
+
+
 def test_chat_round_trip(spark):
     from altigrid.llm import chat
 
