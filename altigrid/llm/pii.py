@@ -37,7 +37,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOOSE_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]+(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]+)+")
+LOOSE_AT = re.compile(r"[ \[(]at[ \])]")
+LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]+)+")
+EDGE = re.compile(r"\b")
 LOOSE_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 SECRET = re.compile(r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.=-]{8,})", re.I)
 SECRET_WORDS = ("passw", "pwd", "token", "secret", "api", "access")
@@ -79,6 +81,25 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def loose_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of a word edge, local part, spelled at and domain, found from their ats (linear, too)."""
+    done, m = 0, LOOSE_AT.search(text)
+    while m:
+        a, b, bare = m.start(), m.end(), m[0] == " at "
+        if bare or " " not in (text[a], text[b - 1]):
+            if not bare:
+                a, b = a - (text[a - 1 : a] == " "), b + (text[b : b + 1] == " ")
+            lo = a
+            while lo > done and text[lo - 1] in LOCAL:
+                lo -= 1
+            lo = EDGE.search(text, lo).start() if lo < a else a
+            d = LOOSE_DOMAIN.match(text, b) if lo < a else None
+            if d:
+                yield lo, d.end()
+                done = d.end()
+        m = LOOSE_AT.search(text, max(m.start() + 1, done))
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """The strict matches of each kind, and under ``no`` + kind the matches that failed their test."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, "no_ip", "no_card", "no_phone")}
@@ -110,8 +131,7 @@ def candidates(text: str) -> list[Candidate]:
     out = [Candidate(k, a, b, True, False) for k in BASE_KINDS for a, b in found[k]]
     taken = sorted((c.start, c.end) for c in out)
     loose = [Candidate(k, a, b, False, True) for k in ("ip", "card", "phone") for a, b in found[f"no_{k}"]]
-    if "at)" in text or "at]" in text or " dot " in text:
-        loose += [Candidate("email", *m.span(), False, False) for m in LOOSE_EMAIL.finditer(text)]
+    loose += [Candidate("email", a, b, False, False) for a, b in loose_emails(text)]
     if any("0" <= c <= "9" for c in text):
         loose += [Candidate("phone", *m.span(), False, False) for m in LOOSE_PHONE.finditer(text)]
     if "=" in text or ":" in text:

@@ -376,6 +376,23 @@ def test_long_secrets_are_whole(spark):
     assert pii.features("token=" + "a" * 64 + token, c)[2:5:2] == (3, 1)
 
 
+def test_spelled_emails_are_candidates():
+    """The same as the plain pattern on every text, whatever else the text holds."""
+    from altigrid.llm import pii
+
+    pattern = re.compile(r"\b[A-Za-z0-9._%+-]+(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]+(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]+)+")
+    spelled = ["jane.doe at example.com", "jane at example (dot) com", "jane at example[dot]com", "jane (at) example.com", "jane[at]example dot com", "jane (at] a (dot] b.c"]
+    for t in spelled:
+        for before in ("", "write to ", "(cat) and "):
+            found = [(c.kind, c.start, c.end) for c in pii.candidates(before + t)]
+            assert found == [("email", len(before), len(before + t))]
+    rng = random.Random(6)
+    parts = ["a", "b-c", "é", ".", "-", " ", "  ", " at ", "(at)", "[at]", " (at) ", "(at ", " at)", " dot ", "(dot)", " [dot] ", "x.y", "_", "@", "at", "\n", "%"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert list(pii.loose_emails(t)) == [m.span() for m in pattern.finditer(t)], t
+
+
 def test_chat_round_trip(spark):
     from altigrid.llm import chat
 
