@@ -15,7 +15,7 @@ from altigrid.llm import lines, minhash, packing, pii, quality
 from altigrid.llm.queries import vocabulary
 from altigrid.model import scratch_path
 
-#: A short text can be clean, so the pipeline asks for few words only.
+#: A short text can be clean, so the pipeline asks for few words only; all other rules hold at any length.
 MIN_WORDS = 1
 
 

@@ -393,6 +393,15 @@ def test_spelled_emails_are_candidates():
         assert list(pii.loose_emails(t)) == [m.span() for m in pattern.finditer(t)], t
 
 
+def test_pipeline_rejects_short_repetitive_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    texts = ["buy now " * 24, "take this offer " * 13 + "now", "one two three one two three", "one two", "fine", " ".join(f"{rng.choice('abcdefg') * 4}{i}" for i in range(40)), "a short clean text of nine words stays here"]
+    out = corpus_pipeline.quality_rules(spark, frame(spark, list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 6]
+
+
 def test_chat_round_trip(spark):
     from altigrid.llm import chat
 
