@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from altigrid.llm import lines, minhash, packing, pii, quality
 from altigrid.llm.queries import vocabulary
-from altigrid.model import scratch_path
+from altigrid.model import cut, scratch_path
 
 #: A short text can be clean, so the pipeline asks for few words only; all other rules hold at any length.
 MIN_WORDS = 1
@@ -33,10 +33,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8) stays."""
-    found = minhash.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group (five-word shingles, similarity 0.8) stays.
+
+    Every row is a node of its own, so rows with equal or null doc_id are judged by their texts like all
+    others. The smallest doc_id stays, null last, then the smallest text hash. Texts without words stay.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, percent=80)
+    place = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_place"))
+    groups = found.select(F.col("doc_id").alias("_row"), "component_id").join(place, "_row").groupBy("component_id")
+    stay = groups.agg(F.min("_place").alias("_place")).select("_place._row")
+    return rows.join(stay, "_row", "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

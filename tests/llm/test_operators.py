@@ -402,6 +402,24 @@ def test_pipeline_rejects_short_repetitive_texts(spark):
     assert sorted(r.doc_id for r in out.collect()) == [3, 4, 5, 6]
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Rows read in twice, null ids beside and without a copy that has an id, near copies of either."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = [" ".join(f"{rng.choice('abcdefg')}{rng.randrange(10_000)}" for _ in range(120)) for _ in range(6)]
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, text[0]), (1, text[0]), (2, text[1]), (None, text[1]), (None, text[2]), (None, text[2]), (3, near(text[2])), (None, text[3]), (None, near(text[3])),
+            (4, text[4]), (4, text[5]), (5, near(text[5])), (4, text[4]), (6, ""), (None, None)]
+    docs = frame(spark, rows).repartition(4)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    last = [g for g in got if g[0] is None and g[1]]
+    assert len(last) == 1 and last[0][1] in (text[3], near(text[3])) and out.columns == docs.columns
+    want = [(1, text[0]), (2, text[1]), (3, near(text[2])), last[0], (4, text[4]), (4, text[5]), (6, ""), (None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_chat_round_trip(spark):
     from altigrid.llm import chat
 
