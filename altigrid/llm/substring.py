@@ -33,7 +33,13 @@ POSITION = 24
 
 
 def minimisers(g: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` values the smallest, as (40 hash bits, position)."""
+    """For each run of ``width`` values the smallest, as (40 hash bits, position).
+
+    Positions count from the start of a stretch that they fit into; stretches share ``width - 1`` values.
+    """
+    most = 1 << POSITION
+    if len(g) > most:
+        return np.concatenate([minimisers(g[a : a + most], width) for a in range(0, len(g) - width + 1, most - width + 1)])
     key = (g & ~U((1 << POSITION) - 1)) | np.arange(len(g), dtype=np.uint64)
     done = 1
     while done * 2 <= width:

@@ -163,6 +163,19 @@ def test_equal_hashes_are_told_apart():
     assert hit.tolist() == [True, True, False]
 
 
+def test_minimisers_of_very_long_texts():
+    """More words than a position has bits for: equal windows early and late have equal minimiser hashes."""
+    from altigrid.llm import substring
+
+    g = np.random.default_rng(2).integers(0, 1 << 63, (1 << 24) + 5_000, dtype=np.uint64)
+    g[-200:] = g[:200]
+    low = substring.minimisers(g, 32) >> np.uint64(substring.POSITION)
+    assert len(low) == len(g) - 31 and (low[-169:] == low[:169]).all()
+    for a in (0, (1 << 24) - 300, len(low) - 300):
+        want = np.lib.stride_tricks.sliding_window_view(g[a : a + 331], 32).min(axis=1) >> np.uint64(substring.POSITION)
+        assert (low[a : a + 300] == want).all()
+
+
 def jaccard(a, b):
     return len(a & b), len(a | b)
 
