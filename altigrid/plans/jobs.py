@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from altigrid.functions.labels import datum_of
 from altigrid.functions.terrain import object_mask
-from altigrid.model import KEY, attach, cut
+from altigrid.model import KEY, attach, cut, scene_extent
 from altigrid.operators import evaluation, joins, metrics, resample, tiling
 from altigrid.operators.calibration import CalibrationConfig, method_b, to_geoid
 from altigrid.operators.stretch import normalize_relative
@@ -53,43 +53,78 @@ def calibrate(
 
 def evaluate(
     predictions: DataFrame, refs: DataFrame, dtms: DataFrame, tiles: DataFrame, scenes: DataFrame, cal_a: DataFrame, cal_b: DataFrame,
-    min_height: float = 2.5,
+    min_height: float = 2.5, relative: DataFrame | None = None,
 ) -> DataFrame:
     """V2: per-tile result rows of three methods against references.
 
     ``predictions``: scene, row, col, dem, method_a, method_b. ``tiles``: scene, tile, row0, row1,
     col0, col1. ``scenes``: scene, landscape. References are joined last, for scoring only.
+
+    ``tiles`` may have ``mode`` (A6): tiles that are ``metric`` are scored by method, those that are
+    ``relative`` after scale alignment (E4) on ``relative``: scene, row, col, v; others are left out.
     """
+    wanted = None
+    if "mode" in tiles.columns:
+        if relative is None:
+            raise ValueError("tiles with a mode need the relative grids")
+        wanted, tiles = tiles.where("mode = 'relative'").drop("mode"), tiles.where("mode = 'metric'").drop("mode")
     wide = predictions.join(refs.select(*KEY, F.col("v").alias("ref")), KEY).join(dtms.select(*KEY, F.col("v").alias("_dtm")), KEY)
     wide = wide.withColumn("is_object", object_mask("ref", "_dtm", min_height)).drop("_dtm")
     placed = joins.cells_in_tiles(wide, tiles).drop("row0", "row1", "col0", "col1")
     stacked = evaluation.stack_methods(placed, cal_a, cal_b)
     rows = evaluation.score_tiles(stacked, ["scene", "tile"])
+    if wanted is not None:
+        grids = joins.join_cells(relative, refs)
+        found = metrics.relative_metrics(joins.cells_in_tiles(grids, wanted), "pred", "ref", ["scene", "tile"])
+        # a tile without common cells still counts
+        found = wanted.select("scene", "tile").join(found, ["scene", "tile"], "left")
+        null = F.lit(None)
+        rows = rows.unionByName(found.select(
+            "scene", "tile", F.lit("relative").alias("method"), F.lit("scale-aligned").alias("cal_source"), F.col("align_a").alias("scale"), *metrics.METRICS,
+            F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"), F.lit(0).cast("bigint").alias("ndsm_pixels"), null.cast("double").alias("ndsm_rmse")))
     return rows.join(scenes.select("scene", "landscape"), "scene")
 
 
-def evaluate_summary(per_tile: DataFrame, method: str = "method_b", n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """V2 roll-up: landscape summary and the worst tiles."""
+METRIC_METHODS = ["dem_only", "method_a", "method_b"]
+
+
+def evaluate_summary(per_tile: DataFrame, method: str = "method_b", n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """V2 roll-up: landscape summary of the metric methods, the worst tiles, and the relative tiles' summary."""
     stored = cut(per_tile)
-    return evaluation.summarize(stored), evaluation.worst_tiles(stored, method, n)
+    return evaluation.summarize(stored, METRIC_METHODS), evaluation.worst_tiles(stored, method, n), evaluation.summarize_relative(stored)
 
 
-def validate(pred: DataFrame, ref: DataFrame, meta: DataFrame, mask: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate(pred: DataFrame, ref: DataFrame, meta: DataFrame, mask: DataFrame, grids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """V3: metrics of finished grids against references, and the error and reference layers.
 
     ``meta``: scene, units. Relative grids are scored after scale alignment and their reference is
     expressed in relative units; cells of ``mask`` (filled ones) stay out of both layers. Scenes
     with fewer than two common cells carry an ``error``.
+
+    ``grids``: scene, src, dst (affines of the reference and the result, same CRS) of georeferenced
+    scenes; their reference is resampled onto the result's grid. Other scenes are compared cell by
+    cell, so a reference of another size gives an ``error`` and no layers.
     """
-    pairs = attach(joins.join_cells(pred, ref), meta.select("scene", "units"))
+    extent = cut(scene_extent(pred))
+    other = scene_extent(ref).select("scene", F.col("h").alias("_h"), F.col("w").alias("_w"))
+    plain = extent
+    if grids is not None:
+        placed = cut(grids.where("src is not null and dst is not null").select("scene", "src", "dst"))
+        plain = extent.join(placed, "scene", "left_anti")
+    sizes = cut(plain.join(other, "scene").select("scene", ((F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w"))).alias("_fits")))
+    aligned = attach(ref.select(*KEY, "v"), sizes.where("_fits").select("scene")).select(*KEY, "v")
+    if grids is not None:
+        aligned = aligned.unionByName(resample.resample(ref, extent.join(placed, "scene")))
+    pairs = attach(joins.join_cells(pred, aligned), meta.select("scene", "units"))
     fit = cut(metrics.affine_fit(pairs.where("units = 'relative'"), "pred", "ref", ["scene"]))
     x = attach(pairs, fit, how="left")
     scored = F.when(F.col("units") == "relative", F.col("align_a") * F.col("pred") + F.col("align_b")).otherwise(F.col("pred"))
     m = metrics.dsm_metrics(x.withColumn("_s", scored), "_s", "ref", ["scene"])
     report = meta.select("scene", "units").join(m, "scene", "left")
-    report = report.withColumn("scale_aligned", F.col("units") == "relative").withColumn(
-        "error", F.when(F.coalesce("n_pixels", F.lit(0)) < 2, "too few cells are valid in both grids")
-    )
+    report = report.join(sizes, "scene", "left").withColumn("scale_aligned", F.col("units") == "relative").withColumn(
+        "error", F.when(~F.col("_fits"), "the reference has another size and the scene no georeference").when(
+            F.coalesce("n_pixels", F.lit(0)) < 2, "too few cells are valid in both grids")
+    ).drop("_fits")
     shown = F.when(F.col("units") == "relative", F.try_divide(F.col("ref") - F.col("align_b"), F.col("align_a"))).otherwise(F.col("ref"))
     refs = joins.apply_mask(x.select(*KEY, "pred", shown.alias("v")), mask)
     layers = refs.select(*KEY, F.col("v").alias("reference"), (F.col("pred") - F.col("v")).alias("error"))
