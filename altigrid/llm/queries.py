@@ -242,3 +242,46 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from altigrid.llm import search
 
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_quality_classifier")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import convnet
+
+    out = convnet.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+OP13_SQL = r"""
+WITH p AS MATERIALIZED (
+  SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a
+  FROM (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+        FROM (SELECT lang, ws, unnest(range(1, 5)) AS k FROM p WHERE len(ws) > 0), unnest(range(1, len(ws) - k + 2)) AS u(i))
+  GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, a FROM f WHERE k > 1),
+x AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+s AS (
+  SELECT x.lang, x.phrase, x.a, j, h.a AS l, r.a AS r, CAST((CAST(2000000 AS HUGEINT) * x.a) // (h.a + r.a) AS BIGINT) AS score
+  FROM x JOIN f AS h ON h.lang = x.lang AND h.phrase = array_to_string(ws[1:j], ' ')
+  JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(ws[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS hull
+  FROM (SELECT *, unnest(range(2, k)) AS m FROM c), unnest(range(1, k - m + 2)) AS u(i) GROUP BY 1, 2),
+q AS (SELECT b.* FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE hull IS NULL OR 100 * hull < 80 * a),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
+SELECT z.lang, rank, phrase, a, l, r, n, score FROM z JOIN t ON t.lang = z.lang WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from altigrid.llm import phrases
+
+    return phrases.collocations(table(spark, sf_dir, "documents"))
