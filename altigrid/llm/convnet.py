@@ -111,7 +111,9 @@ class Net:
         seen = np.concatenate([most, mean], axis=1)
         dz = ((1 / (1 + np.exp(-(seen @ p["out"] + p["shift"][0]))) - y) / len(y)).astype(np.float32)
         own = np.repeat(np.arange(len(y)), size)
-        dh = dz[own, None] * (p["out"][FILTERS:] / size[own, None].astype(np.float32) + p["out"][:FILTERS] * (h == most[own]))
+        won = (h == most[own]).astype(np.float32)
+        won /= np.add.reduceat(won, first[:-1])[own]  # equal chunks share
+        dh = dz[own, None] * (p["out"][FILTERS:] / size[own, None].astype(np.float32) + p["out"][:FILTERS] * won)
         da = dh * (1 - h * h)
         start = np.arange(n)[:, None] * (CHUNK + WIDTH) + at
         rows = (start[..., None] + np.arange(WIDTH)).reshape(n, FILTERS, WIDTH)
