@@ -1,7 +1,7 @@
 """Phrase collocation mining by sampling, a full pass and a closing of the border.
 
-1. A sample of the rows (by hash) proposes phrases: those of up to ``MOST_WORDS`` words that are frequent in
-   it at a lowered threshold. Such a set is closed: the first and the last part of a member are members.
+1. A sample of the rows (by hash) proposes phrases that are frequent in it at a lowered threshold, of fewer
+   than ``MOST_WORDS`` words (longer ones admit nothing). The set is closed: parts of a member are members.
 2. One pass over all rows counts exactly every member and the negative border: all single words, and the
    phrases whose first part and last part are members while they are not.
 3. A border phrase found to be frequent is a failure of the sample. The failures join the members, and a
@@ -19,6 +19,7 @@ are there; no frequent phrase means no row. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,9 @@ TOP = 2_000
 SAMPLE_SHARE = 0.25
 #: The sample's threshold as a share of what it would expect of a phrase at the threshold.
 LOWERED = 0.4
-STRETCH, BATCH_BYTES = 1_000_000, 6_000_000
+STRETCH, BATCH_BYTES = 1_000_000, 4_000_000
 BITMAP_BITS = 1 << 27
+HASHED_BYTES = 1_000_000
 _STOPS = b".,;:!?\x0b\x0c\r"
 #: A to Z folded, tab as space, every piece end as line end.
 FOLD = bytes(10 if c in _STOPS else 32 if c == 9 else c for c in range(256)).lower()
@@ -76,25 +78,34 @@ class Pieces:
         self.start = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else np.zeros(0, np.int64)
         # the piece of a word is the number of line ends before its end mark; a line end that is the mark itself comes after it
         mark = np.flatnonzero(keep)[self.end]
-        lines = np.cumsum(raw == 10)
+        lines = np.cumsum(raw == 10, dtype=np.int32)
         piece = lines[mark] - (raw[mark] == 10)
         last = np.flatnonzero(np.append(piece[1:] != piece[:-1], True)) if len(piece) else np.zeros(0, np.int64)
         self.room = np.repeat(last, np.diff(np.concatenate([[-1], last]))) - np.arange(len(piece)) + 1
 
     def hashes(self) -> np.ndarray:
-        n = len(self.buf)
-        if not n:
-            return np.zeros(0, np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.buf.astype(np.uint64) + U(1)) * powers(BASE, n), dtype=np.uint64)])
-        return mix((total[self.end] - total[self.start]) * powers(BASE_INVERSE, n)[self.start] + (self.end - self.start).astype(np.uint64))
+        """One per word, in stretches of words, as the sums are eight times as large as the text."""
+        out, i = np.zeros(len(self.end), np.uint64), 0
+        while i < len(out):
+            base = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, base + HASHED_BYTES)))
+            own = self.buf[base : self.end[j - 1]]
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((own.astype(np.uint64) + U(1)) * powers(BASE, len(own)), dtype=np.uint64)])
+            lo, hi = self.start[i:j] - base, self.end[i:j] - base
+            out[i:j] = mix((total[hi] - total[lo]) * powers(BASE_INVERSE, len(own))[lo] + (hi - lo).astype(np.uint64))
+            i = j
+        return out
 
     def phrases(self, at: np.ndarray, k: int) -> pa.Array:
         """Texts of the k-word phrases that begin at the given words."""
-        lo, hi = self.start[at], self.end[at + k - 1]
-        size = hi - lo
+        lo, size = self.start[at], self.end[at + k - 1] - self.start[at]
         ends = np.concatenate([[0], np.cumsum(size)])
-        take = np.arange(ends[-1]) + np.repeat(lo - ends[:-1], size)
-        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.buf[take])])
+        out = np.empty(ends[-1], np.uint8)
+        for i in range(0, len(at), 65_536):
+            j = min(i + 65_536, len(at))
+            take = np.arange(ends[i], ends[j]) + np.repeat(lo[i:j] - ends[i:j], size[i:j])
+            out[ends[i] : ends[j]] = self.buf[take]
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
 
 
 def longer(h: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
@@ -150,16 +161,28 @@ def bitmap(phrases: DataFrame, bits: int) -> Members:
     return out
 
 
-def counted(texts: list[bytes], have: Members | None, had: Members | None) -> list[tuple[pa.Array, np.ndarray]]:
-    """(phrases, counts) of folded texts: all phrases without ``have``; else those whose first and last part it has.
+@dataclass
+class Plan:
+    """Which phrases a pass counts: of ``first`` to ``most`` words, with members, if any, of up to ``known`` words.
 
-    With ``had`` only those that it did not admit already, and no single words.
+    A phrase counts if its first and its last part (all but one word) are members; beyond ``known`` words, if
+    these parts count themselves. With ``had``, what those members admitted already is left out.
     """
+
+    have: Broadcast | None = None
+    had: Broadcast | None = None
+    known: int = MOST_WORDS
+    first: int = 1
+    most: int = MOST_WORDS
+
+
+def counted(texts: list[bytes], plan: Plan) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(words, phrases, counts) of folded texts for each number of words."""
+    have, had = plan.have and plan.have.value, plan.had and plan.had.value
     p = Pieces(texts)
     words = h = p.hashes()
-    out = []
-    left = right = before = None  # of the phrases of k - 1 words: in have, and the same for had
-    for k in range(1, MOST_WORDS + 1):
+    left = before = None  # of the phrases of k - 1 words: do they admit longer ones, and did they before
+    for k in range(1, plan.most + 1):
         if k > 1:
             h = longer(h, words, k)
         if not len(h):
@@ -167,35 +190,31 @@ def counted(texts: list[bytes], have: Members | None, had: Members | None) -> li
         ok = p.room[: len(h)] >= k
         if k > 1 and have is not None:
             ok &= left[:-1] & left[1:]
-            if had is not None:
-                ok &= ~(before[:-1] & before[1:])
-        if k == 1 and had is not None:
-            ok[:] = False
+        new = ok
         if have is not None:
-            left = have.has(h)
-            before = had.has(h) if had is not None else None
-        at = np.flatnonzero(ok)
-        if len(at):
+            if had is not None:
+                new = ok & ~(before[:-1] & before[1:]) if k > 1 else np.zeros(len(h), bool)
+                before = had.has(h)
+            left = have.has(h) if k <= plan.known else ok
+        at = np.flatnonzero(new)
+        if len(at) and k >= plan.first:
             own = h[at]
             order = np.argsort(own, kind="stable")
-            new = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
-            out.append((p.phrases(at[order[new]], k), np.diff(np.append(new, len(at)))))
-    return out
+            head = np.flatnonzero(np.append(True, own[order][1:] != own[order][:-1]))
+            yield k, p.phrases(at[order[head]], k), np.diff(np.append(head, len(at)))
 
 
-def phrase_counts(docs: DataFrame, have: Broadcast | None = None, had: Broadcast | None = None) -> DataFrame:
-    """(lang, phrase, n) summed over all rows; the empty phrase has the number of words, unless ``had`` is given."""
+def phrase_counts(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(lang, phrase, n) summed over all rows; where single words are counted, the empty phrase has their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = have and have.value, had and had.value
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            texts = held.pop(lang)
             size.pop(lang)
-            for k, (names, n) in enumerate(counted(texts, a, b)):
-                if k == 0 and b is None:
+            for k, names, n in counted(held.pop(lang), plan):
+                if k == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([int(n.sum())])], names=["lang", "phrase", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int32))), names, pa.array(n)], names=["lang", "phrase", "n"])
 
@@ -232,12 +251,18 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, share: float = S
     spark = docs.sparkSession
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     low = max(1, int(least * share * LOWERED))
-    found = phrase_counts(drawn).where((F.col("n") >= low) & (F.col("phrase") != ""))
-    members = cut(found.select("lang", "phrase"))
-    # eight bits a member, as far as the largest size goes
-    wide = min(bits, max(1 << 16, 1 << (8 * members.count()).bit_length()))
-    have = spark.sparkContext.broadcast(bitmap(members, wide))
-    counts = cut(phrase_counts(docs, have).where((F.col("n") >= least) | (F.col("phrase") == "")))
+
+    def shared(rows: DataFrame) -> tuple[Broadcast, int]:
+        # eight bits a member, as far as the largest size goes
+        wide = min(bits, max(1 << 16, 1 << (8 * rows.count()).bit_length()))
+        return spark.sparkContext.broadcast(bitmap(rows, wide)), wide
+
+    # the sample is mined in two steps: what is rare as a pair is not counted in longer phrases
+    members = cut(phrase_counts(drawn, Plan(most=2)).where((F.col("n") >= low) & (F.col("phrase") != "")).select("phrase"))
+    pairs, _ = shared(members)
+    members = members.union(cut(phrase_counts(drawn, Plan(pairs, known=2, first=3, most=MOST_WORDS - 1)).where(F.col("n") >= low).select("phrase")))
+    have, wide = shared(members)
+    counts = cut(phrase_counts(docs, Plan(have)).where((F.col("n") >= least) | (F.col("phrase") == "")))
     parts, new = [counts], counts.where(F.col("phrase") != "")
     while True:
         # a phrase of most words is part of no other
@@ -247,7 +272,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, share: float = S
         more, had = bitmap(failed, wide), have
         more.words |= had.value.words
         have = spark.sparkContext.broadcast(more)
-        new = cut(phrase_counts(docs, have, had).where(F.col("n") >= least))
+        new = cut(phrase_counts(docs, Plan(have, had)).where(F.col("n") >= least))
         parts.append(new)
     out = parts[0]
     for p in parts[1:]:

@@ -140,7 +140,7 @@ def test_long_texts_are_cut_at_piece_ends():
 
     def tally(texts):
         c = collections.Counter()
-        for names, n in phrases.counted(texts, None, None):
+        for _, names, n in phrases.counted(texts, phrases.Plan()):
             c.update(dict(zip(names.to_pylist(), n.tolist(), strict=True)))
         return c
 
