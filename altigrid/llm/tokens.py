@@ -30,7 +30,7 @@ from altigrid.llm.arrays import chunks
 from altigrid.model import scratch_path
 
 END_ID = 1
-CACHE_WORDS = 700_000
+CACHE_WORDS = 150_000
 SAMPLE_DOCS = 2_000
 DICTIONARY_BYTES = 65_536
 BLOCK_BYTES = 1_000_000
@@ -54,6 +54,7 @@ class WordEncoder:
         self.parting = np.zeros(len(self.ends), bool)
         self.parting[vocab[PARTING.decode() + "</w>"]] = True
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -80,19 +81,15 @@ class WordEncoder:
         made: list[tuple[bytes, bytes]] = []
         for w in missing:
             base = w[:-1] if w[-1] in b".," else w
-            if base.isalpha():  # ASCII letters; case is folded by the tokenizer, here already
-                low = base.lower()
-            elif base and not base.isascii() and (s := base.decode()).isalpha() and max(s) < STABLE_LETTERS:
-                low = base
+            if base.isalpha() or base and not base.isascii() and (s := base.decode()).isalpha() and max(s) < STABLE_LETTERS:
+                plain.add(base)
+                if base is not w:
+                    made.append((w, base))
             else:
                 others.append(w)
-                continue
-            plain.add(low)
-            if low is not w and low != w:
-                made.append((w, low))
         self._batch([w for w in plain if w not in self.words], "", self.ends, 1)
-        odd = [w for w in others if PARTING in w.lower()]
-        self._batch([w for w in others if PARTING not in w.lower()], f" {PARTING.decode()} ", self.parting, 0)
+        odd = [w for w in others if PARTING in w]
+        self._batch([w for w in others if PARTING not in w], f" {PARTING.decode()} ", self.parting, 0)
         self.words.update((w, self._one(w.decode())) for w in odd)
         marks = {b".": self._one("."), b",": self._one(",")}
         for w, low in made:
@@ -100,15 +97,15 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        split = [t.split() for t in texts]
-        missing: set[bytes] = set()
-        for ws in split:
-            missing.update(ws)
-        new = [w for w in missing if w not in self.words]
-        if new:
-            self._learn(new)
+        if len(self.words) > CACHE_WORDS:  # what was used since the last turn stays within reach
+            self.old, self.words = self.words, {}
+        split = [t.lower().split() for t in texts]  # the tokenizer folds case; A to Z are folded here, so fewer words are learned
+        missing = set().union(*split).difference(self.words)
+        again = missing.intersection(self.old)
+        self.words.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        missing -= again
+        if missing:
+            self._learn(list(missing))
         return [b"".join(map(self.words.__getitem__, ws)) for ws in split]
 
 
