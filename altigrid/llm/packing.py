@@ -1,7 +1,8 @@
 """Packing along a space-filling curve.
 
-Each document's hashed word vector is projected to ``DIMS`` numbers; their quantised signs and sizes
-give a Hilbert key, so documents with like words lie near each other on the curve. Documents are
+Each document's hashed word vector is projected to ``DIMS`` numbers; the quantised direction of that
+projection gives a Hilbert key, so documents with like words lie near each other on the curve, whatever
+their lengths. Documents are
 range-partitioned and sorted by (key, doc_id), encoded, and laid end to end; a sequence is the next
 ``length`` tokens of that line. Pieces follow from a document's place by arithmetic, so only the last
 sequence of all can need padding.
@@ -78,8 +79,10 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
             some = np.flatnonzero(n)
             if len(some):
                 rows = table[(w.hashes() >> U(64 - 14)).astype(np.int64)]
-                mean = np.add.reduceat(rows, w.first[:-1][some], axis=0) / np.sqrt(n[some])[:, None]
-                cell = np.clip(np.floor((mean / 16 + 0.5) * (1 << BITS)), 0, (1 << BITS) - 1).astype(np.int64)
+                total = np.add.reduceat(rows, w.first[:-1][some], axis=0, dtype=np.float64)
+                # the direction alone, so that length does not steer the curve
+                unit = total / np.maximum(np.sqrt((total * total).sum(axis=1)), 1e-9)[:, None]
+                cell = np.clip(np.floor((unit / 2 + 0.5) * (1 << BITS)), 0, (1 << BITS) - 1).astype(np.int64)
                 out[at + some] = hilbert_key(cell, BITS)
             at, size = i, 0
         if i < len(texts):
@@ -92,7 +95,8 @@ def along_curve(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     spark = docs.sparkSession
     key = F.pandas_udf(lambda t: pd.Series(curve_keys([(s or "").encode() for s in t])), "bigint")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select("doc_id", "text", key("text").alias("_key"), F.xxhash64("text").alias("_h"))
+    # stored, as the range partitioner reads the keys once more to find its bounds
+    keyed = cut(docs.select("doc_id", "text", key("text").alias("_key"), F.xxhash64("text").alias("_h")))
     ordered = keyed.repartitionByRange(n, "_key", "doc_id", "_h").sortWithinPartitions("_key", "doc_id", "_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
