@@ -13,6 +13,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 
 from altigrid.llm.arrays import PerfectHash, chunks
 
-CACHE_TOKENS = 600_000
+CACHE_TOKENS = 150_000
 
 
 class Vocabulary:
@@ -90,22 +91,28 @@ class Codec:
         self.vocab = Vocabulary(path)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.token = [self.vocab.tokens.get(i, b"") for i in range(max(self.vocab.tokens) + 1)]
 
     def resolve(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
-        for p, b, r in zip(pieces, raw, self.vocab.whole(raw), strict=True):
-            self.known[p] = np.array([r] if r is not None else self.vocab.merge(b), np.int32).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as int32."""
-        if len(self.known) > CACHE_TOKENS:
-            self.known.clear()
-        pieces = self.split(text)
-        new = [p for p in set(pieces) if p not in self.known]
+        merged = [[r] if r is not None else self.vocab.merge(b) for b, r in zip(raw, self.vocab.whole(raw), strict=True)]
+        ids = np.fromiter(chain.from_iterable(merged), np.int32).tobytes()
+        ends = np.cumsum([4 * len(m) for m in merged]).tolist()
+        self.known.update(zip(pieces, [ids[i:j] for i, j in zip([0, *ends], ends)]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as int32. New pre-tokens of all texts are resolved together."""
+        if len(self.known) > CACHE_TOKENS:  # what was used since the last turn stays within reach
+            self.old, self.known = self.known, {}
+        pieces = [self.split(t) for t in texts]
+        new = set().union(*pieces).difference(self.known)
+        again = new.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        new -= again
         if new:
-            self.resolve(new)
-        return b"".join(map(self.known.__getitem__, pieces))
+            self.resolve(list(new))
+        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token.__getitem__, ids.tolist()))
@@ -130,7 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, out: str = "ids") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
             c = codec(path, pattern)
-            raw = [c.encode(t.decode()) for t in texts]
+            raw = c.encode([t.decode() for t in texts])
             offsets = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], names=[*names, out])
