@@ -6,7 +6,7 @@ rejection per cost: ``CASE`` evaluates a rule only where all rules before it hav
 changes the work, never the verdict.
 
 Defined results: a null or blank text has no words and is rejected by the word-count rule. Other
-columns, whatever their names, pass through untouched.
+columns, whatever their names, pass through untouched; one named like the result is overwritten.
 """
 
 from __future__ import annotations
@@ -164,9 +164,9 @@ def verdict(rejects: Mapping[str, Column], order: list[str]) -> Column:
 def judge(docs: DataFrame, order: list[str] | None = None, text: str = "text", out: str = "rejected_by", min_words: int = 50) -> DataFrame:
     """Adds the rejecting rule. One pass, no shuffle."""
     order = order or cascade_order(docs, text=text, min_words=min_words)
-    held = docs.withColumn("_words_", words(F.col(text)))
-    flags = rules(F.col(text), F.col("_words_"), min_words=min_words)
-    return held.withColumn(out, verdict(flags, order)).drop("_words_")
+    # a one-element array binds the words: however the planner moves the verdict, a text is split once
+    bound = F.transform(F.array(words(F.col(text))), lambda w: verdict(rules(F.col(text), w, min_words=min_words), order))
+    return docs.withColumn(out, F.get(bound, 0))
 
 
 def profile(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
