@@ -14,9 +14,11 @@
    Tasks return links between components only, never all pairs of a group.
 5. Components of all links, by alternating stars with a stored table per round.
 
-Defined results: texts without words have an empty set and are linked with nothing. Rows with equal
-doc_id are one node. A null doc_id never names a component unless its whole class is null. Other
-input columns are not read.
+A node is a class, so a row's result follows from its own text: rows with equal doc_id and unlike texts
+may lie in different components, whatever the order of the rows.
+
+Defined results: texts without words have an empty set and are linked with nothing. A component is
+named by its smallest doc_id; a null doc_id names it only if all are null. Other input columns are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from altigrid.llm.arrays import U, Words, chunks, grams, mix
+from altigrid.llm.lines import doc_key
 from altigrid.model import cut, cut_measured
 
 SYMBOLS = 64
 MISS = 1e-6
 BLOCK = 1024
 PAIR_BLOCK = 512
-GROUPS = 256
+#: Small groups share tasks of about so many rows, or bytes of text.
+TASK_ROWS, TASK_BYTES = 20_000, 8_000_000
 JUMPS = 3
 
 
@@ -107,8 +111,8 @@ def _sketch(n: int):
                 for i, row in zip(some.tolist(), signatures(value, first), strict=True):
                     sig[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+                [*(batch.column(c) for c in ("doc_id", "_k1", "_k2")), pa.array(size.astype(np.int64)), pa.array(s1), pa.array(s2), pa.array(sig, pa.binary())],
+                names=["doc_id", "k1", "k2", "n_shingles", "s1", "s2", "sig"])
 
     return run
 
@@ -232,11 +236,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
 
 
-def grid(members: DataFrame, by: str, block: int) -> DataFrame:
+def grid(members: DataFrame, by: str, block: int, shared: int) -> DataFrame:
     """Members dealt to (row block, column block) tasks so that each pair across components meets once or more.
 
     The largest component of a group needs no comparison with itself: only the others are rows; all are
-    columns. Small groups have one block; many of them share a task.
+    columns. Small groups have one block; they are dealt over ``shared`` tasks.
     """
     sizes = members.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("n"))
     shape = sizes.groupBy(by).agg(F.sum("n").alias("_all"), F.max_by("comp", F.struct("n", "comp")).alias("_anchor"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_c"))
@@ -244,7 +248,7 @@ def grid(members: DataFrame, by: str, block: int) -> DataFrame:
     m = members.join(shape, by).withColumn("_h", F.abs(F.xxhash64("rep", F.lit(3)) % 1_000_003))
     row = m.where(F.col("comp") != F.col("_anchor")).select("*", (F.col("_h") % F.col("_rows")).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("_j"), F.lit(True).alias("_row"))
     col = m.select("*", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_i"), (F.col("_h") % F.col("_cols")).cast("int").alias("_j"), F.lit(False).alias("_row"))
-    task = F.when(F.col("_cols") == 1, F.pmod(F.xxhash64(by), F.lit(GROUPS))).otherwise(F.xxhash64(by))
+    task = F.when(F.col("_cols") == 1, F.pmod(F.xxhash64(by), F.lit(shared))).otherwise(F.xxhash64(by))
     return row.union(col).withColumn("_task", task)
 
 
@@ -312,10 +316,14 @@ def _exact(n: int, percent: int):
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     distance = reach(percent / 100)
-    sketch = cut(docs.select("doc_id", "text").mapInArrow(_sketch(words), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, sig binary"))
+    named = docs.select("doc_id", "text", *doc_key())
+    sketch = cut(named.mapInArrow(_sketch(words), "doc_id bigint, k1 bigint, k2 int, n_shingles bigint, s1 bigint, s2 bigint, sig binary"))
     name = ["s1", "s2", "n_shingles"]
-    classes = cut(sketch.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    nodes = classes.where("rep is not null").select("rep", "sig")
+    # the row that stands for a class: of the smallest doc_id, null last
+    stand = F.min(F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "k1", "k2")).alias("stand")
+    classes = sketch.where("n_shingles > 0").groupBy(*name).agg(stand, F.first("sig").alias("sig"))
+    classes = cut(classes.select(*name, "stand", "sig", F.monotonically_increasing_id().alias("rep")))
+    nodes = classes.select("rep", "sig")
 
     keys = nodes.mapInArrow(_keys(chunk_bounds(distance)), "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("_top")).where("leader < _top").select("key", "leader")
@@ -333,7 +341,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # texts of all members: what later steps verify on
     wanted = members.select("rep").distinct()
-    texts = cut(docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text")))
+    wanted = classes.join(wanted, "rep", "left_semi").select("rep", F.col("stand.k1").alias("_k1"), F.col("stand.k2").alias("_k2"))
+    texts = named.join(wanted, ["_k1", "_k2"]).groupBy("rep").agg(F.first("text").alias("text"))
+    texts, held = cut_measured(texts, F.sum(F.octet_length("text")).alias("bytes"))
     links = cut(verified(nearest, texts, words, percent))
     # each text has one link at most, to a smaller id; following it a few times joins most of a component,
     # and what is left apart is only compared once more below
@@ -346,17 +356,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     rest = members.select("key", "rep").join(first, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     mixed = rest.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("key")
-    apart_rows = cut(rest.join(mixed, "key").join(nodes, "rep"))
-    close = grid(apart_rows, "key", BLOCK).groupBy("_task", "_i", "_j").applyInArrow(_near(distance), "a bigint, b bigint")
+    apart_rows, size = cut_measured(rest.join(mixed, "key").join(nodes, "rep"), F.count(F.lit(1)).alias("rows"))
+    close = grid(apart_rows, "key", BLOCK, max(1, (size["rows"] or 0) // TASK_ROWS)).groupBy("_task", "_i", "_j").applyInArrow(_near(distance), "a bigint, b bigint")
     clusters = components(close).select(F.col("id").alias("comp"), F.col("comp").alias("cluster"))
     inside = apart_rows.select("rep", "comp").distinct().join(clusters, "comp")
     # every member of a clustered component may hold the link, also those whose keys were not mixed
     inside = first.join(clusters, "comp").select("rep", "comp", "cluster").union(inside.select("rep", "comp", "cluster")).distinct()
     ready = inside.join(texts, "rep")
-    more = grid(ready, "cluster", PAIR_BLOCK).groupBy("_task", "_i", "_j").applyInArrow(_exact(words, percent), "a bigint, b bigint")
+    more = grid(ready, "cluster", PAIR_BLOCK, max(16, (held["bytes"] or 0) // TASK_BYTES)).groupBy("_task", "_i", "_j").applyInArrow(_exact(words, percent), "a bigint, b bigint")
     final = components(links.union(more)).withColumnRenamed("id", "rep")
 
-    by_class = classes.join(final, "rep", "left").select(*name, F.coalesce("comp", "rep").alias("component_id"))
+    by_class = classes.select(*name, "rep", F.struct("stand.blank", "stand.doc_id").alias("own")).join(final, "rep", "left")
+    first_id = by_class.where("comp is not null").groupBy("comp").agg(F.min("own").alias("least"))
+    by_class = by_class.join(first_id, "comp", "left").select(*name, F.coalesce("least", "own")["doc_id"].alias("component_id"))
     known = sketch.select("doc_id", *name).join(by_class, name, "left")
     return known.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
