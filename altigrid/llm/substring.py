@@ -207,10 +207,11 @@ def _strip(text: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
 
 def dedup_substrings(docs: DataFrame, window: int = 35) -> DataFrame:
     """Documents without the words that repeated windows cover; all copies lose them."""
-    spans = repeated_spans(docs, window).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    spans = repeated_spans(docs, window).groupBy("_k1", "_k2").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     strip = F.pandas_udf(_strip, "text string, n_words bigint, n_removed bigint")
-    wide = docs.select("*", *doc_key()).join(spans, ["_k1", "_k2"], "left")
-    wide = wide.withColumn("_kept", strip("text", F.col("_spans.lo"), F.col("_spans.hi")))
-    cols = [F.col("_kept.text").alias("text") if c == "text" else F.col(c) for c in names]
+    # input columns travel in one struct, so their names meet none of these
+    wide = docs.select(F.struct("*").alias("_row"), *doc_key()).join(spans, ["_k1", "_k2"], "left")
+    wide = wide.withColumn("_kept", strip("_row.text", F.col("_spans.lo"), F.col("_spans.hi")))
+    cols = [F.col("_kept.text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names]
     return wide.select(*cols, "_kept.n_words", "_kept.n_removed")
