@@ -172,7 +172,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     gone = hits.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("line", "keeper")).alias("_gone"))
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     fix = F.pandas_udf(_rewrite, "text string, n_lines bigint, n_dropped bigint")
-    own = F.transform(F.filter("_gone", lambda x: ~x["keeper"].eqNullSafe(F.col("doc_id"))), lambda x: x["line"])
-    wide = docs.select("*", *doc_key()).join(gone, ["_k1", "_k2"], "left").withColumn("_fixed", fix("text", own))
-    order = [F.col("_fixed.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c in names or c == "text"]
+    own = F.transform(F.filter("_gone", lambda x: ~x["keeper"].eqNullSafe(F.col("_row.doc_id"))), lambda x: x["line"])
+    # input columns travel in one struct, so their names meet none of these
+    wide = docs.select(F.struct("*").alias("_row"), *doc_key()).join(gone, ["_k1", "_k2"], "left").withColumn("_fixed", fix("_row.text", own))
+    order = [F.col("_fixed.text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c in names or c == "text"]
     return wide.select(*order, "_fixed.n_lines", "_fixed.n_dropped")
