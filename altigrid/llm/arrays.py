@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -94,15 +95,17 @@ def texts_of(column: pa.Array) -> list[bytes]:
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches that hold about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
-        texts = texts_of(batch.column(text))
         at, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
-                yield batch.slice(at, i - at), texts[at:i]
+        # by the lengths alone, so that only one slice's texts are copied at a time
+        for i, n in enumerate(pc.binary_length(batch.column(text)).fill_null(0).to_pylist()):
+            if size and size + n > limit:
+                part = batch.slice(at, i - at)
+                yield part, texts_of(part.column(text))
                 at, size = i, 0
-            size += len(t)
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
+            size += n
+        if at < batch.num_rows:
+            part = batch.slice(at)
+            yield part, texts_of(part.column(text))
 
 
 class PerfectHash:

@@ -28,7 +28,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from altigrid.llm.arrays import BASE, BASE_INVERSE, U, mix, powers, texts_of
+from altigrid.llm.arrays import BASE, BASE_INVERSE, U, chunks, mix, powers, texts_of
 from altigrid.model import cut
 
 MOST_WORDS = 4
@@ -221,8 +221,8 @@ def phrase_counts(docs: DataFrame, plan: Plan) -> DataFrame:
                 for at in range(0, len(n), BATCH_ROWS):
                     yield own.slice(at, BATCH_ROWS)
 
-        for batch in batches:
-            for lang, t in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
+        for batch, texts in chunks(batches, limit=STRETCH):
+            for lang, t in zip(batch.column("lang").to_pylist(), texts, strict=True):
                 for part in stretches(t):
                     held.setdefault(lang, []).append(part)
                     size[lang] = size.get(lang, 0) + len(part)
