@@ -9,7 +9,7 @@
    been counted, whatever the sample held.
 
 Members reach the tasks as a bitmap of hashes of fixed largest size; a false member only means that some
-more phrases are counted. Phrases are counted per task first and travel as texts with their counts.
+more phrases are counted. Phrases are counted per batch first and travel as texts with their counts.
 Texts are cut at piece ends, so a long text is taken in stretches of ``STRETCH`` bytes (a longer piece whole).
 
 Defined results: a null text has no words, a null language is ``und``; rows are counted as often as they
@@ -234,7 +234,8 @@ def phrase_counts(docs: DataFrame, plan: Plan) -> DataFrame:
             yield from flush(lang)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # batches are counted already and most of their phrases are in no other of the task, so rows go to their key at once
+    return rows.mapInArrow(run, "lang string, phrase string, n bigint").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def n_words(phrase: str = "phrase") -> F.Column:
