@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from altigrid.functions import geo
 from altigrid.functions.numbers import as_col
 from altigrid.model import KEY, attach, finite
+from altigrid.sources.strips import beside, cells_of, is_strips
 
 RANGE_BUCKET = 256
 ALIGNMENT_FIELDS = ["width", "height", "pixel_size_m", "units", "crs", "bounds"]
 
 
 def join_cells(a: DataFrame, b: DataFrame, how: str = "inner", names=("pred", "ref")) -> DataFrame:
-    """Two grids side by side on the cell key. The key is unique per side, so no hot key."""
-    left = a.select(*KEY, F.col("v").alias(names[0]))
-    right = b.select(*KEY, F.col("v").alias(names[1]))
-    return left.join(right, KEY, how)
+    """Two grids side by side on the cell key. The key is unique per side, so no hot key.
+
+    Each side is a cell table or the strips of a stored grid (:mod:`altigrid.sources.strips`); two stored
+    grids meet without a shuffle.
+    """
+    return beside({names[0]: a, names[1]: b}, how)
 
 
 def valid_pairs(df: DataFrame, pred: str, ref: str, mask: Column | None = None) -> DataFrame:
@@ -166,9 +169,13 @@ def mosaic_images(layers: DataFrame, min_coverage: float = 0.999) -> tuple[DataF
 
 
 def apply_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
-    """Cells listed in ``mask`` become missing."""
-    flag = mask.select(*KEY, F.lit(True).alias("_masked"))
-    return cells.join(flag, KEY, "left").withColumn("v", F.when(F.col("_masked").isNull(), F.col("v"))).drop("_masked")
+    """Cells listed in ``mask`` become missing. A stored mask lists the cells that have a value."""
+    if is_strips(cells) and is_strips(mask):
+        both = beside({"v": cells, "_masked": mask}, "left")
+    else:
+        flag = (cells_of(mask).where("v IS NOT NULL") if is_strips(mask) else mask).select(*KEY, F.lit(True).alias("_masked"))
+        both = (cells_of(cells) if is_strips(cells) else cells).join(flag, KEY, "left")
+    return both.withColumn("v", F.when(F.col("_masked").isNull(), F.col("v"))).drop("_masked")
 
 
 def canonical(value: Column) -> Column:
@@ -216,8 +223,8 @@ def apply_palette(cells: DataFrame, palette: DataFrame, index: str = "v") -> Dat
 
 def join_three(a: DataFrame, b: DataFrame, n: DataFrame) -> DataFrame:
     """Two elevation models and a geoid on one grid, rows valid in all three."""
-    sides = [d.select(*KEY, finite("v").alias(x)).where(F.col(x).isNotNull()) for d, x in ((a, "a"), (b, "b"), (n, "n"))]
-    return sides[0].join(sides[1], KEY).join(sides[2], KEY)
+    x = beside({"a": a, "b": b, "n": n}).select(*KEY, *[finite(c).alias(c) for c in "abn"])
+    return x.where("a IS NOT NULL AND b IS NOT NULL AND n IS NOT NULL")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -84,16 +84,53 @@ def look_up(cells: DataFrame, points: DataFrame, y: str, x: str, out: str, gradi
     got = found.groupBy("scene", y, x).agg(*[
         a for n, _, _ in wanted for a in (F.max(F.when(F.col("slot") == n, F.col("v"))).alias(f"_v_{n}"), F.max((F.col("slot") == n).cast("int")).alias(f"_has_{n}"))
     ])
-    j = points.join(got, ["scene", y, x], "left")
+    return _from_slots(points.join(got, ["scene", y, x], "left"), [n for n, _, _ in wanted], y, x, out)
+
+
+def _from_slots(j: DataFrame, slots: list[str], y: str, x: str, out: str) -> DataFrame:
+    """Bilinear value (and steps, where their cells are there) from the cells around a point, as ``_v_`` and ``_has_`` columns."""
     ty, tx = F.col(y) - F.floor(y), F.col(x) - F.floor(x)
     value = _weighted([((1 - tx) * (1 - ty), F.col("_v_p00")), (tx * (1 - ty), F.col("_v_p01")), ((1 - tx) * ty, F.col("_v_p10")), (tx * ty, F.col("_v_p11"))])
     j = j.withColumn(out, F.when(F.col("_has_p00") == 1, value))
-    if gradient:
+    if "c" in slots:
         for axis, lo, hi in (("x", "w", "e"), ("y", "n", "s")):
             first = F.when(F.col(f"_has_{lo}") == 1, F.col(f"_v_{lo}")).otherwise(F.col("_v_c"))
             last = F.when(F.col(f"_has_{hi}") == 1, F.col(f"_v_{hi}")).otherwise(F.col("_v_c"))
             j = j.withColumn(f"_d{axis}", last - first).withColumn(f"_n{axis}", F.col(f"_has_{lo}") + F.col(f"_has_{hi}"))
-    return j.drop(*[f"_v_{n}" for n, _, _ in wanted], *[f"_has_{n}" for n, _, _ in wanted])
+    return j.drop(*[f"_v_{n}" for n in slots], *[f"_has_{n}" for n in slots])
+
+
+#: Cells around a point: how far down and right of the cell above left of it, or of its nearest cell.
+BASE_SLOTS = {"p00": (0, 0), "p01": (0, 1), "p10": (1, 0), "p11": (1, 1)}
+NEAR_SLOTS = {"c": (0, 0), "e": (0, 1), "w": (0, -1), "s": (1, 0), "n": (-1, 0)}
+
+
+def vertex_stencils(cells: DataFrame, dims: DataFrame, gradient: bool) -> DataFrame:
+    """The cells around every vertex of display grids: ``scene, r, c`` with ``_v_`` and ``_has_`` columns.
+
+    ``dims``: scene, ``_h, _w`` (cells) and ``h, w`` (vertices, no more than cells or two). Each cell finds the
+    vertices it serves by the inverse of their positions, at most a few per axis; cells that serve none are
+    filtered in the scan, and the parts of a stencil combine before the shuffle.
+    """
+    x = attach(cells.select(*KEY, "v"), dims.select("scene", "h", "w", "_h", "_w"))
+    axes = (("row", "r", "h", "_h"), ("col", "c", "w", "_w"))
+    for pos, vertex, n, size in axes:
+        step = (F.col(n) - 1) / F.greatest(F.col(size) - 1, F.lit(1))
+        whole = F.col(size) == 1
+        # a vertex lies within one and a half cells of all that it uses; the slack covers rounding
+        lo = F.when(whole, 0).otherwise(F.greatest(F.ceil((F.col(pos) - 1.5) * step - 1e-6), F.lit(0)))
+        hi = F.when(whole, F.col(n) - 1).otherwise(F.least(F.floor((F.col(pos) + 1.5) * step + 1e-6), F.col(n) - 1))
+        x = x.withColumn(f"_lo{vertex}", lo.cast("int")).withColumn(f"_hi{vertex}", hi.cast("int"))
+    x = x.where("_lor <= _hir AND _loc <= _hic")
+    for pos, vertex, n, size in axes:
+        x = x.withColumn(vertex, F.explode(F.sequence(f"_lo{vertex}", f"_hi{vertex}")))
+        at = F.col(vertex) / (F.col(n) - 1) * (F.col(size) - 1)
+        x = x.withColumn(f"_b{vertex}", F.col(pos) - F.floor(at).cast("int")).withColumn(f"_n{vertex}", F.col(pos) - half_up(at).cast("int"))
+    slots = {s: (F.col("_br") == dr) & (F.col("_bc") == dc) for s, (dr, dc) in BASE_SLOTS.items()}
+    if gradient:
+        slots |= {s: (F.col("_nr") == dr) & (F.col("_nc") == dc) for s, (dr, dc) in NEAR_SLOTS.items()}
+    aggs = [a for s, own in slots.items() for a in (F.max(F.when(own, F.col("v"))).alias(f"_v_{s}"), F.max(own.cast("int")).alias(f"_has_{s}"))]
+    return x.groupBy("scene", "r", "c").agg(*aggs)
 
 
 def _with_gradient(df: DataFrame, px: Column) -> DataFrame:
@@ -333,10 +370,14 @@ def mesh(cells: DataFrame, scenes: DataFrame, cap: int = 513, ref: DataFrame | N
     col_f = F.col("c") / (F.col("w") - 1) * (F.col("_w") - 1)
     row_f = F.col("r") / (F.col("h") - 1) * (F.col("_h") - 1)
     g = g.withColumn("col_f", col_f).withColumn("row_f", row_f)
-    at = _with_gradient(look_up(cells, g, "row_f", "col_f", "height", gradient=True), F.col("_px"))
+    near = g.join(vertex_stencils(cells, dims, True), ["scene", "r", "c"], "left")
+    at = _with_gradient(_from_slots(near, [*BASE_SLOTS, *NEAR_SLOTS], "row_f", "col_f", "height"), F.col("_px"))
     known = F.col("gx").isNotNull()
     gx, gz = F.coalesce("gx", F.lit(0.0)), F.coalesce("gy", F.lit(0.0))
-    at = look_up(ref, at, "row_f", "col_f", "_ref") if ref is not None else at.withColumn("_ref", F.lit(None).cast("double"))
+    if ref is not None:
+        at = _from_slots(at.join(vertex_stencils(ref, dims, False), ["scene", "r", "c"], "left"), [*BASE_SLOTS], "row_f", "col_f", "_ref")
+    else:
+        at = at.withColumn("_ref", F.lit(None).cast("double"))
     n, t = unit_normal(gx, gz), uv("row_f", "col_f", "_h", "_w")
     err = F.col("height") - F.col("_ref")
     vertices = at.select(

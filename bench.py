@@ -36,8 +36,9 @@ def timed(df) -> float:
 
 
 def big_grids(spark: SparkSession, sf_dir: str, path: str):
-    """A 4000 x 4000 scene and its reference as two stored layers, tiled from the G1 cells."""
+    """A 4000 x 4000 scene tiled from the G1 cells: its cells, and the scene and its reference as two stored grids."""
     from altigrid.queries import fixtures as fx
+    from altigrid.sources import strips
 
     cells = fx.g1(spark, sf_dir).where("scene = 0").select("row", "col", "v")
     across = F.explode(F.sequence(F.lit(0), F.lit(SIDE // 64)))
@@ -48,21 +49,22 @@ def big_grids(spark: SparkSession, sf_dir: str, path: str):
         (F.col("col") + 64 * F.col("_j")).cast("int").alias("col"), (F.col("v") + F.col("_i") * 0.25).alias("v"),
     ).where(F.col("col") < SIDE)
     g.write.parquet(f"{path}/pred")
-    g.withColumn("v", F.col("v") - 2.0).repartition(64, "row").write.parquet(f"{path}/ref")
-    return spark.read.parquet(f"{path}/pred"), spark.read.parquet(f"{path}/ref")
+    g = spark.read.parquet(f"{path}/pred")
+    n = strips.bucket_count(g)
+    return g, strips.store_grid(g, "pred", n), strips.store_grid(g.withColumn("v", F.col("v") - 2.0), "ref", n)
 
 
 def grid_16m(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     from altigrid.operators import joins, metrics, resample
 
-    cells, ref = big_grids(spark, sf_dir, os.path.join(tempfile.mkdtemp(prefix="spark-"), "grid"))
+    cells, pred, ref = big_grids(spark, sf_dir, os.path.join(tempfile.mkdtemp(prefix="spark-"), "grid"))
     sc = spark.range(1).select(F.col("id").alias("scene"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), F.lit(1.0).alias("pixel_m"), F.lit(0.0).alias("min_h"))
     line = spark.range(1).select(
         F.col("id").alias("scene"), F.lit(0).alias("line"), F.lit(0.0).alias("c0"), F.lit(0.0).alias("r0"), F.lit(2047.0).alias("c1"), F.lit(0.0).alias("r1"))
     jobs = {
         "range_scan": lambda: metrics.finite_range(cells, ["scene"]),
-        "compare": lambda: metrics.compare(joins.join_cells(cells, ref), "pred", "ref", ["scene"]),
-        "dsm_metrics": lambda: metrics.dsm_metrics(joins.join_cells(cells, ref), "pred", "ref", ["scene"]),
+        "compare": lambda: metrics.compare(joins.join_cells(pred, ref), "pred", "ref", ["scene"]),
+        "dsm_metrics": lambda: metrics.dsm_metrics(joins.join_cells(pred, ref), "pred", "ref", ["scene"]),
         "display_grid_513": lambda: resample.mesh(cells, sc, 513)[0],
         "profile_2048": lambda: resample.profile(cells, line),
     }
