@@ -52,13 +52,11 @@ def source_histogram(df: DataFrame, by: list[str], source: str = "source") -> Da
 
 
 def stage_runtime(per_tile: DataFrame, stages: list[str], order: Column | str, size: str = "scene_px") -> DataFrame:
-    """One timing row per scene (its last), then the mean of each stage, the scene count and the
-    distinct sizes."""
+    """One timing row per scene (its last), then per scene size the scene count and the mean of each
+    stage, and a row over all of them with a NULL size."""
     one = last_per(per_tile.where(F.col("scene").isNotNull()), ["scene"], order, [*stages, size])
-    return one.agg(
-        F.count(F.lit(1)).alias("scenes"), *[F.avg(s).alias(s) for s in stages],
-        F.array_join(F.array_sort(F.collect_set(size)), ", ").alias("sizes"),
-    )
+    means = [F.count(F.lit(1)).alias("scenes"), *[F.avg(s).alias(s) for s in stages]]
+    return one.where(F.col(size).isNotNull()).groupBy(size).agg(*means).unionByName(one.agg(*means).withColumn(size, F.lit(None).cast(one.schema[size].dataType)))
 
 
 def gain_table(summary: DataFrame, base: str, methods: list[str], metrics: tuple[str, ...] = ("rmse", "ndsm_rmse")) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions import geo
 from altigrid.functions.numbers import as_col
-from altigrid.model import KEY, attach, finite
+from altigrid.model import KEY, attach, cut, finite
 from altigrid.sources.strips import beside, cells_of, is_strips
 
 RANGE_BUCKET = 256
@@ -126,14 +126,22 @@ def latest_year(items: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
 def mosaic(layers: DataFrame, order: str = "priority", tie: str = "layer") -> DataFrame:
     """Per cell the first non-missing value in ``order`` (ties: smallest ``tie``).
 
-    One combinable aggregate per cell. Cells missing in every layer stay NULL. For a newest-first
-    mosaic pass a descending key (for example the negated end time).
+    The layers' places in that order are numbered first (one stored row per layer of a scene), so that
+    the choice is a hash aggregate of two numbers. Cells missing in every layer stay NULL. For a
+    newest-first mosaic pass a descending key (for example the negated end time).
     """
-    ok = finite("v").isNotNull()
-    best = F.min(F.when(ok, F.struct(F.col(order).alias("o"), F.col(tie).alias("t"), F.col("v").alias("v"))))
-    return layers.groupBy(*KEY).agg(best.alias("_b")).select(
-        *KEY, F.col("_b.v").alias("v"), F.col("_b.t").alias("layer_used")
-    )
+    places = layer_places(layers, order, tie)
+    code = F.when(finite("v").isNotNull(), F.col("_place"))
+    x = attach(layers.select(*KEY, "v", order, tie), places, ["scene", order, tie], how="left")
+    best = x.groupBy(*KEY).agg(F.min_by("v", code).alias("v"), F.min(code).alias("_place"))
+    names = places.select("scene", "_place", F.col(tie).alias("layer_used"))
+    return attach(best, names, ["scene", "_place"], how="left").select(*KEY, "v", "layer_used")
+
+
+def layer_places(layers: DataFrame, order: str, tie: str) -> DataFrame:
+    """Stored: the distinct ``order`` and ``tie`` of every scene, numbered as ``_place``. A layer without either is never chosen."""
+    keys = layers.select("scene", order, tie).where(F.col(order).isNotNull() & F.col(tie).isNotNull()).distinct()
+    return cut(keys.withColumn("_place", F.row_number().over(Window.partitionBy("scene").orderBy(order, tie))))
 
 
 def mosaic_report(cells: DataFrame) -> DataFrame:
@@ -151,20 +159,19 @@ def mosaic_images(layers: DataFrame, min_coverage: float = 0.999) -> tuple[DataF
     covered enough and a per-scene report with the covered share and the ids actually used.
     """
     lit = (F.col("r") != 0) | (F.col("g") != 0) | (F.col("b") != 0)
-    best = F.min(F.when(lit, F.struct("priority", "item", "r", "g", "b")))
-    cells = layers.groupBy(*KEY).agg(best.alias("_b"))
-    share = cells.groupBy("scene").agg(F.avg(F.col("_b").isNotNull().cast("double")).alias("coverage"))
+    places = layer_places(layers, "priority", "item")
+    code = F.when(lit, F.col("_place"))
+    x = attach(layers, places, ["scene", "priority", "item"], how="left")
+    cells = x.groupBy(*KEY).agg(F.min(code).alias("_place"), *[F.min_by(c, code).alias(c) for c in "rgb"])
+    share = cells.groupBy("scene").agg(F.avg(F.col("_place").isNotNull().cast("double")).alias("coverage"))
     used = (
-        cells.where(F.col("_b").isNotNull())
-        .select("scene", F.col("_b.priority").alias("p"), F.col("_b.item").alias("item"))
-        .distinct()
-        .groupBy("scene")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "item"))), lambda s: s["item"].cast("string")), ",").alias("items_used"))
+        cells.where(F.col("_place").isNotNull()).select("scene", "_place").distinct().join(places, ["scene", "_place"]).groupBy("scene")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "item"))), lambda s: s["item"].cast("string")), ",").alias("items_used"))
     )
     report = share.join(used, "scene", "left").withColumn("accepted", F.col("coverage") >= min_coverage)
     kept = attach(cells, report.where("accepted").select("scene"))
     zero = F.lit(0)
-    out = kept.select(*KEY, *[F.coalesce(F.col(f"_b.{c}"), zero).alias(c) for c in "rgb"])
+    out = kept.select(*KEY, *[F.coalesce(F.col(c), zero).alias(c) for c in "rgb"])
     return out, report
 
 

@@ -112,10 +112,13 @@ def affine_fit(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
 
 
 def relative_metrics(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
-    """E1 after the best least-squares scale and shift of the prediction."""
-    pairs = cut(valid_pairs(df, pred, ref).select(*by, pred, ref))
+    """E1 after the best least-squares scale and shift of the prediction.
+
+    Every group of the input has a row, as in E1; without a valid pair it keeps only ``n_pixels``.
+    """
+    pairs = cut(df.select(*by, pred, ref))
     fit = cut(affine_fit(pairs, pred, ref, by))
-    aligned = attach(pairs, fit, by, [pred, ref]).withColumn(
+    aligned = attach(pairs, fit, by, [pred, ref], "left").withColumn(
         "_aligned", F.col("align_a") * F.col(pred) + F.col("align_b")
     )
     return dsm_metrics(aligned, "_aligned", ref, by).join(fit, by, "left")

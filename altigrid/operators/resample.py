@@ -19,7 +19,7 @@ from altigrid.model import KEY, attach, cut_measured, scene_extent
 from altigrid.operators.neighbourhood import corners, patch4
 
 WEIGHT_FLOOR = 1e-10  # fixed value: lighter neighbours are ignored, even missing ones
-MAX_PROFILE_POINTS = 2048
+PROFILE_POINTS = 2048
 MIN_VALID_FRACTION = 0.5
 
 
@@ -57,20 +57,27 @@ def bilinear_at(cells: DataFrame, at: DataFrame, y: str, x: str, out: str) -> Da
     return j.withColumn(out, F.when(F.col("_hit"), value)).drop("_y0", "_x0", "_hit", "v00", "v01", "v10", "v11")
 
 
-def look_up(cells: DataFrame, points: DataFrame, y: str, x: str, out: str, gradient: bool = False) -> DataFrame:
+def look_up(cells: DataFrame, points: DataFrame, y: str, x: str, out: str, gradient: bool = False, strict: bool = False) -> DataFrame:
     """Values at points that are few next to the cells: adds ``out``, with ``gradient`` also the
     neighbour steps ``_dx, _dy`` and their cell distances ``_nx, _ny`` at the nearest cell.
 
     The wanted cells are listed first and stored, so the planner knows the list's true size (a short
     list is broadcast, the grid is then read once and not shuffled) and the grid scan is narrowed to
     the rows and scenes the points touch.
+
+    With ``strict`` (``points`` then have ``h, w``) all four cells around a point must be there, those of weight
+    0 too; for a point on the last row or column of centres the one before it takes the place of what lies beyond.
     """
     y0, x0 = F.floor(y).cast("int"), F.floor(x).cast("int")
-    wanted = [("p00", y0, x0), ("p01", y0, x0 + 1), ("p10", y0 + 1, x0), ("p11", y0 + 1, x0 + 1)]
+    y1, x1 = y0 + 1, x0 + 1
+    if strict:
+        last = [(F.col(p) == F.floor(p)) & (a == F.col(n)) for p, a, n in ((y, y1, "h"), (x, x1, "w"))]
+        y1, x1 = (F.when(on, F.greatest(F.col(n) - 2, F.lit(0))).otherwise(a).cast("int") for on, a, n in zip(last, (y1, x1), ("h", "w"), strict=True))
+    wanted = [("p00", y0, x0), ("p01", y0, x1), ("p10", y1, x0), ("p11", y1, x1)]
     if gradient:
         r, c = half_up(y).cast("int"), half_up(x).cast("int")
         wanted += [("c", r, c), ("e", r, c + 1), ("w", r, c - 1), ("s", r + 1, c), ("n", r - 1, c)]
-    spots = points.select("scene", F.col(y).alias("_y"), F.col(x).alias("_x")).distinct()
+    spots = points.select("scene", F.col(y).alias("_y"), F.col(x).alias("_x"), *["h", "w"] * strict).distinct()
     spots = spots.withColumnsRenamed({"_y": y, "_x": x})
     slots = F.array(*[F.struct(F.lit(n).alias("slot"), rr.alias("row"), cc.alias("col")) for n, rr, cc in wanted])
     keys = spots.select("scene", y, x, F.explode(slots).alias("_s")).select("scene", y, x, "_s.*")
@@ -84,13 +91,14 @@ def look_up(cells: DataFrame, points: DataFrame, y: str, x: str, out: str, gradi
     got = found.groupBy("scene", y, x).agg(*[
         a for n, _, _ in wanted for a in (F.max(F.when(F.col("slot") == n, F.col("v"))).alias(f"_v_{n}"), F.max((F.col("slot") == n).cast("int")).alias(f"_has_{n}"))
     ])
-    return _from_slots(points.join(got, ["scene", y, x], "left"), [n for n, _, _ in wanted], y, x, out)
+    return _from_slots(points.join(got, ["scene", y, x], "left"), [n for n, _, _ in wanted], y, x, out, strict)
 
 
-def _from_slots(j: DataFrame, slots: list[str], y: str, x: str, out: str) -> DataFrame:
+def _from_slots(j: DataFrame, slots: list[str], y: str, x: str, out: str, strict: bool = False) -> DataFrame:
     """Bilinear value (and steps, where their cells are there) from the cells around a point, as ``_v_`` and ``_has_`` columns."""
     ty, tx = F.col(y) - F.floor(y), F.col(x) - F.floor(x)
-    value = _weighted([((1 - tx) * (1 - ty), F.col("_v_p00")), (tx * (1 - ty), F.col("_v_p01")), ((1 - tx) * ty, F.col("_v_p10")), (tx * ty, F.col("_v_p11"))])
+    terms = [((1 - tx) * (1 - ty), F.col("_v_p00")), (tx * (1 - ty), F.col("_v_p01")), ((1 - tx) * ty, F.col("_v_p10")), (tx * ty, F.col("_v_p11"))]
+    value = sum(w * v for w, v in terms) if strict else _weighted(terms)
     j = j.withColumn(out, F.when(F.col("_has_p00") == 1, value))
     if "c" in slots:
         for axis, lo, hi in (("x", "w", "e"), ("y", "n", "s")):
@@ -144,13 +152,14 @@ def sample_points(cells: DataFrame, points: DataFrame) -> DataFrame:
     """Value at control points given in pixel coordinates (cell centres at .5).
 
     Points outside the grid are dropped; between the outermost centres and the grid edge there is
-    no value.
+    no value, nor where one of the four cells around the point is missing, even one of weight 0 (a point on
+    a cell's centre beside a gap).
     """
     p = points.withColumn("_y", F.col("row_f") - 0.5).withColumn("_x", F.col("col_f") - 0.5)
     ext = scene_extent(cells)
     p = attach(p, ext, spread=["row_f", "col_f"])
     p = p.where((F.col("col_f") >= 0) & (F.col("col_f") < F.col("w")) & (F.col("row_f") >= 0) & (F.col("row_f") < F.col("h")))
-    return look_up(cells, p, "_y", "_x", "value").drop("_y", "_x", "h", "w")
+    return look_up(cells, p, "_y", "_x", "value", strict=True).drop("_y", "_x", "h", "w")
 
 
 def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
@@ -169,12 +178,16 @@ def inspect(cells: DataFrame, points: DataFrame, ref: DataFrame | None = None, p
     return out.withColumn("error", F.col("height") - F.col("_ref")).drop("_ref")
 
 
-def profile_points(lines: DataFrame, px=1.0) -> DataFrame:
-    """Evenly spaced points along ``scene, line, c0, r0, c1, r1`` with their plan distance."""
+def profile_points(lines: DataFrame, px=1.0, most: int = PROFILE_POINTS) -> DataFrame:
+    """Evenly spaced points along ``scene, line, c0, r0, c1, r1`` with their plan distance.
+
+    A line has a point per cell of its length, both ends included, and ``most`` at most: a longer line is
+    sampled more coarsely.
+    """
     px = as_col(px) if isinstance(px, (str, Column)) else F.lit(float(px))
     dc, dr = F.col("c1") - F.col("c0"), F.col("r1") - F.col("r0")
     cells = F.hypot(dc, dr)
-    count = F.least(F.lit(MAX_PROFILE_POINTS), F.greatest(F.lit(2), F.ceil(cells) + 1)).cast("int")
+    count = F.least(F.lit(most), F.greatest(F.lit(2), F.ceil(cells) + 1)).cast("int")
     p = lines.withColumn("_n", count).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     t = F.col("i") / (F.col("_n") - 1)
     return p.select(
@@ -183,9 +196,9 @@ def profile_points(lines: DataFrame, px=1.0) -> DataFrame:
     )
 
 
-def profile(cells: DataFrame, lines: DataFrame, px=1.0, ref: DataFrame | None = None) -> DataFrame:
-    """Transects sampled with R6."""
-    return inspect(cells, profile_points(lines, px), ref, px)
+def profile(cells: DataFrame, lines: DataFrame, px=1.0, ref: DataFrame | None = None, most: int = PROFILE_POINTS) -> DataFrame:
+    """Transects sampled with R6, of ``most`` points at most."""
+    return inspect(cells, profile_points(lines, px, most), ref, px)
 
 
 def profile_stats(points: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -49,7 +49,7 @@ def e20(spark, d):
 
 @query("e24_stage_runtime", """
 WITH one AS (SELECT l_orderkey, max(struct_pack(a := l_linenumber, q := l_quantity, d := l_discount, s := l_returnflag)) AS t FROM lineitem GROUP BY 1)
-SELECT count(*) AS scenes, round(avg(t.q), 6) + 0.0 AS depth_s, round(avg(t.d), 6) + 0.0 AS calibrate_s, string_agg(DISTINCT t.s, ', ' ORDER BY t.s) AS sizes FROM one""")
+SELECT t.s AS scene_px, count(*) AS scenes, round(avg(t.q), 6) + 0.0 AS depth_s, round(avg(t.d), 6) + 0.0 AS calibrate_s FROM one GROUP BY GROUPING SETS ((t.s), ())""")
 def e24(spark, d):
     t = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("scene"), "l_linenumber", F.col("l_quantity").alias("depth_s"), F.col("l_discount").alias("calibrate_s"), F.col("l_returnflag").alias("scene_px"))
     return r6(ev.stage_runtime(t, ["depth_s", "calibrate_s"], "l_linenumber"), ["depth_s", "calibrate_s"])

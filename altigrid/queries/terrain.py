@@ -167,10 +167,17 @@ def e22(spark, d):
 
 
 @query("d08_point_sampling", fx.with_sql(fx.G1, fx.G2, fx.POINTS, DIMS,
-    "inp AS (SELECT point, scene, row_f - 0.5::DOUBLE AS y, col_f - 0.5::DOUBLE AS x FROM points JOIN dims USING (scene) WHERE col_f >= 0 AND col_f < w AND row_f >= 0 AND row_f < h)",
-    bilin_sql("g2", "inp", "y", "x", "sm", "q.point, q.scene")) + "SELECT point, scene, round(value, 6) + 0.0 AS value FROM sm")
+    "every AS (SELECT point, scene, row_f, col_f FROM points UNION ALL SELECT -1 - point, scene, floor(row_f) + 0.5::DOUBLE, floor(col_f) + 0.5::DOUBLE FROM points)",
+    "inp AS (SELECT point, scene, row_f - 0.5::DOUBLE AS y, col_f - 0.5::DOUBLE AS x, h, w FROM every JOIN dims USING (scene) WHERE col_f >= 0 AND col_f < w AND row_f >= 0 AND row_f < h)",
+    """n4 AS (SELECT point, scene, CAST(floor(y) AS INTEGER) AS y0, CAST(floor(x) AS INTEGER) AS x0, y - floor(y) AS ty, x - floor(x) AS tx,
+      CAST(CASE WHEN y = h - 1 THEN greatest(h - 2, 0) ELSE floor(y) + 1 END AS INTEGER) AS y1, CAST(CASE WHEN x = w - 1 THEN greatest(w - 2, 0) ELSE floor(x) + 1 END AS INTEGER) AS x1 FROM inp)""") + """
+SELECT point, n4.scene, round((1 - tx) * (1 - ty) * a.v + tx * (1 - ty) * b.v + (1 - tx) * ty * c.v + tx * ty * d.v, 6) + 0.0 AS value FROM n4
+LEFT JOIN g2 a ON a.scene = n4.scene AND a.row = y0 AND a.col = x0 LEFT JOIN g2 b ON b.scene = n4.scene AND b.row = y0 AND b.col = x1
+LEFT JOIN g2 c ON c.scene = n4.scene AND c.row = y1 AND c.col = x0 LEFT JOIN g2 d ON d.scene = n4.scene AND d.row = y1 AND d.col = x1""")
 def d08(spark, d):
-    out = resample.sample_points(fx.g2(fx.g1(spark, d)), fx.points(spark, d))
+    p = fx.points(spark, d)
+    centres = p.select((-1 - F.col("point")).alias("point"), "scene", (F.floor("row_f") + 0.5).alias("row_f"), (F.floor("col_f") + 0.5).alias("col_f"), "height")
+    out = resample.sample_points(fx.g2(fx.g1(spark, d)), p.unionByName(centres))
     return r6(out.select("point", "scene", "value"), ["value"])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from altigrid.model import META_SCHEMA
+from altigrid.model import META_SCHEMA, cut, cut_measured
 
 MAX_CELLS = 100_000_000
 CATALOGUE = ["job_id", "name", "units", "width", "height", "pixel_size_m", "crs", "calibration", "finished"]
@@ -59,18 +59,30 @@ def scan_dem_tiles(spark: SparkSession, path: str, schema: T.StructType, glob: s
     """A4: every raster part under a folder, recursively; sorted tile names give the priority.
 
     ``tile_pattern`` takes the tile name from a file path (default: the path itself). An empty folder
-    is an error. The list of tiles is small next to the cells, and its own size decides how it is
-    joined back.
+    is an error. The names come from a listing of paths that opens no file; they are ranked over ranges of
+    names, and the list's own size decides how it is joined to the cells.
     """
     cells = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", glob).parquet(path)
     cells = cells.withColumn("tile", F.regexp_extract(F.col("_metadata.file_path"), tile_pattern, 1))
-    if not cells.inputFiles():
+    # the binary source with neither content nor length asked for lists files and reads none
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    names = listed.select(F.regexp_extract(F.col("_metadata.file_path"), tile_pattern, 1).alias("tile")).distinct()
+    order, seen = cut_measured(ranked_over_ranges(names, "tile", "priority"), F.count(F.lit(1)).alias("tiles"))
+    if not seen["tiles"]:
         raise FileNotFoundError(f"No elevation tiles in {path}.")
-    names = cells.select("tile").distinct()
-    order = names.withColumn("priority", F.dense_rank().over(Window.orderBy("tile")))
     return cells.join(order, "tile")
 
 
+def ranked_over_ranges(names: DataFrame, name: str, out: str) -> DataFrame:
+    """Distinct names numbered from 1 in order: a number within each range of names, and the ranges' offsets."""
+    parts = cut(names.repartitionByRange(name).sortWithinPartitions(name).select(name, F.spark_partition_id().alias("_part")))
+    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(name)))
+    # one row per range
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return inside.join(starts, "_part").select(name, (F.col("_at") + F.col("_start")).cast("int").alias(out))
+
+
 def catalogue_rows(texts: DataFrame) -> DataFrame:
     """A8 on ``job_id, text, finished``: damaged metadata dropped, nine fields, name falls back to id."""
     schema = T.StructType([*META_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])

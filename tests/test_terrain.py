@@ -179,3 +179,61 @@ def test_reproject_degree_grid(spark, to_cells):
     v = [p.v for p in mid if p.v is not None]
     assert len(v) >= 56 and np.allclose(np.diff(v), 1.0, atol=0.02)
     assert out.where("valid").count() > 0.9 * m.h * m.w
+
+
+def test_control_points_beside_gaps(spark, to_cells):
+    """A point on a centre needs all four cells around it, as one between centres does; the last centre counts."""
+    from altigrid.operators import resample
+
+    grid = np.arange(20, dtype=float).reshape(4, 5)
+    grid[1, 2] = np.nan
+    spots = {0: (1.5, 1.5, None), 1: (0.5, 1.5, None), 2: (2.5, 2.5, 12.0), 3: (3.5, 4.5, 19.0), 4: (3.8, 2.5, None), 5: (2.5, 3.0, 12.5), 6: (1.5, 3.5, 8.0), 7: (9.0, 9.0, "out")}
+    points = spark.createDataFrame([(k, 0, r, c) for k, (r, c, _) in spots.items()], "point int, scene bigint, row_f double, col_f double")
+    got = {r.point: r.value for r in resample.sample_points(to_cells(grid), points).collect()}
+    assert got == {k: v for k, (_, _, v) in spots.items() if v != "out"}
+
+
+def test_stored_grids_meet_without_a_shuffle(spark, to_cells):
+    """D1, D9, D13, D14 on stored strips give what they give on cells, gaps and wide rows included; no exchange under the join."""
+    from altigrid.operators import joins
+    from altigrid.sources import strips
+
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(6, 2500)), rng.normal(size=(6, 2500))
+    a[2, 1000:1100], b[5, 2499] = np.nan, np.nan
+    ca, cb = to_cells(a), to_cells(b)
+    sa, sb = strips.store_grid(ca, "a", 4), strips.store_grid(cb, "b", 4)
+    same = lambda x, y: sorted(map(tuple, x.collect()), key=repr) == sorted(map(tuple, y.select(x.columns).collect()), key=repr)
+    assert same(strips.cells_of(sa), ca)
+    # tables this small would be broadcast
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = joins.join_cells(sa, sb)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    met = joins.join_cells(sa, sb)
+    assert same(met, joins.join_cells(ca, cb)) and same(joins.join_cells(sa, cb), joins.join_cells(ca, cb))
+    assert same(joins.difference(sa, sb), joins.difference(ca, cb)) and same(joins.join_three(sa, sb, sa), joins.join_three(ca, cb, ca))
+    mask = cb.where("v > 1")
+    assert same(joins.apply_mask(sa, strips.store_grid(mask, "m", 4)), joins.apply_mask(ca, mask))
+
+
+def test_display_mesh_of_any_shape(spark, to_cells):
+    """Stencils found from the cells equal plain sampling at every vertex, for thin, small and wide grids."""
+    from altigrid.operators import resample
+
+    rng = np.random.default_rng(1)
+    for shape, cap in (((1, 7), 4), ((7, 1), 5), ((5, 5), 5), ((40, 23), 9), ((23, 40), 40), ((2, 300), 17)):
+        grid = rng.normal(size=shape)
+        grid[rng.random(shape) < 0.1] = np.nan
+        cells = to_cells(grid)
+        scenes = spark.createDataFrame([(0, *shape, 2.0, -5.0)], "scene bigint, h int, w int, pixel_m double, min_h double")
+        got, _ = resample.mesh(cells, scenes, cap, ref=cells)
+        pts = got.select("scene", "vertex", (F.col("z") / 2.0 + (shape[0] - 1) / 2.0).alias("row_f"), (F.col("x") / 2.0 + (shape[1] - 1) / 2.0).alias("col_f"))
+        want = {r.vertex: (r.height, r.slope) for r in resample.inspect(cells, pts.select("*", F.round("row_f", 9).alias("_r"), F.round("col_f", 9).alias("_c")).drop("row_f", "col_f").withColumnsRenamed({"_r": "row_f", "_c": "col_f"}), px=2.0).collect()}
+        rows = got.collect()
+        assert len(rows) == len(want) >= 4
+        for r in rows:
+            h, _ = want[r.vertex]
+            assert r.valid == (h is not None) and (h is None or abs(r.y - 5.0 - h) < 1e-6)
+            assert not r.error_valid or abs(r.error) < 1e-12
