@@ -307,5 +307,6 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, top: int = TOP, shar
     hull = a.where("k > 2").select("lang", F.explode(parts).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_hull"))
     left = best.join(hull, ["lang", "phrase"], "left").where(F.col("_hull").isNull() | (100 * F.col("_hull") < 80 * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
-    return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
+    # as a plain row number, so that the limit also holds before the shuffle by language
+    ranked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
