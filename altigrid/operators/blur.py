@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from altigrid.model import KEY, attach, finite, scene_extent
 from altigrid.operators.neighbourhood import blocked
-from altigrid.operators.resample import area_resize, bilinear_resize
+from altigrid.operators.resample import area_resize, enlarge_onto
 
 DIRECT_SIGMA = 4.0  # fixed value: wider blurs work on an area-reduced grid
 REACH = 4.0  # kernel radius in sigmas
@@ -53,7 +53,12 @@ def _blur(cells: DataFrame, extent: DataFrame, radius: int) -> DataFrame:
 
 
 def gaussian(cells: DataFrame, sigma: float | str) -> DataFrame:
-    """blur with a reflected border (edge cell repeated), weights exp(-k^2 / 2 sigma^2) for
+    """the blurred grid, see :func:`smoothed`."""
+    return smoothed(cells, sigma, "_smooth").select(*KEY, F.col("_smooth").alias("v"))
+
+
+def smoothed(cells: DataFrame, sigma: float | str, out: str) -> DataFrame:
+    """Adds the blurred value: blur with a reflected border (edge cell repeated), weights exp(-k^2 / 2 sigma^2) for
     |k| <= ceil(4 sigma), normalised; a missing cell makes every cell in reach missing.
 
     ``sigma`` in cells is a number, or a per-scene column of ``cells``. Above 4 cells the grid is
@@ -61,18 +66,19 @@ def gaussian(cells: DataFrame, sigma: float | str) -> DataFrame:
     mean counts as variance f^2/12.
     """
     if isinstance(sigma, str):
-        return _gaussian_by_scene(cells, sigma)
+        return _smoothed_by_scene(cells, sigma, out)
     sigma = float(sigma)
     ext = scene_extent(cells)
     f = int(sigma // DIRECT_SIGMA) if sigma > DIRECT_SIGMA else 1
     rest = math.sqrt(max(sigma**2 - f**2 / 12.0, 0.0)) / f if sigma > DIRECT_SIGMA else sigma
     radius = math.ceil(REACH * rest)
     if f == 1:
-        return _blur(cells, ext.withColumn("sigma", F.lit(rest)), radius)
+        low = _blur(cells, ext.withColumn("sigma", F.lit(rest)), radius)
+        return cells.join(low.select(*KEY, F.col("v").alias(out)), KEY)
     dims = _reduced(ext, F.lit(f))
     small = area_resize(cells, dims).select(*KEY, "v")
     part = dims.select("scene", F.col("h2").alias("h"), F.col("w2").alias("w"), F.lit(rest).alias("sigma"))
-    return bilinear_resize(_blur(small, part, radius), dims)
+    return enlarge_onto(cells, _blur(small, part, radius), dims, out)
 
 
 def _reduced(extent: DataFrame, f: Column) -> DataFrame:
@@ -81,7 +87,7 @@ def _reduced(extent: DataFrame, f: Column) -> DataFrame:
     )
 
 
-def _gaussian_by_scene(cells: DataFrame, sigma: str) -> DataFrame:
+def _smoothed_by_scene(cells: DataFrame, sigma: str, out: str) -> DataFrame:
     """Scenes with different sigmas in one plan: after reduction every sigma is below 8 cells."""
     s = F.col(sigma)
     f = F.when(s > DIRECT_SIGMA, F.greatest(F.floor(s / DIRECT_SIGMA), F.lit(1))).otherwise(F.lit(1))
@@ -91,7 +97,7 @@ def _gaussian_by_scene(cells: DataFrame, sigma: str) -> DataFrame:
     part = dims.select("scene", F.col("h2").alias("h"), F.col("w2").alias("w"), F.col("_rest").alias("sigma"))
     small = area_resize(cells, dims.select("scene", "h", "w", "h2", "w2")).select(*KEY, "v")
     blurred = _blur(small, part, math.ceil(REACH * 2 * DIRECT_SIGMA))
-    return bilinear_resize(blurred, dims.select("scene", "h", "w", "h2", "w2"))
+    return enlarge_onto(cells, blurred, dims, out)
 
 
 def band_split(cells: DataFrame, scenes: DataFrame, k: float, sigma: float | None = None) -> DataFrame:
@@ -100,9 +106,8 @@ def band_split(cells: DataFrame, scenes: DataFrame, k: float, sigma: float | Non
     Pass ``sigma`` when all scenes share it; the plan is then the shorter one.
     """
     if sigma is not None:
-        low = gaussian(cells, sigma)
+        both = smoothed(cells, sigma, "low")
     else:
         s = scenes.select("scene", (F.lit(float(k)) * F.col("dem_res_m") / F.col("pixel_m")).alias("_sigma"))
-        low = gaussian(attach(cells, s), "_sigma")
-    low = low.select(*KEY, F.col("v").alias("low"))
-    return cells.join(low, KEY).withColumn("high", F.col("v") - F.col("low"))
+        both = smoothed(attach(cells, s), "_sigma", "low").drop("_sigma")
+    return both.withColumn("high", F.col("v") - F.col("low"))

@@ -6,6 +6,7 @@ Never reads reference surfaces: nothing here may import the metrics or evaluatio
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from altigrid.operators.resample import sample_points
 
 FLOAT32_EPS = 1.1920928955078125e-07
 RELIEF_OFF = 1e9
+STILL = 1e-11
 
 
 @dataclass(frozen=True)
@@ -67,8 +69,8 @@ def huber_affine(df: DataFrame, x: str, y: str, by: list[str], delta: float = 2.
     """Huber fit ``y = a*x + b`` per group by iteratively reweighted least squares.
 
     At most ``rounds`` rounds from the least-squares start, weights ``min(1, delta/|residual|)``, on
-    centred values; earlier rounds end the fit only where a round changes nothing. A round is one
-    combinable aggregate over a stored table, so a group of any size is never gathered. A group
+    centred values. A group whose line moves by less than ``STILL`` of its size in a round is done and takes
+    part in no further one; what more rounds would change is below that. A round is one combinable aggregate over a stored table, so a group of any size is never gathered. A group
     without spread in ``x`` (or with one pair) gets ``a = 0`` and the median of ``y``. Runs when called.
     """
     ok = cut(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
@@ -91,6 +93,7 @@ def _reweighted(centred: DataFrame, by: list[str], delta: float, rounds: int) ->
     """The rounds: one aggregate each; the few parameters are stored between rounds."""
     x, y = F.col("_x"), F.col("_y")
     params = cut(centred.groupBy(*by).agg((F.sum(x * y) / F.sum(x * x)).alias("a"), F.lit(0.0).alias("b")))
+    done = []
     for _ in range(rounds):
         off = F.abs(F.col("a") * x + F.col("b") - y)
         g = attach(centred, params, by, ["_x", "_y"]).withColumn("_w", F.when(off > delta, delta / off).otherwise(1.0))
@@ -101,12 +104,15 @@ def _reweighted(centred: DataFrame, by: list[str], delta: float, rounds: int) ->
         )
         a = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx"))
         s = s.withColumn("a", a).withColumn("b", (F.col("sy") - F.col("a") * F.col("sx")) / F.col("sw"))
-        moved = F.max(F.greatest(F.abs(F.col("a") - F.col("_a")), F.abs(F.col("b") - F.col("_b")))).alias("moved")
-        stored, seen = cut_measured(s.select(*by, "a", "b", "_a", "_b"), moved)
-        params = stored.select(*by, "a", "b")
-        if not seen["moved"]:
+        near = [F.abs(F.col(p) - F.col(f"_{p}")) <= STILL * F.greatest(F.abs(p), F.lit(1.0)) for p in "ab"]
+        s = s.withColumn("_still", near[0] & near[1])
+        stored, seen = cut_measured(s.select(*by, "a", "b", "_still"), F.count_if(~F.col("_still")).alias("moving"), F.count_if("_still").alias("still"))
+        params = stored.where(~F.col("_still")).select(*by, "a", "b")
+        if seen["still"]:
+            done.append(stored.where("_still").select(*by, "a", "b"))
+        if not seen["moving"]:
             break
-    return params
+    return reduce(DataFrame.unionByName, done, params)
 
 
 def _pairs(d: DataFrame, dem: DataFrame) -> DataFrame:

@@ -7,15 +7,13 @@ halo cells, and a scene with most of the data is spread over all its blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import as_col
-from altigrid.model import KEY
+from altigrid.model import KEY, cut
 
 BLOCK = 256
 
@@ -78,68 +76,94 @@ def patch4(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     return b.where("core").select(*KEY, "p")
 
 
+def column_sources(cells: DataFrame, also: str, block: int = BLOCK) -> DataFrame:
+    """Every cell with the nearest valid cell of its own column: ``_s`` (row, v, a), NULL if the column has none.
+
+    The nearest one above and below is looked for inside blocks of rows. The ends of the blocks, one row
+    per block and column, are carried over the blocks, so no window holds a whole column of cells.
+    Of two that are equally near the upper one counts.
+    """
+    source = F.when(F.col("v").isNotNull(), F.struct("row", "v", F.col(also).alias("a")))
+    base = cells.withColumn("_rb", F.floor(F.col("row") / block).cast("int")).withColumn("_src", source)
+    own = ["scene", "_rb", "col"]
+    ends = base.groupBy(*own).agg(F.max_by("_src", F.when(F.col("v").isNotNull(), F.col("row"))).alias("_low"), F.min_by("_src", F.when(F.col("v").isNotNull(), F.col("row"))).alias("_high"))
+    over = Window.partitionBy("scene", "col").orderBy("_rb")
+    carried = ends.select(
+        *own, F.last("_low", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_above"),
+        F.first("_high", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_below"))
+    w = Window.partitionBy(*own).orderBy("row")
+    near = base.withColumn("_up", F.last("_src", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("_down", F.first("_src", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    near = near.join(carried, own)
+    up, down = F.coalesce("_up", "_above"), F.coalesce("_down", "_below")
+    closer_up = down.isNull() | (F.col("row") - up["row"] <= down["row"] - F.col("row"))
+    return near.select(*KEY, F.col("v").isNull().alias("gap"), F.when(closer_up, up).otherwise(down).alias("_s"))
+
+
+FILL_ROWS, FILL_COLS = 64, 256
+
+
 def fill_nearest(cells: DataFrame, also: str | None = None) -> DataFrame:
     """each missing cell takes the value of the Euclidean-nearest valid cell.
 
     Adds ``filled``. Ties go to the smallest source row, then column. ``also`` names a second value
-    column that follows the same source cell. Two separable exact passes: the nearest valid cell of
-    the own column (a window per column), then the best column of the own row. Only rows with gaps
-    enter the second pass; one grid row is its unit of work.
+    column that follows the same source cell.
+
+    Two separable exact passes: the nearest valid cell of each column (:func:`column_sources`), then the
+    best column. For the second, each stretch of a row states how near its column sources come at best;
+    that bounds a gap's distance from above and every stretch's from below, so a gap asks only the few
+    stretches that may hold its source. Asks and sources meet in tiles of bounded size.
     """
     extra = F.col(also).cast("double") if also else F.lit(None).cast("double")
-    base = cells.withColumn("_also", extra)
-    source = F.when(F.col("v").isNotNull(), F.struct("row", "v", "_also"))
-    w = Window.partitionBy("scene", "col").orderBy("row")
-    up = F.last(source, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(source, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    near = base.withColumn("_up", up).withColumn("_down", down)
-    closer_up = F.col("_down").isNull() | (F.col("row") - F.col("_up.row") <= F.col("_down.row") - F.col("row"))
-    near = near.withColumn("_s", F.when(closer_up, F.col("_up")).otherwise(F.col("_down")))
+    near = column_sources(cells.withColumn("_also", extra), "_also")
     gaps = cells.where(F.col("v").isNull()).select("scene", "row").distinct()
-    entry = F.struct("col", F.col("v").isNull().alias("m"), F.col("_s.row").alias("r"), F.col("_s.v").alias("v"), F.col("_s._also").alias("a"))
-    lines = near.join(gaps, ["scene", "row"], "left_semi").groupBy("scene", "row").agg(
-        F.array_sort(F.collect_list(entry)).alias("line")
-    )
-    arrays = lines.select("scene", "row", *[F.col(f"line.{n}").alias(n) for n in ("col", "m", "r", "v", "a")])
-    fills = arrays.mapInPandas(_fill_rows, "scene bigint, row int, col int, _fv double, _fa double")
+    near = near.join(gaps, ["scene", "row"], "left_semi").withColumn("_cb", F.floor(F.col("col") / FILL_COLS).cast("int"))
+    near = cut(near)  # read as sources and as gaps
+    drop = F.col("row") - F.col("_s.row")
+    best = near.where("_s is not null").groupBy("scene", "row", "_cb").agg(F.min((drop * drop).cast("bigint")).alias("d"))
+    # one entry per stretch of the row
+    reach = best.groupBy("scene", "row").agg(F.collect_list(F.struct("_cb", "d")).alias("_reach"))
+    c, first = F.col("col").cast("bigint"), lambda x: x["_cb"].cast("bigint") * FILL_COLS
+
+    def lower(x: Column) -> Column:
+        side = F.greatest(first(x) - c, c - (first(x) + FILL_COLS - 1), F.lit(0).cast("bigint"))
+        return side * side + x["d"]
+
+    def upper(x: Column) -> Column:
+        side = F.greatest(F.abs(first(x) - c), F.abs(first(x) + FILL_COLS - 1 - c))
+        return side * side + x["d"]
+
+    bounded = near.where("gap").join(reach, ["scene", "row"]).withColumn("_most", F.array_min(F.transform("_reach", upper)))
+    asks = bounded.select(*KEY, F.col("_cb").alias("_gcb"), F.explode(F.filter("_reach", lambda x: lower(x) <= F.col("_most"))["_cb"]).alias("_cb"))
+    tile = ["scene", "_rb", "_cb", "_gcb"]
+    asks = cut(asks.withColumn("_rb", F.floor(F.col("row") / FILL_ROWS).cast("int")))
+    wanted = asks.select(*tile).distinct()
+    sources = near.where("_s is not null").withColumn("_rb", F.floor(F.col("row") / FILL_ROWS).cast("int"))
+    sources = sources.select("scene", "_rb", "_cb", "row", "col", F.col("_s.row").alias("r"), F.col("_s.v").alias("v"), F.col("_s.a").alias("a"))
+    sources = sources.join(wanted, ["scene", "_rb", "_cb"])
+    sources = sources.select(*[F.col(c).alias(f"s{c}") for c in tile], "row", "col", "r", "v", "a")
+    answers = asks.groupBy(*tile).cogroup(sources.groupBy(*[f"s{c}" for c in tile])).applyInPandas(_answer, "scene bigint, row int, col int, d bigint, r int, c int, v double, a double")
+    one = answers.groupBy(*KEY).agg(F.min(F.struct("d", "r", "c", "v", "a")).alias("_b"))
+    fills = one.select(*KEY, F.col("_b.v").alias("_fv"), F.col("_b.a").alias("_fa"))
     out = cells.join(fills, KEY, "left").withColumn("filled", F.col("v").isNull() & F.col("_fv").isNotNull())
     if also:
         out = out.withColumn(also, F.when(F.col("v").isNull(), F.col("_fa")).otherwise(F.col(also)))
     return out.withColumn("v", F.coalesce("v", "_fv")).drop("_fv", "_fa")
 
 
-def _fill_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Best source column for every gap of a grid row, by growing horizontal offsets."""
-    for pdf in batches:
-        parts = []
-        for scene, row, col, m, r, v, a in pdf.itertuples(index=False, name=None):
-            col = np.asarray(col)
-            src = np.array([np.nan if x is None else x for x in r], dtype=float)
-            val = np.array([np.nan if x is None else x for x in v], dtype=float)
-            oth = np.array([np.nan if x is None else x for x in a], dtype=float)
-            if not np.isfinite(src).any():
-                continue  # no source in any column: nothing to fill from
-            drop2 = (src - row) ** 2
-            n = len(col)
-            gap = np.flatnonzero(np.asarray(m, dtype=bool))
-            best = np.full(len(gap), np.inf)
-            brow = np.full(len(gap), np.inf)
-            pick = np.full(len(gap), -1)
-            for step in range(n):
-                if np.all(best < step * step):
-                    break
-                for at in (gap - step, gap + step):
-                    ok = (at >= 0) & (at < n)
-                    at = np.where(ok, at, 0)
-                    cost = np.where(ok, drop2[at] + step * step, np.inf)
-                    cost = np.where(np.isnan(cost), np.inf, cost)
-                    same = np.isfinite(cost) & (cost == best)
-                    wins = (cost < best) | (same & ((src[at] < brow) | ((src[at] == brow) & (at < pick))))
-                    best = np.where(wins, cost, best)
-                    brow = np.where(wins, src[at], brow)
-                    pick = np.where(wins, at, pick)
-            found = pick >= 0
-            gap, pick = gap[found], pick[found]
-            parts.append(pd.DataFrame({"scene": scene, "row": row, "col": col[gap], "_fv": val[pick], "_fa": oth[pick]}))
-        if parts:
-            yield pd.concat(parts).astype({"scene": "int64", "row": "int32", "col": "int32"}).replace({np.nan: None})
+def _answer(asks: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+    """For each asking gap the best source of one tile's stretch of its row: nearest, then smallest row, then column."""
+    parts = []
+    by_row = dict(tuple(sources.sort_values(["row", "r", "col"], kind="stable").groupby("row")))
+    for row, own in asks.groupby("row"):
+        src = by_row.get(row)
+        if src is None:
+            continue
+        col, r = src["col"].to_numpy(np.int64), src["r"].to_numpy(np.int64)
+        drop2 = (r - row) ** 2
+        at = own["col"].to_numpy(np.int64)
+        cost = (at[:, None] - col[None, :]) ** 2 + drop2[None, :]
+        pick = cost.argmin(axis=1)  # sources are in the order that decides ties
+        parts.append(pd.DataFrame({"scene": own["scene"].iloc[0], "row": row, "col": at, "d": cost[np.arange(len(at)), pick], "r": r[pick], "c": col[pick],
+                                   "v": src["v"].to_numpy()[pick], "a": src["a"].to_numpy()[pick]}))
+    return pd.concat(parts) if parts else pd.DataFrame(columns=["scene", "row", "col", "d", "r", "c", "v", "a"])

@@ -317,6 +317,19 @@ def bilinear_resize(cells: DataFrame, dims: DataFrame) -> DataFrame:
     return bilinear_at(cells, t, "_y", "_x", "v").select(*KEY, "v")
 
 
+def enlarge_onto(cells: DataFrame, small: DataFrame, dims: DataFrame, out: str) -> DataFrame:
+    """Adds to the cells of a grid the bilinear value of its reduced grid ``small``, as :func:`bilinear_resize` gives it.
+
+    A cell finds its place on the reduced grid by arithmetic, so there is one join, to the reduced grid.
+    ``dims``: scene, h, w (cells) and h2, w2 (reduced).
+    """
+    x = attach(cells, dims.select("scene", *[F.col(c).alias(f"_{c}") for c in ("h", "w", "h2", "w2")]))
+    for pos, n, at in (("row", "h", "_y"), ("col", "w", "_x")):
+        p = (F.col(pos) + 0.5) * F.col(f"_{n}2") / F.col(f"_{n}") - 0.5
+        x = x.withColumn(at, F.least(F.greatest(p, F.lit(0.0)), F.col(f"_{n}2") - 1.0))
+    return bilinear_at(small, x, "_y", "_x", out).drop("_y", "_x", "_h", "_w", "_h2", "_w2")
+
+
 def reproject_to_utm(cells: DataFrame, scenes: DataFrame, edge_points: int = 21) -> tuple[DataFrame, DataFrame]:
     """R2: degree grids onto square metre cells in the UTM zone of their centre.
 

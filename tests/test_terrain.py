@@ -237,3 +237,17 @@ def test_display_mesh_of_any_shape(spark, to_cells):
             h, _ = want[r.vertex]
             assert r.valid == (h is not None) and (h is None or abs(r.y - 5.0 - h) < 1e-6)
             assert not r.error_valid or abs(r.error) < 1e-12
+
+
+def test_fill_over_blocks_and_stretches(to_cells, to_grid):
+    """Few sources on a grid of several row blocks and column stretches; ties to the smallest row, then column."""
+    rng = np.random.default_rng(6)
+    g = np.full((540, 560), np.nan)
+    at = rng.integers(0, 540, 14), rng.integers(0, 560, 14)
+    g[at] = np.arange(14.0) + 1
+    g[10, 300], g[30, 300] = 77.0, 88.0  # equally near to row 20
+    src = np.argwhere(np.isfinite(g))  # by row, then column
+    r, c = np.mgrid[0:540, 0:560]
+    cost = (r[..., None] - src[:, 0]) ** 2 + (c[..., None] - src[:, 1]) ** 2
+    want = g[tuple(src[cost.argmin(axis=-1)].reshape(-1, 2).T)].reshape(g.shape)
+    assert (to_grid(fill_nearest(to_cells(g))) == want).all()
