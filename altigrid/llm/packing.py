@@ -17,15 +17,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from altigrid.llm.arrays import U, Words
+from altigrid.llm.arrays import U, Words, chunks
 from altigrid.llm.tokens import END_ID, encoded, part_starts
-from altigrid.model import cut
+from altigrid.model import cut, scratch_path
 
 DIMS, BITS, HASHED = 4, 12, 1 << 14
 SEQUENCE = 2048
@@ -93,10 +92,17 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
 def along_curve(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Stored rows (part, doc_id, local, ids) in curve order: each partition is a stretch of the curve."""
     spark = docs.sparkSession
-    key = F.pandas_udf(lambda t: pd.Series(curve_keys([(s or "").encode() for s in t])), "bigint")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunks(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(curve_keys(texts))], names=[*batch.schema.names, "_key"])
+
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # stored, as the range partitioner reads the keys once more to find its bounds
-    keyed = cut(docs.select("doc_id", "text", key("text").alias("_key"), F.xxhash64("text").alias("_h")))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).mapInArrow(keys, "doc_id bigint, text string, _h bigint, _key bigint")
+    path_of_keys = scratch_path(spark, "curve")
+    keyed.write.option("compression", "zstd").parquet(path_of_keys)
+    keyed = spark.read.parquet(path_of_keys)
     ordered = keyed.repartitionByRange(n, "_key", "doc_id", "_h").sortWithinPartitions("_key", "doc_id", "_h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
