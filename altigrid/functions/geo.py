@@ -123,6 +123,26 @@ def add_lonlat(df: DataFrame, x: str, y: str, epsg: str, lon: str = "lon", lat:
     return d.drop("_xi", "_eta", "_xi1", "_eta1", "_chi")
 
 
+def place_points(points: DataFrame, scenes: DataFrame) -> DataFrame:
+    """C5, C9 on control points: adds ``row_f, col_f`` (cell centres at .5) and drops points outside their scene.
+
+    ``points``: scene with ``x, y`` in the scene's own CRS or ``lon, lat`` in degrees; ``scenes``: scene, h, w,
+    epsg, t (affine). A scene in degrees (4326) takes longitude and latitude as they are.
+    """
+    s = scenes.select("scene", *[F.col(c).alias(f"_scene_{c}") for c in ("h", "w", "epsg", "t")])
+    p = points.join(s, "scene")
+    if {"x", "y"} <= set(points.columns):
+        p = p.withColumn("_px", F.col("x")).withColumn("_py", F.col("y"))
+    else:
+        p = add_utm(p, "lon", "lat", "_scene_epsg", "_ux", "_uy")
+        degrees = F.col("_scene_epsg") == 4326
+        p = p.withColumn("_px", F.when(degrees, F.col("lon")).otherwise(F.col("_ux"))).withColumn("_py", F.when(degrees, F.col("lat")).otherwise(F.col("_uy")))
+    at = world_to_pixel(F.col("_scene_t"), "_px", "_py")
+    p = p.withColumn("col_f", at["col"]).withColumn("row_f", at["row"])
+    inside = (F.col("col_f") >= 0) & (F.col("col_f") < F.col("_scene_w")) & (F.col("row_f") >= 0) & (F.col("row_f") < F.col("_scene_h"))
+    return p.where(inside).select(*points.columns, "row_f", "col_f")
+
+
 def add_center(df: DataFrame, t: str, epsg: str, h: str, w: str) -> DataFrame:
     """Adds the grid centre ``mid_lon, mid_lat``; ``epsg`` 4326 means the grid is in degrees."""
     mid = pixel_to_world(F.col(t), F.col(w) / 2.0, F.col(h) / 2.0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from altigrid.functions.labels import datum_of
 from altigrid.functions.terrain import object_mask
-from altigrid.model import KEY, attach, cut, scene_extent
+from altigrid.model import KEY, attach, cut, finite, scene_extent
 from altigrid.operators import evaluation, joins, metrics, resample, tiling
 from altigrid.operators.calibration import CalibrationConfig, method_b, to_geoid
 from altigrid.operators.stretch import normalize_relative
@@ -16,6 +16,7 @@ from altigrid.operators.stretch import normalize_relative
 def calibrate(
     d: DataFrame, scenes: DataFrame, dem_layers: DataFrame, target: DataFrame, cfg: CalibrationConfig = CalibrationConfig(),
     gcps: DataFrame | None = None, undulation: DataFrame | None = None, kernel: str = "bilinear", sigma: float | None = None,
+    invalid: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """V1: relative depth plus elevation tiles to heights for every scene.
 
@@ -23,6 +24,10 @@ def calibrate(
     priority on the elevation grid. ``target``: scene, h, w, src, dst (affines of the elevation and
     the image grid). A scene whose elevation model covers nothing falls back to relative heights with
     a warning. Returns cells (with ``mode``) and one record per scene.
+
+    ``invalid``: scene, row, col of image cells that hold no picture; they are missing in the result and stay
+    out of the percentiles of relative scenes. ``gcps`` are points in pixel coordinates (``geo.place_points``).
+    Where ``scenes`` has ``n_scale, n_offset``, the undulation is stored in these units.
     """
     coarse = joins.mosaic(dem_layers).select(*KEY, "v")
     dem = cut(resample.resample(coarse, target, kernel))
@@ -32,21 +37,25 @@ def calibrate(
     metric, relative = s.where("coverage > 0"), s.where("coverage = 0")
     meta = metric.withColumn("datum", datum_of("source"))
     if undulation is not None:
-        geo = metric.withColumn("n_scale", F.lit(1.0)).withColumn("n_offset", F.lit(0.0))
+        units = {n: F.coalesce(F.col(n).cast("double"), F.lit(one)) if n in scenes.columns else F.lit(one) for n, one in (("n_scale", 1.0), ("n_offset", 0.0))}
+        geo = metric.withColumns(units)
         dem, converted = to_geoid(dem, undulation, geo)
         meta = converted.drop("n_scale", "n_offset", "converted")
     d_metric = d.join(metric.select("scene"), "scene", "left_semi")
     dem_metric = dem.join(metric.select("scene"), "scene", "left_semi")
     dsm, cal = method_b(d_metric, dem_metric, metric, cfg, gcps, sigma=sigma)
-    flat = normalize_relative(d.join(relative.select("scene"), "scene", "left_semi"))
+    d_relative = d.join(relative.select("scene"), "scene", "left_semi")
+    if invalid is not None:
+        dsm, d_relative = joins.apply_mask(dsm, invalid), joins.apply_mask(d_relative, invalid)
+    flat = normalize_relative(d_relative)
     cells = dsm.select(*KEY, "v", F.lit("absolute").alias("mode")).unionByName(flat.select(*KEY, "v", F.lit("relative").alias("mode")))
-    partial = F.when(F.col("coverage") < 1, F.format_string("DEM covers %.1f%% of the image", F.col("coverage") * 100))
+    partial = F.when(F.col("coverage") < 1, F.format_string("%.1f%% of the cells have an elevation", F.col("coverage") * 100))
     records = meta.join(cal, "scene").select(
         "scene", F.lit("absolute").alias("mode"), "method", "confidence", "scale", F.col("source").alias("dem_source"), "datum", partial.alias("warning")
     )
     missing = relative.select(
         "scene", F.lit("relative").alias("mode"), F.lit("none").alias("method"), F.lit("n/a").alias("confidence"), F.lit(None).cast("double").alias("scale"),
-        F.lit(None).cast("string").alias("dem_source"), F.lit(None).cast("string").alias("datum"), F.lit("No usable DEM; output is relative").alias("warning"),
+        F.lit(None).cast("string").alias("dem_source"), F.lit(None).cast("string").alias("datum"), F.lit("without elevations the heights are relative").alias("warning"),
     )
     return cells, records.unionByName(missing)
 
@@ -103,7 +112,8 @@ def validate(pred: DataFrame, ref: DataFrame, meta: DataFrame, mask: DataFrame,
 
     ``grids``: scene, src, dst (affines of the reference and the result, same CRS) of georeferenced
     scenes; their reference is resampled onto the result's grid. Other scenes are compared cell by
-    cell, so a reference of another size gives an ``error`` and no layers.
+    cell, so a reference of another size gives an ``error`` and no layers. A reference without a height on
+    the result's grid misses it, which is an ``error`` of its own.
     """
     extent = cut(scene_extent(pred))
     other = scene_extent(ref).select("scene", F.col("h").alias("_h"), F.col("w").alias("_w"))
@@ -120,11 +130,13 @@ def validate(pred: DataFrame, ref: DataFrame, meta: DataFrame, mask: DataFrame,
     x = attach(pairs, fit, how="left")
     scored = F.when(F.col("units") == "relative", F.col("align_a") * F.col("pred") + F.col("align_b")).otherwise(F.col("pred"))
     m = metrics.dsm_metrics(x.withColumn("_s", scored), "_s", "ref", ["scene"])
-    report = meta.select("scene", "units").join(m, "scene", "left")
+    met = pairs.groupBy("scene").agg(F.count(finite("ref")).alias("_met"))
+    report = meta.select("scene", "units").join(m, "scene", "left").join(met, "scene", "left")
     report = report.join(sizes, "scene", "left").withColumn("scale_aligned", F.col("units") == "relative").withColumn(
         "error", F.when(~F.col("_fits"), "the reference has another size and the scene no georeference").when(
+            F.coalesce("_met", F.lit(0)) == 0, "the reference lies beside the result").when(
             F.coalesce("n_pixels", F.lit(0)) < 2, "too few cells are valid in both grids")
-    ).drop("_fits")
+    ).drop("_fits", "_met")
     shown = F.when(F.col("units") == "relative", F.try_divide(F.col("ref") - F.col("align_b"), F.col("align_a"))).otherwise(F.col("ref"))
     refs = joins.apply_mask(x.select(*KEY, "pred", shown.alias("v")), mask)
     layers = refs.select(*KEY, F.col("v").alias("reference"), (F.col("pred") - F.col("v")).alias("error"))

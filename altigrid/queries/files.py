@@ -76,9 +76,12 @@ def a08(spark, d):
 
 @query("a09_metadata_validation", fx.with_sql(RESULT) + """
 SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not a JSON object' WHEN event_id % 50 < 2 THEN 'bad width' WHEN k < 2 THEN 'bad height'
-  WHEN event_id % 9 < 1 THEN 'bad height range' END AS error FROM rs""")
+  WHEN event_id % 9 < 1 THEN 'bad height range' WHEN event_id % 11 < 4 THEN 'crs is not a text' END AS error FROM rs""")
 def a09(spark, d):
     t = result_texts(spark, d).withColumn("text", F.when(F.col("text").endswith("}"), F.col("text")).otherwise("[]"))
+    # a number, a list, an object and a Boolean instead of a text; a null and a text are right
+    crs = F.element_at(F.array(*[F.lit(x) for x in ("4326", '["EPSG:4326"]', '{"a":1}', "true", "null", '"EPSG:4326"')]), F.least(F.substring("job_id", 4, 20).cast("bigint") % 11 + 1, F.lit(6)).cast("int"))
+    t = t.withColumn("text", F.when(F.col("text").endswith("}"), F.concat(F.regexp_replace(F.col("text"), r'\}$', ',"crs":'), crs, F.lit("}"))).otherwise(F.col("text")))
     out = files.validate_meta(t, "text")
     return out.select(F.substring("job_id", 4, 20).cast("bigint").alias("event_id"), "error")
 

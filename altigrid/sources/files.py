@@ -129,6 +129,9 @@ def validate_meta(df: DataFrame, json_col: str, max_cells: int = MAX_CELLS) -> D
     def unbounded(c: Column) -> Column:
         return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
 
+    # the type in the JSON text itself: the schema would turn a number or an object into a text
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json_col), "$.crs", "variant"))
+    crs_is_text = F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
     error = (
         F.when(F.col("meta").isNull(), "not a JSON object")
         .when(bad_side(f["width"]), "bad width")
@@ -137,6 +140,7 @@ def validate_meta(df: DataFrame, json_col: str, max_cells: int = MAX_CELLS) -> D
         .when(unbounded(f["pixel_size_m"]) | (f["pixel_size_m"] <= 0), "bad pixel size")
         .when(unbounded(f["min_h"]) | unbounded(f["max_h"]) | (f["min_h"] > f["max_h"]), "bad height range")
         .when(f["units"].isNotNull() & ~f["units"].isin("m", "relative"), "unknown units")
+        .when(~crs_is_text, "crs is not a text")
     )
     units = F.coalesce(f["units"], F.lit("relative"))
     return x.withColumn("error", error).withColumn("meta", F.when(F.col("meta").isNotNull(), F.col("meta").withField("units", units)))

@@ -64,7 +64,7 @@ def test_control_points(spark, tmp_path):
     out = listings.scan_control_points(spark, str(p))
     assert [tuple(r) for r in out.orderBy("lon").collect()] == [(0, 88.5, 27.25, 100.0), (0, 88.6, 27.5, 120.5)]
     p.write_text("a,b\n1,2\n")
-    with pytest.raises(ValueError, match="expected columns"):
+    with pytest.raises(ValueError, match="needs height_m"):
         listings.scan_control_points(spark, str(p))
     p.write_text("x,y,height_m\n")
     with pytest.raises(ValueError, match="no control point"):

@@ -53,3 +53,48 @@ def test_evaluate_scores_relative_tiles(spark, to_cells):
     assert [(x.tiles, x.scale_aligned) for x in relative.collect()] == [(2, True)]
     with pytest.raises(ValueError):
         jobs.evaluate(wide, refs, dtms, tiles, scenes, cal, cal)
+
+
+def test_validate_tells_a_reference_that_misses(spark, to_cells):
+    """A reference beside the result is another error than one with too few common cells."""
+    pred = to_cells(plane(6, 6, 0, 0, 1.0), 0).union(to_cells(np.where(np.arange(36).reshape(6, 6) == 0, 5.0, np.nan), 1)).union(to_cells(plane(6, 6, 0, 0, 1.0), 2))
+    ref = to_cells(plane(6, 6, 500, 0, 1.0), 0).union(to_cells(plane(6, 6, 0, 0, 1.0), 1)).union(to_cells(np.full((6, 6), np.nan), 2))
+    meta = spark.createDataFrame([(i, "m") for i in range(3)], "scene bigint, units string")
+    grids = meta.where("scene = 0").select("scene", affine(1.0, 500.0, -1.0, 0.0).alias("src"), affine(1.0, 0.0, -1.0, 0.0).alias("dst"))
+    report, _ = jobs.validate(pred, ref, meta, pred.limit(0), grids)
+    got = {r.scene: r.error for r in report.collect()}
+    assert "beside" in got[0] and "too few" in got[1] and "beside" in got[2]
+
+
+def test_calibrate_masks_and_undulation(spark, to_cells):
+    """Cells without a picture are missing and move no percentile; a scaled undulation lowers ellipsoidal heights."""
+    d = np.add.outer(np.arange(16.0), np.arange(16.0))
+    d[0, 0] = 1e6
+    cells = to_cells(d, 0).union(to_cells(d, 1))
+    dem = to_cells(np.full((4, 4), 1000.0), 0).select("scene", "row", "col", "v", F.lit("a").alias("layer"), F.lit(1).alias("priority"))
+    scenes = spark.createDataFrame([(i, 16, 16, 1.0, 4.0, "cartodem", 0.01, 3.0) for i in (0, 1)], "scene bigint, h int, w int, pixel_m double, dem_res_m double, source string, n_scale double, n_offset double")
+    target = scenes.select("scene", "h", "w", affine(4.0, 0.0, -4.0, 0.0).alias("src"), affine(1.0, 0.0, -1.0, 0.0).alias("dst"))
+    n = to_cells(np.full((16, 16), -4380.0), 0)
+    invalid = cells.where("row = 0 AND col = 0").select("scene", "row", "col")
+    out, records = jobs.calibrate(cells, scenes, dem, target, undulation=n, kernel="nearest", invalid=invalid)
+    got = {(r.scene, r.row, r.col): r.v for r in out.collect()}
+    assert got[0, 0, 0] is None and got[1, 0, 0] is None
+    assert abs(got[0, 8, 8] - (1000.0 + 43.8 - 3.0)) < 1e-6
+    assert got[1, 15, 15] == 1.0 and 0.4 < got[1, 7, 8] < 0.6  # the masked peak would press the others to 0
+    assert {r.scene: r.mode for r in records.collect()} == {0: "absolute", 1: "relative"}
+
+
+def test_control_points_find_their_pixels(spark):
+    """Metres and degrees of the same places give the same pixels; points outside are dropped."""
+    from altigrid.functions import geo
+
+    scenes = spark.createDataFrame([(0, 100, 80, 32645), (1, 100, 80, 4326)], "scene bigint, h int, w int, epsg int")
+    t = F.when(F.col("scene") == 0, affine(2.0, 500000.0, -2.0, 3000000.0)).otherwise(affine(0.001, 88.0, -0.001, 27.0))
+    scenes = scenes.withColumn("t", t)
+    want = {(0, 1): (10.5, 20.25), (0, 2): (99.5, 0.5), (1, 3): (50.0, 40.0)}
+    px = spark.createDataFrame([(s, p, float(r), float(c)) for (s, p), (r, c) in want.items()] + [(0, 9, 100.5, 3.0)], "scene bigint, point int, r double, c double")
+    world = px.join(scenes, "scene").withColumn("_w", geo.pixel_to_world(F.col("t"), "c", "r")).select("scene", "point", "epsg", F.col("_w.x").alias("x"), F.col("_w.y").alias("y"))
+    degrees = geo.add_lonlat(world, "x", "y", "epsg", "lo", "la").select("scene", "point", F.when(F.col("epsg") == 4326, F.col("x")).otherwise(F.col("lo")).alias("lon"), F.when(F.col("epsg") == 4326, F.col("y")).otherwise(F.col("la")).alias("lat"))
+    for points in (world.select("scene", "point", "x", "y"), degrees):
+        got = {(r.scene, r.point): (r.row_f, r.col_f) for r in geo.place_points(points, scenes).collect()}
+        assert got.keys() == want.keys() and all(abs(a - b) < 1e-4 for k in want for a, b in zip(got[k], want[k]))
