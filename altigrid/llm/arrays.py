@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,6 +93,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def tidy() -> None:
+    """Hand freed memory back at the end of a task: workers idle between stages and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches that hold about ``limit`` bytes of text (one row at least)."""
     for batch in batches:
@@ -106,6 +115,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         if at < batch.num_rows:
             part = batch.slice(at)
             yield part, texts_of(part.column(text))
+            del part
+    tidy()
 
 
 class PerfectHash:
