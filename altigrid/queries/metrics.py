@@ -48,6 +48,36 @@ def d01(spark, d):
     return r6(scene_pairs(spark, d), ["pred", "ref"])
 
 
+def stored_pair(spark, d):
+    """Both grids stored in strips of as many buckets."""
+    from altigrid.sources import strips
+
+    cells = fx.g1(spark, d)
+    n = strips.bucket_count(cells)
+    return strips.store_grid(cells, "g1", n), strips.store_grid(fx.g2(cells), "g2", n)
+
+
+@query("d01_stored_join", fx.with_sql(fx.G1, fx.G2) + """
+SELECT scene, row, col, round(g1.v, 6) + 0.0 AS pred, round(g2.v, 6) + 0.0 AS ref
+FROM g1 JOIN g2 USING (scene, row, col)""")
+def d01_stored(spark, d):
+    return r6(joins.join_cells(*stored_pair(spark, d)), ["pred", "ref"])
+
+
+@query("d09_stored_mask", fx.with_sql(fx.G1, fx.G2) + """
+SELECT g1.scene, g1.row, g1.col, round(CASE WHEN g2.v IS NULL THEN g1.v END, 6) + 0.0 AS v FROM g1 JOIN g2 USING (scene, row, col)""")
+def d09_stored(spark, d):
+    return r6(joins.apply_mask(*stored_pair(spark, d)), ["v"])
+
+
+@query("e02_stored_compare", fx.with_sql(fx.G1, fx.G2) + """
+SELECT scene, round(sqrt(avg((g1.v - g2.v) * (g1.v - g2.v))), 6) + 0.0 AS rmse, round(avg(abs(g1.v - g2.v)), 6) + 0.0 AS mae,
+       round(avg(g1.v - g2.v), 6) + 0.0 AS bias, count(g1.v - g2.v) AS count, round(max(abs(g1.v - g2.v)), 6) + 0.0 AS max_abs
+FROM g1 JOIN g2 USING (scene, row, col) GROUP BY scene""")
+def e02_stored(spark, d):
+    return r6(metrics.compare(joins.join_cells(*stored_pair(spark, d)), "pred", "ref", ["scene"]), ["rmse", "mae", "bias", "max_abs"])
+
+
 @query("c19_valid_pairs", fx.with_sql(fx.G1, fx.G2) + """
 SELECT scene, row, col, round(g1.v, 6) + 0.0 AS pred, round(g2.v, 6) + 0.0 AS ref
 FROM g1 JOIN g2 USING (scene, row, col) WHERE g2.v IS NOT NULL AND g1.v IS NOT NULL""")
