@@ -69,25 +69,22 @@ def scene_extent(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def attach(
-    big: DataFrame,
-    dim: DataFrame,
-    on: list[str] | None = None,
-    spread: list[str] | None = None,
-    how: str = "inner",
-    salts: int = 32,
-) -> DataFrame:
+def attach(big: DataFrame, dim: DataFrame, on: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Join per-scene (per-group) values back onto cells.
 
-    No broadcast hint: the per-group side grows with the number of groups, so its measured size
-    decides. The key carries a salt taken from the cell's own position, so that when the join does
-    shuffle, a scene holding most of the cells is spread over ``salts`` tasks.
+    No hint and no copies of the per-group side: its true size decides whether it is broadcast. Where it is too
+    large for that, Spark's adaptive skew join divides a scene that holds most of the cells.
     """
-    on = on or ["scene"]
-    spread = spread or ["row", "col"]
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    wide = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", salt).join(wide, [*on, "_salt"], how).drop("_salt")
+    return big.join(dim, on or ["scene"], how)
+
+
+def meet(a: DataFrame, b: DataFrame, on: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Join of two tables with a row per cell, sorted and merged.
+
+    Stored or shuffled, regular cells take a hundredth of their size in memory, which the planner goes by; left to it,
+    a grid of millions of cells would be gathered in the driver and broadcast.
+    """
+    return a.join(b.hint("merge"), on or KEY, how)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altigrid.model import KEY, attach, finite, scene_extent
+from altigrid.model import KEY, attach, finite, scene_extent, meet
 from altigrid.operators.neighbourhood import blocked
 from altigrid.operators.resample import area_resize, enlarge_onto
 
@@ -74,7 +74,7 @@ def smoothed(cells: DataFrame, sigma: float | str, out: str) -> DataFrame:
     radius = math.ceil(REACH * rest)
     if f == 1:
         low = _blur(cells, ext.withColumn("sigma", F.lit(rest)), radius)
-        return cells.join(low.select(*KEY, F.col("v").alias(out)), KEY)
+        return meet(cells, low.select(*KEY, F.col("v").alias(out)))
     dims = _reduced(ext, F.lit(f))
     small = area_resize(cells, dims).select(*KEY, "v")
     part = dims.select("scene", F.col("h2").alias("h"), F.col("w2").alias("w"), F.lit(rest).alias("sigma"))

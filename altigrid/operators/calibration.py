@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from altigrid.functions.labels import CONVERTED_DATUM, ELLIPSOIDAL_SOURCES, datum_of
 from altigrid.functions.numbers import pearson
-from altigrid.model import KEY, attach, cut, cut_measured
+from altigrid.model import KEY, attach, cut, cut_measured, meet
 from altigrid.operators.blur import band_split, gaussian
 from altigrid.operators.ranks import quantiles
 from altigrid.operators.resample import sample_points
@@ -79,7 +79,7 @@ def huber_affine(df: DataFrame, x: str, y: str, by: list[str], delta: float = 2.
     stats = cut(ok.groupBy(*by).agg(
         F.avg("_x").alias("_mx"), F.avg("_y").alias("_my"), (F.max("_x") > F.min("_x")).alias("_varies"),
     ))
-    centred = cut(attach(ok, stats.where("_varies"), by, ["_x", "_y"]).select(
+    centred = cut(attach(ok, stats.where("_varies"), by).select(
         *by, (F.col("_x") - F.col("_mx")).alias("_x"), (F.col("_y") - F.col("_my")).alias("_y")
     ))
     fits = _reweighted(centred, by, delta, rounds)
@@ -96,7 +96,7 @@ def _reweighted(centred: DataFrame, by: list[str], delta: float, rounds: int) ->
     done = []
     for _ in range(rounds):
         off = F.abs(F.col("a") * x + F.col("b") - y)
-        g = attach(centred, params, by, ["_x", "_y"]).withColumn("_w", F.when(off > delta, delta / off).otherwise(1.0))
+        g = attach(centred, params, by).withColumn("_w", F.when(off > delta, delta / off).otherwise(1.0))
         w = F.col("_w")
         s = g.groupBy(*by).agg(
             F.first("a").alias("_a"), F.first("b").alias("_b"), F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"),
@@ -116,7 +116,7 @@ def _reweighted(centred: DataFrame, by: list[str], delta: float, rounds: int) ->
 
 
 def _pairs(d: DataFrame, dem: DataFrame) -> DataFrame:
-    return d.select(*KEY, F.col("v").alias("x")).join(dem.select(*KEY, F.col("v").alias("y")), KEY)
+    return meet(d.select(*KEY, F.col("v").alias("x")), dem.select(*KEY, F.col("v").alias("y")))
 
 
 def block_pairs(d: DataFrame, dem: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def band_scale(d: DataFrame, dem: DataFrame, scenes: DataFrame, coarse: float =
     )
     smooth_x = gaussian(full.select(*KEY, F.col("x").alias("v")), coarse).withColumnRenamed("v", "_sx")
     smooth_y = gaussian(full.select(*KEY, F.col("y").alias("v")), coarse).withColumnRenamed("v", "_sy")
-    detail = full.where("_ok").join(smooth_x, KEY).join(smooth_y, KEY).select(
+    detail = meet(meet(full.where("_ok"), smooth_x), smooth_y).select(
         "scene", (F.col("x") - F.col("_sx")).alias("p"), (F.col("y") - F.col("_sy")).alias("q")
     )
     g = detail.groupBy("scene").agg(
@@ -235,7 +235,7 @@ def choose_scale(
 
 def apply_scale(dem: DataFrame, d_high: DataFrame, cal: DataFrame) -> DataFrame:
     """``dem + scale * detail`` per cell."""
-    j = attach(dem.select(*KEY, F.col("v").alias("_dem")).join(d_high.select(*KEY, F.col("v").alias("_d")), KEY), cal.select("scene", "scale"))
+    j = attach(meet(dem.select(*KEY, F.col("v").alias("_dem")), d_high.select(*KEY, F.col("v").alias("_d"))), cal.select("scene", "scale"))
     return j.select(*KEY, (F.col("_dem") + F.col("scale") * F.col("_d")).alias("v"))
 
 
@@ -268,7 +268,7 @@ def to_geoid(dem: DataFrame, undulation: DataFrame, scenes: DataFrame) -> tuple[
     ``scenes``: scene, source, n_scale, n_offset. A scene changes only when its source is
     ellipsoidal and the undulation covers every one of its cells; otherwise heights and datum stay.
     """
-    j = dem.join(undulation.select(*KEY, F.col("v").alias("_n")), KEY, "left")
+    j = meet(dem, undulation.select(*KEY, F.col("v").alias("_n")), how="left")
     gate = j.groupBy("scene").agg(F.bool_and(F.col("_n").isNotNull()).alias("_whole"))
     s = scenes.join(gate, "scene", "left")
     apply = F.col("source").isin(ELLIPSOIDAL_SOURCES) & F.coalesce("_whole", F.lit(False))

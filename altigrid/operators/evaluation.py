@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions.labels import LANDSCAPE_ORDER, METHOD_LABELS, fmt, method_label, order_of
-from altigrid.model import KEY, attach, cut
+from altigrid.model import KEY, attach, cut, meet
 from altigrid.operators.blur import band_split
 from altigrid.operators.calibration import CalibrationConfig, RELIEF_OFF, affine_params, band_scale
 from altigrid.operators.joins import last_per
@@ -185,7 +185,7 @@ def sweep(
         if want_prior:
             priors.append(quantiles(high, ["scene"], {"_ref": ("high", cfg.prior_percentile / 100.0)}).withColumn("k", F.lit(k)))
         for mode in modes:
-            x = dems[mode].select(*KEY, F.col("v").alias("dem")).join(high, KEY).join(truth, KEY)
+            x = meet(meet(dems[mode].select(*KEY, F.col("v").alias("dem")), high), truth)
             e = F.col("dem") - F.col("ref")
             both = e * F.col("high")
             ok = both.isNotNull()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from altigrid.functions import geo
 from altigrid.functions.numbers import as_col
-from altigrid.model import KEY, attach, cut, finite
+from altigrid.model import KEY, attach, cut, finite, meet
 from altigrid.sources.strips import beside, cells_of, is_strips
 
 RANGE_BUCKET = 256
@@ -119,8 +119,7 @@ def latest_year(items: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     pulled into one window partition.
     """
     newest = items.groupBy(*by).agg(F.max(F.year(ts)).alias("year"))
-    spread = [c for c in items.columns if c not in by]
-    return attach(items, newest, by, spread).where(F.year(ts) == F.col("year"))
+    return attach(items, newest, by).where(F.year(ts) == F.col("year"))
 
 
 def mosaic(layers: DataFrame, order: str = "priority", tie: str = "layer") -> DataFrame:
@@ -169,7 +168,7 @@ def mosaic_images(layers: DataFrame, min_coverage: float = 0.999) -> tuple[DataF
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "item"))), lambda s: s["item"].cast("string")), ",").alias("items_used"))
     )
     report = share.join(used, "scene", "left").withColumn("accepted", F.col("coverage") >= min_coverage)
-    kept = attach(cells, report.where("accepted").select("scene"))
+    kept = attach(cells, report.where("accepted").select("scene"), how="left_semi")
     zero = F.lit(0)
     out = kept.select(*KEY, *[F.coalesce(F.col(c), zero).alias(c) for c in "rgb"])
     return out, report
@@ -181,7 +180,7 @@ def apply_mask(cells: DataFrame, mask: DataFrame) -> DataFrame:
         both = beside({"v": cells, "_masked": mask}, "left")
     else:
         flag = (cells_of(mask).where("v IS NOT NULL") if is_strips(mask) else mask).select(*KEY, F.lit(True).alias("_masked"))
-        both = (cells_of(cells) if is_strips(cells) else cells).join(flag, KEY, "left")
+        both = meet(cells_of(cells) if is_strips(cells) else cells, flag, how="left")
     return both.withColumn("v", F.when(F.col("_masked").isNull(), F.col("v"))).drop("_masked")
 
 

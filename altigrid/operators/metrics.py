@@ -33,7 +33,7 @@ def _errors(df: DataFrame, pred: str, ref: str, by: list[str], mask: Column | No
 def median_and_mad(e: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Median (``_med``) and median distance from it (``_mad``) of a stored table's column."""
     med = cut(quantiles(e, by, {"_med": (value, 0.5)}))
-    dev = attach(e.where(F.col(value).isNotNull()).select(*by, value), med, by, [value]).select(*by, F.abs(F.col(value) - F.col("_med")).alias("_d"))
+    dev = attach(e.where(F.col(value).isNotNull()).select(*by, value), med, by).select(*by, F.abs(F.col(value) - F.col("_med")).alias("_d"))
     return med, quantiles(dev, by, {"_mad": ("_d", 0.5)})
 
 
@@ -118,7 +118,7 @@ def relative_metrics(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataF
     """
     pairs = cut(df.select(*by, pred, ref))
     fit = cut(affine_fit(pairs, pred, ref, by))
-    aligned = attach(pairs, fit, by, [pred, ref], "left").withColumn(
+    aligned = attach(pairs, fit, by, "left").withColumn(
         "_aligned", F.col("align_a") * F.col(pred) + F.col("align_b")
     )
     return dsm_metrics(aligned, "_aligned", ref, by).join(fit, by, "left")
@@ -173,7 +173,7 @@ def ssi_l1(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
     """
     e = cut(_errors(df, pred, ref, by, None).where("_e is not null"))
     med = cut(lower_medians(e, by, {"_mp": "_p", "_mr": "_r"}))
-    centred = attach(e, med, by, ["_p", "_r"]).select(
+    centred = attach(e, med, by).select(
         *by, (F.col("_p") - F.col("_mp")).alias("_cp"), (F.col("_r") - F.col("_mr")).alias("_cr")
     )
     scale = centred.groupBy(*by).agg(
@@ -181,7 +181,7 @@ def ssi_l1(df: DataFrame, pred: str, ref: str, by: list[str]) -> DataFrame:
         F.greatest(F.avg(F.abs("_cr")), F.lit(FLOOR)).alias("_sr"),
     )
     diff = F.abs(F.col("_cp") / F.col("_sp") - F.col("_cr") / F.col("_sr"))
-    return attach(centred, scale, by, ["_cp", "_cr"]).groupBy(*by).agg(F.avg(diff).alias("ssi_l1"))
+    return attach(centred, scale, by).groupBy(*by).agg(F.avg(diff).alias("ssi_l1"))
 
 
 def lower_medians(df: DataFrame, by: list[str], cols: dict[str, str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import as_col
-from altigrid.model import KEY, cut
+from altigrid.model import KEY, cut, meet
 
 BLOCK = 256
 
@@ -145,7 +145,7 @@ def fill_nearest(cells: DataFrame, also: str | None = None) -> DataFrame:
     answers = asks.groupBy(*tile).cogroup(sources.groupBy(*[f"s{c}" for c in tile])).applyInPandas(_answer, "scene bigint, row int, col int, d bigint, r int, c int, v double, a double")
     one = answers.groupBy(*KEY).agg(F.min(F.struct("d", "r", "c", "v", "a")).alias("_b"))
     fills = one.select(*KEY, F.col("_b.v").alias("_fv"), F.col("_b.a").alias("_fa"))
-    out = cells.join(fills, KEY, "left").withColumn("filled", F.col("v").isNull() & F.col("_fv").isNotNull())
+    out = meet(cells, fills, how="left").withColumn("filled", F.col("v").isNull() & F.col("_fv").isNotNull())
     if also:
         out = out.withColumn(also, F.when(F.col("v").isNull(), F.col("_fa")).otherwise(F.col(also)))
     return out.withColumn("v", F.coalesce("v", "_fv")).drop("_fv", "_fa")

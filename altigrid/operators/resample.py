@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from altigrid.functions import geo
 from altigrid.functions.numbers import as_col, half_up
 from altigrid.functions.terrain import slope_degrees, unit_normal, uv
-from altigrid.model import KEY, attach, cut_measured, scene_extent
+from altigrid.model import KEY, attach, cut_measured, scene_extent, meet
 from altigrid.operators.neighbourhood import corners, patch4
 
 WEIGHT_FLOOR = 1e-10  # fixed value: lighter neighbours are ignored, even missing ones
@@ -49,7 +49,7 @@ def bilinear_at(cells: DataFrame, at: DataFrame, y: str, x: str, out: str) -> Da
         "scene", F.col("row").alias("_y0"), F.col("col").alias("_x0"), F.lit(True).alias("_hit"), "v00", "v01", "v10", "v11"
     )
     p = at.withColumn("_y0", F.floor(y).cast("int")).withColumn("_x0", F.floor(x).cast("int"))
-    j = p.join(c, ["scene", "_y0", "_x0"], "left")
+    j = meet(p, c, ["scene", "_y0", "_x0"], "left")
     ty, tx = F.col(y) - F.col("_y0"), F.col(x) - F.col("_x0")
     value = _weighted(
         [((1 - tx) * (1 - ty), F.col("v00")), (tx * (1 - ty), F.col("v01")), ((1 - tx) * ty, F.col("v10")), (tx * ty, F.col("v11"))]
@@ -157,7 +157,7 @@ def sample_points(cells: DataFrame, points: DataFrame) -> DataFrame:
     """
     p = points.withColumn("_y", F.col("row_f") - 0.5).withColumn("_x", F.col("col_f") - 0.5)
     ext = scene_extent(cells)
-    p = attach(p, ext, spread=["row_f", "col_f"])
+    p = attach(p, ext)
     p = p.where((F.col("col_f") >= 0) & (F.col("col_f") < F.col("w")) & (F.col("row_f") >= 0) & (F.col("row_f") < F.col("h")))
     return look_up(cells, p, "_y", "_x", "value", strict=True).drop("_y", "_x", "h", "w")
 
@@ -237,7 +237,7 @@ def resample(cells: DataFrame, target: DataFrame, kernel: str = "bilinear") -> D
     if kernel == "nearest":
         t = t.withColumn("_y0", F.floor("_y").cast("int")).withColumn("_x0", F.floor("_x").cast("int"))
         s = cells.select("scene", F.col("row").alias("_y0"), F.col("col").alias("_x0"), "v")
-        return t.join(s, ["scene", "_y0", "_x0"], "left").select(*KEY, "v")
+        return meet(t, s, ["scene", "_y0", "_x0"], "left").select(*KEY, "v")
     t = t.withColumn("_y", F.col("_y") - 0.5).withColumn("_x", F.col("_x") - 0.5)
     if kernel == "bilinear":
         return bilinear_at(cells, t, "_y", "_x", "v").select(*KEY, "v")
@@ -245,7 +245,7 @@ def resample(cells: DataFrame, target: DataFrame, kernel: str = "bilinear") -> D
         raise ValueError(f"Unknown kernel {kernel!r}")
     t = t.withColumn("_y0", F.floor("_y").cast("int")).withColumn("_x0", F.floor("_x").cast("int"))
     s = patch4(cells).select("scene", F.col("row").alias("_y0"), F.col("col").alias("_x0"), "p")
-    j = t.join(s, ["scene", "_y0", "_x0"], "left")
+    j = meet(t, s, ["scene", "_y0", "_x0"], "left")
     wy, wx = _cubic_spline(F.col("_y") - F.col("_y0")), _cubic_spline(F.col("_x") - F.col("_x0"))
     terms = [(wy[i] * wx[k], F.col("p")[i][k]) for i in range(4) for k in range(4)]
     return j.withColumn("v", F.when(F.col("p").isNotNull(), _weighted(terms))).select(*KEY, "v")
@@ -372,7 +372,7 @@ def reproject_to_utm(cells: DataFrame, scenes: DataFrame, edge_points: int = 21)
     vals = bilinear_at(cells, p, "_y", "_x", "v")
     near = vals.withColumn("_yn", F.floor(F.col("_y") + 0.5).cast("int")).withColumn("_xn", F.floor(F.col("_x") + 0.5).cast("int"))
     src = cells.select("scene", F.col("row").alias("_yn"), F.col("col").alias("_xn"), F.col("v").isNotNull().alias("valid"))
-    moved = near.join(src, ["scene", "_yn", "_xn"], "left").select(*KEY, "v", F.coalesce("valid", F.lit(False)).alias("valid"))
+    moved = meet(near, src, ["scene", "_yn", "_xn"], "left").select(*KEY, "v", F.coalesce("valid", F.lit(False)).alias("valid"))
     same = cells.join(keep.select("scene"), "scene", "left_semi").select(*KEY, "v", F.col("v").isNotNull().alias("valid"))
     return moved.unionByName(same), out.drop("_src").unionByName(keep.select("scene", "h", "w", "crs", "epsg", "t"))
 

@@ -15,8 +15,7 @@ FLOAT32_EPS = 1.1920928955078125e-07  # fixed value: single-precision epsilon
 def _scaled(df: DataFrame, value: str, by: list[str], p: tuple[float, float], floor: float) -> DataFrame:
     """Adds ``_t``: the value's place between two percentiles of its group, clipped to 0..1."""
     ends = cut(quantiles(df, by, {"_lo": (value, p[0] / 100.0), "_hi": (value, p[1] / 100.0)}))
-    spread = [c for c in ("row", "col") if c in df.columns] or [c for c in df.columns if c not in by]
-    joined = attach(df, ends, by, spread, how="left")
+    joined = attach(df, ends, by, "left")
     span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(floor))
     return joined.withColumn("_t", clip((finite(value) - F.col("_lo")) / span, 0.0, 1.0)).drop("_lo", "_hi")
 

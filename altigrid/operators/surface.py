@@ -37,11 +37,10 @@ def hillshade(cells: DataFrame, px=1.0, azimuth: float = 315.0, altitude: float
 def normalised_error(df: DataFrame, pred: str, ref: str, by: list[str], clamp_nmad: float = ERROR_CLAMP_NMAD) -> DataFrame:
     """``share`` of the error within ``clamp_nmad`` NMADs of its tile, -1..1."""
     e = cut(df.withColumn("_e", finite(pred) - finite(ref)))
-    spread = [c for c in df.columns if c not in by]
     _, mad = median_and_mad(e, "_e", by)
     nmad = cut(mad.select(*by, (NMAD_K * F.col("_mad")).alias("_nmad")))
     unit = F.when(F.coalesce(F.col("_nmad"), F.lit(0.0)) == 0, 1.0).otherwise(F.col("_nmad"))
-    return attach(e, nmad, by, spread, how="left").withColumn("share", signed_share("_e", clamp_nmad * unit)).drop("_e", "_nmad")
+    return attach(e, nmad, by, "left").withColumn("share", signed_share("_e", clamp_nmad * unit)).drop("_e", "_nmad")
 
 
 def terrain_classes(cells: DataFrame, step: float, slope_col: str | None = None) -> DataFrame:

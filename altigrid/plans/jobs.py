@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from altigrid.functions.labels import datum_of
 from altigrid.functions.terrain import object_mask
-from altigrid.model import KEY, attach, cut, finite, scene_extent
+from altigrid.model import KEY, attach, cut, finite, scene_extent, meet
 from altigrid.operators import evaluation, joins, metrics, resample, tiling
 from altigrid.operators.calibration import CalibrationConfig, method_b, to_geoid
 from altigrid.operators.stretch import normalize_relative
@@ -77,7 +77,7 @@ def evaluate(
         if relative is None:
             raise ValueError("tiles with a mode need the relative grids")
         wanted, tiles = tiles.where("mode = 'relative'").drop("mode"), tiles.where("mode = 'metric'").drop("mode")
-    wide = predictions.join(refs.select(*KEY, F.col("v").alias("ref")), KEY).join(dtms.select(*KEY, F.col("v").alias("_dtm")), KEY)
+    wide = meet(meet(predictions, refs.select(*KEY, F.col("v").alias("ref"))), dtms.select(*KEY, F.col("v").alias("_dtm")))
     wide = wide.withColumn("is_object", object_mask("ref", "_dtm", min_height)).drop("_dtm")
     placed = joins.cells_in_tiles(wide, tiles).drop("row0", "row1", "col0", "col1")
     stacked = evaluation.stack_methods(placed, cal_a, cal_b)
@@ -122,7 +122,7 @@ def validate(pred: DataFrame, ref: DataFrame, meta: DataFrame, mask: DataFrame,
         placed = cut(grids.where("src is not null and dst is not null").select("scene", "src", "dst"))
         plain = extent.join(placed, "scene", "left_anti")
     sizes = cut(plain.join(other, "scene").select("scene", ((F.col("h") == F.col("_h")) & (F.col("w") == F.col("_w"))).alias("_fits")))
-    aligned = attach(ref.select(*KEY, "v"), sizes.where("_fits").select("scene")).select(*KEY, "v")
+    aligned = attach(ref.select(*KEY, "v"), sizes.where("_fits").select("scene"), how="left_semi")
     if grids is not None:
         aligned = aligned.unionByName(resample.resample(ref, extent.join(placed, "scene")))
     pairs = attach(joins.join_cells(pred, aligned), meta.select("scene", "units"))
@@ -158,6 +158,6 @@ def build_site(
     surface = joins.mosaic(surface_cells(newest)).select(*KEY, "v")
     ground = joins.mosaic(ground_cells(newest)).select(*KEY, F.col("v").alias("dtm"))
     accepted = report.where("accepted").select("scene")
-    on_site = image.select(*KEY).join(surface, KEY, "left").join(ground, KEY, "left")
+    on_site = meet(meet(image.select(*KEY), surface, how="left"), ground, how="left")
     extent = sites.select("scene", "h", "w").join(accepted, "scene", "left_semi")
     return tiling.cut_tiles(on_site, tile_px, min_valid, extent)

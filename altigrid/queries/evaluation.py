@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from altigrid.model import meet
 from altigrid.operators import evaluation as ev
 from altigrid.operators import metrics
 from altigrid.operators.calibration import CalibrationConfig
@@ -103,7 +104,7 @@ def sweep_scores(spark, d):
 
     x, dem, sc = inputs(spark, d)
     cells = fx.g1(spark, d)
-    both = fx.g2(cells).withColumnRenamed("v", "ref").join(fx.g3(cells).withColumnRenamed("v", "dtm"), KEY)
+    both = meet(fx.g2(cells).withColumnRenamed("v", "ref"), fx.g3(cells).withColumnRenamed("v", "dtm"))
     tile = (F.floor(F.col("row") / 25) * 10 + F.floor(F.col("col") / 32)).cast("int")
     truth = both.select(*KEY, tile.alias("tile"), "ref", object_mask("ref", "dtm").alias("is_object"))
     return ev.sweep(x, {"nearest": dem}, truth, sc, SETTINGS, CalibrationConfig(), {1.0: 4.0})

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from altigrid.functions import geo
 from altigrid.functions.numbers import rounded
-from altigrid.model import scene_extent
+from altigrid.model import meet, scene_extent
 from altigrid.operators import joins
 from altigrid.queries import fixtures as fx
 from altigrid.queries.metrics import r6, scene_pairs
@@ -172,6 +172,6 @@ def d14(spark, d):
     ref = fx.g2(cells)
     fit = affine_fit(scene_pairs(spark, d), "pred", "ref", ["scene"])
     rel = joins.to_relative_units(ref, fit).withColumnRenamed("v", "rel")
-    return r6(joins.difference(cells, ref).withColumnRenamed("v", "diff").join(rel, KEY), ["diff", "rel"])
+    return r6(meet(joins.difference(cells, ref).withColumnRenamed("v", "diff"), rel), ["diff", "rel"])
 
 

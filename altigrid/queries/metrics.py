@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import rounded
+from altigrid.model import meet
 from altigrid.operators import joins, metrics
 from altigrid.queries import fixtures as fx
 from altigrid.queries.registry import query
@@ -100,7 +101,7 @@ def e01_pairs(spark, d):
   SELECT scene, CASE WHEN g2.v - g3.v > 2.5 THEN g1.v END AS p, g2.v AS r FROM g1 JOIN g2 USING (scene, row, col) JOIN g3 USING (scene, row, col))""", e1_sql("scene", "op")) + f"SELECT scene, {sql_r(M)}, n_pixels FROM e1")
 def e01_objects(spark, d):
     cells = fx.g1(spark, d)
-    trio = joins.join_cells(cells, fx.g2(cells)).join(fx.g3(cells).select("scene", "row", "col", F.col("v").alias("dtm")), ["scene", "row", "col"])
+    trio = meet(joins.join_cells(cells, fx.g2(cells)), fx.g3(cells).select("scene", "row", "col", F.col("v").alias("dtm")))
     from altigrid.functions.terrain import object_mask
 
     return r6(metrics.dsm_metrics(trio, "pred", "ref", ["scene"], object_mask("ref", "dtm")), M)

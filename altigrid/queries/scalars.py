@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from altigrid.functions import geo, labels, terrain, tiles
 from altigrid.functions.imagery import select_bands
 from altigrid.functions.numbers import rounded
+from altigrid.model import meet
 from altigrid.operators.stretch import normalize_relative, stretch
 from altigrid.queries import fixtures as fx
 from altigrid.queries.metrics import r6, sql_r
@@ -303,7 +304,7 @@ def c17(spark, d):
 SELECT scene, row, col, coalesce(g2.v - g3.v > 2.5, false) AS is_object FROM g2 JOIN g3 USING (scene, row, col)""")
 def c18(spark, d):
     cells = fx.g1(spark, d)
-    both = fx.g2(cells).withColumnRenamed("v", "dsm").join(fx.g3(cells).withColumnRenamed("v", "dtm"), ["scene", "row", "col"])
+    both = meet(fx.g2(cells).withColumnRenamed("v", "dsm"), fx.g3(cells).withColumnRenamed("v", "dtm"))
     return both.select("scene", "row", "col", terrain.object_mask("dsm", "dtm").alias("is_object"))
 
 

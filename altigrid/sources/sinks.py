@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from altigrid.model import CONTRACT_VERSION, KEY, NODATA, finite
+from altigrid.model import CONTRACT_VERSION, KEY, NODATA, finite, meet
 from altigrid.operators.neighbourhood import fill_nearest
 from altigrid.operators.resample import area_downsample
 
@@ -36,15 +36,15 @@ def bundle_tables(cells: DataFrame, scenes: DataFrame, max_side: int, terrain: D
     ext = scenes.select("scene", "h", "w")
     grid = area_downsample(cells, max_side, ext)
     if terrain is not None:
-        pair = cells.select(*KEY, F.col("v").alias("_dsm")).join(terrain.select(*KEY, F.col("v")), KEY)
+        pair = meet(cells.select(*KEY, F.col("v").alias("_dsm")), terrain.select(*KEY, F.col("v")))
         under = pair.select(*KEY, F.when(F.col("_dsm").isNotNull(), F.col("v")).alias("v"))
         dem = area_downsample(under, max_side, ext).select(*KEY, F.col("v").alias("dem"))
-        grid = grid.join(dem, KEY, "left")
+        grid = meet(grid, dem, how="left")
     solid = fill_nearest(grid, also="dem" if terrain is not None else None)
     solid = solid.withColumn("unreliable", ~F.col("trusted")).drop("filled")
     if terrain is not None:
         own = fill_nearest(solid.select(*KEY, F.col("dem").alias("v"))).select(*KEY, F.col("v").alias("_dem"))
-        solid = solid.join(own, KEY).withColumn("dem", F.col("_dem")).drop("_dem")
+        solid = meet(solid, own).withColumn("dem", F.col("_dem")).drop("_dem")
     rng = solid.groupBy("scene").agg(
         F.min(F.when(~F.col("unreliable"), F.col("v"))).alias("_lo"), F.max(F.when(~F.col("unreliable"), F.col("v"))).alias("_hi"),
         F.min("v").alias("_alo"), F.max("v").alias("_ahi"), F.max("unreliable").alias("has_mask"),

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from altigrid.model import KEY, scratch_path
+from altigrid.model import KEY, scratch_path, meet
 
 STRIP = 1024
 STRIP_KEY = ["scene", "row", "cb"]
@@ -78,7 +78,7 @@ def beside(grids: dict[str, DataFrame], how: str = "inner") -> DataFrame:
     """
     if not all(is_strips(g) for g in grids.values()):
         sides = [(cells_of(g) if is_strips(g) else g).select(*KEY, F.col("v").alias(n)) for n, g in grids.items()]
-        return reduce(lambda a, b: a.join(b, KEY, how), sides)
+        return reduce(lambda a, b: meet(a, b, how=how), sides)
     sides = [g.select(*STRIP_KEY, F.col("v").alias(n)) for n, g in grids.items()]
     met = reduce(lambda a, b: a.join(b, STRIP_KEY, how), sides)
     names = list(grids)
