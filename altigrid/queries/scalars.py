@@ -270,7 +270,7 @@ def c13(spark, d):
     from altigrid.operators.tiling import explode_overlaps
 
     cells = fx.g1(spark, d)
-    x = explode_overlaps(cells, fx.scenes(cells), 16, 8)
+    x = explode_overlaps(cells, fx.layout(cells), 16, 8)
     return x.select(
         "scene", "row", "col", "y0", "x0", rounded(tiles.tile_weight("row", "col", "y0", "x0", 16, "h", "w")).alias("weight")
     )
