@@ -10,6 +10,7 @@ from altigrid.functions.numbers import as_col, clip
 # WGS 84 ellipsoid and the UTM grid.
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 UTM_K0, UTM_E0, UTM_N0_SOUTH = 0.9996, 500000.0, 10000000.0
+UTM_SOUTH, UTM_NORTH = -80.0, 84.0
 
 _N = WGS84_F / (2 - WGS84_F)
 _RECTIFYING = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
@@ -154,6 +155,15 @@ def add_center(df: DataFrame, t: str, epsg: str, h: str, w: str) -> DataFrame:
     return d.drop("_mx", "_my", "_mlon", "_mlat")
 
 
+def within_turn(df: DataFrame, t: str, h: str, w: str, degrees: Column) -> DataFrame:
+    """Moves grids in degrees by whole turns so that their centre lies within 180 degrees east and west; others stay as they are."""
+    own = F.col(t)
+    mid = pixel_to_world(own, F.col(w) / 2.0, F.col(h) / 2.0)["x"]
+    beyond = degrees & (F.abs(mid) > 180.0)
+    moved = own["c"] - 360.0 * F.floor((mid + 180.0) / 360.0)
+    return df.withColumn(t, F.struct(own["a"].alias("a"), own["b"].alias("b"), F.when(beyond, moved).otherwise(own["c"]).alias("c"), *[own[n].alias(n) for n in "def"]))
+
+
 def add_ground_sides(df: DataFrame, t: str, epsg: str, h: str, w: str) -> DataFrame:
     """Adds ``dx, dy``, the east-west and north-south ground size of the centre pixel, and
     ``pixel_m`` (the finer side) and ``res_m`` (their geometric mean)."""

@@ -333,12 +333,18 @@ def enlarge_onto(cells: DataFrame, small: DataFrame, dims: DataFrame, out: str)
 def reproject_to_utm(cells: DataFrame, scenes: DataFrame, edge_points: int = 21) -> tuple[DataFrame, DataFrame]:
     """R2: degree grids onto square metre cells in the UTM zone of their centre.
 
-    ``scenes``: scene, h, w, crs, epsg, t. Grids that are not in degrees pass unchanged. Values are
-    bilinear; ``valid`` follows the nearest source cell.
+    ``scenes``: scene, h, w, crs, epsg, t. Grids that are not in degrees pass unchanged, and so do those whose
+    centre has no UTM zone (beyond 84 degrees north or 80 south): near a pole the finer side of a cell goes to
+    nothing and with it the target's cells beyond any number; past it there is no ground. A centre beyond 180
+    degrees east or west is brought back by whole turns. Values are bilinear; ``valid`` follows the nearest
+    source cell.
     """
     deg = geo.is_georeferenced("crs", F.col("t")) & (F.col("epsg") == 4326)
-    flat, keep = scenes.where(deg), scenes.where(~F.coalesce(deg, F.lit(False)))
-    plan = geo.add_center(flat, "t", "epsg", "h", "w").withColumn("_zone", geo.utm_epsg("mid_lon", "mid_lat"))
+    turned = geo.add_center(geo.within_turn(scenes, "t", "h", "w", deg), "t", "epsg", "h", "w")
+    zoned = deg & F.col("mid_lat").between(geo.UTM_SOUTH, geo.UTM_NORTH)
+    plan = turned.where(zoned).withColumn("_zone", geo.utm_epsg("mid_lon", "mid_lat"))
+    own = geo.pixel_to_world(F.col("t"), F.col("w") / 2.0, F.col("h") / 2.0)
+    keep = scenes.where(~F.coalesce(deg & own["y"].between(geo.UTM_SOUTH, geo.UTM_NORTH), F.lit(False)))
     plan = geo.add_ground_sides(plan, "t", "epsg", "h", "w").withColumnRenamed("pixel_m", "_res")
     # outline of the grid in the target zone
     k = F.explode(F.sequence(F.lit(0), F.lit(edge_points - 1)))

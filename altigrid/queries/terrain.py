@@ -300,7 +300,9 @@ def r04(spark, d):
 def r02(spark, d):
     cells = fx.g2(fx.g1(spark, d))
     k = F.col("scene")
-    t = F.struct(F.lit(0.001).alias("a"), F.lit(0.0).alias("b"), (k * 7.0 - 120.0).alias("c"), F.lit(0.0).alias("d"), F.lit(-0.001).alias("e"), (k * 5.0 - 40.0).alias("f"))
+    # 25 latitudes from 40 south to 80 north: any number of scenes lies on the Earth, in the zones' reach
+    west, north = k * 7.0 - 120.0, (k % 25) * 5.0 - 40.0
+    t = F.struct(F.lit(0.001).alias("a"), F.lit(0.0).alias("b"), west.alias("c"), F.lit(0.0).alias("d"), F.lit(-0.001).alias("e"), north.alias("f"))
     sc = scene_extent(cells).withColumn("crs", F.lit("EPSG:4326")).withColumn("epsg", F.lit(4326)).withColumn("t", t)
     out, meta = resample.reproject_to_utm(cells, sc)
     j = attach(out, meta.select("scene", "h", "w", "epsg", F.col("t.a").alias("a")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from altigrid.model import attach, meet
+from altigrid.operators import resample
 
 BASE = "/root/testdata/sf0.001"
 LAID_OUT = ["c13_taper_weights", "d03_overlap_explode", "e13_trimmed_alignment", "e14_weighted_blend", "e15_seam_ratio", "u01_tile_predictor"]
@@ -55,3 +56,23 @@ def test_scene_without_its_last_rows_matches_sql(spark, cut_short, name):
         return sorted(tuple(repr(r[i]) for i in order) for r in records)
 
     assert rows(df.columns, df.collect()) == rows(cols, found.fetchall())
+
+
+def test_degree_grids_beyond_the_zones_or_a_turn(spark):
+    def scene(n, west, north):
+        return (n, 4, 5, "EPSG:4326", 4326, (0.001, 0.0, west, 0.0, -0.001, north))
+
+    places = [scene(0, 20.0, 45.0), scene(1, 380.0, 45.0), scene(2, -700.0, 45.0), scene(3, 20.0, 90.0), scene(4, 20.0, 155.0), scene(5, 20.0, -84.0)]
+    shape = "scene long, h int, w int, crs string, epsg int, t struct<a:double,b:double,c:double,d:double,e:double,f:double>"
+    scenes = spark.createDataFrame(places, shape)
+    cells = spark.range(6).select(F.col("id").alias("scene"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("row"))
+    cells = cells.withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("v", F.col("row") * 10.0 + F.col("col"))
+    out, meta = resample.reproject_to_utm(cells, scenes)
+    found = {r.scene: r for r in meta.collect()}
+    got = {n: sorted((r.row, r.col, None if r.v is None else round(r.v, 6), r.valid) for r in out.where(f"scene = {n}").collect()) for n in range(6)}
+    assert found[0].epsg == found[1].epsg == found[2].epsg == 32634
+    assert len(got[0]) == found[0].h * found[0].w and sum(x[3] for x in got[0]) >= 10
+    assert got[0] == got[1] == got[2]  # whole turns away, the same ground
+    for n in (3, 4, 5):  # no zone: unchanged
+        assert found[n].epsg == 4326 and (found[n].h, found[n].w) == (4, 5)
+        assert got[n] == [(r, c, r * 10.0 + c, True) for r in range(4) for c in range(5)]
