@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from altigrid.model import attach, meet
-from altigrid.operators import resample
+from altigrid.functions.tiles import tile_weight
+from altigrid.operators import resample, tiling
 
 BASE = "/root/testdata/sf0.001"
 LAID_OUT = ["c13_taper_weights", "d03_overlap_explode", "e13_trimmed_alignment", "e14_weighted_blend", "e15_seam_ratio", "u01_tile_predictor"]
@@ -58,6 +59,21 @@ def test_scene_without_its_last_rows_matches_sql(spark, cut_short, name):
     assert rows(df.columns, df.collect()) == rows(cols, found.fetchall())
 
 
+def test_tile_sums_are_taken_from_the_last_tile_to_the_first(spark):
+    """A sum's last bits depend on its order; the SQL takes the last column of tiles first."""
+    cells = spark.range(50 * 64).select(
+        F.lit(0).cast("bigint").alias("scene"), F.expr("int(id div 64)").alias("row"), F.expr("int(id % 64)").alias("col"), (100 + 50 * F.sin(F.col("id") * 1.7)).alias("v"))
+    size = spark.createDataFrame([(0, 50, 64)], "scene long, h int, w int")
+    x = tiling.explode_overlaps(cells, size, 16, 8).withColumn("t", (F.col("v") - F.col("y0") + F.col("x0")) / (1 + (F.col("y0") + F.col("x0")) / 40))
+    x = x.withColumn("_w", tile_weight("row", "col", "y0", "x0", 16, "h", "w"))
+    top, weight = {}, {}
+    for r in sorted(x.collect(), key=lambda r: (-r.x0, -r.y0)):
+        top[r.row, r.col] = top.get((r.row, r.col), 0.0) + r._w * r.t
+        weight[r.row, r.col] = weight.get((r.row, r.col), 0.0) + r._w
+    got = {(r.row, r.col): r.v for r in tiling.blend(x, "t", "_w").collect()}
+    assert got == {k: top[k] / weight[k] for k in top}
+
+
 def test_degree_grids_beyond_the_zones_or_a_turn(spark):
     def scene(n, west, north):
         return (n, 4, 5, "EPSG:4326", 4326, (0.001, 0.0, west, 0.0, -0.001, north))
