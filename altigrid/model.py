@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 KEY = ["scene", "row", "col"]
 NODATA = -9999.0
 CONTRACT_VERSION = 4
+PARTS_PER_CORE = 4
 
 CELL_SCHEMA = T.StructType(
     [
@@ -78,13 +79,22 @@ def attach(big: DataFrame, dim: DataFrame, on: list[str] | None = None, how: str
     return big.join(dim, on or ["scene"], how)
 
 
+def cell_parts(spark: SparkSession) -> int:
+    """Partitions for tables with a row per cell: the session's shuffle partitions, and some for every core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def meet(a: DataFrame, b: DataFrame, on: list[str] | None = None, how: str = "inner") -> DataFrame:
     """Join of two tables with a row per cell, sorted and merged.
 
     Stored or shuffled, regular cells take a hundredth of their size in memory, which the planner goes by; left to it,
-    a grid of millions of cells would be gathered in the driver and broadcast.
+    a grid of millions of cells would be gathered in the driver and broadcast, and shuffled partitions would be
+    coalesced until a core has one, however many cells that makes. So the number of partitions is given; cells that
+    lie in as many by the same key are not shuffled again.
     """
-    return a.join(b.hint("merge"), on or KEY, how)
+    on = on or KEY
+    n = cell_parts(a.sparkSession)
+    return a.repartition(n, *on).join(b.repartition(n, *on).hint("merge"), on, how)
 
 
 def shared_dir(spark: SparkSession) -> str:

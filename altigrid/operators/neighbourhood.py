@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import as_col
-from altigrid.model import KEY, cut, meet
+from altigrid.model import KEY, cell_parts, cut, meet
 
 BLOCK = 256
 
@@ -26,11 +26,11 @@ def _covering(pos: Column, before: int, after: int, block: int) -> Column:
 
 
 def blocked(cells: DataFrame, before: int, after: int, block: int = BLOCK) -> DataFrame:
-    """Cells under each block that needs them: adds ``br, bc, core``; hash-partitioned by block."""
+    """Cells under each block that needs them: adds ``br, bc, core``; hash-partitioned by block, see :func:`altigrid.model.cell_parts`."""
     out = cells.withColumn("br", F.explode(_covering(F.col("row"), before, after, block)))
     out = out.withColumn("bc", F.explode(_covering(F.col("col"), before, after, block)))
     core = (F.floor(F.col("row") / block) == F.col("br")) & (F.floor(F.col("col") / block) == F.col("bc"))
-    return out.withColumn("core", core).repartition("scene", "br", "bc")
+    return out.withColumn("core", core).repartition(cell_parts(cells.sparkSession), "scene", "br", "bc")
 
 
 def along_row() -> Window:

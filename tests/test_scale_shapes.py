@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from altigrid.model import attach, meet
 from altigrid.functions.tiles import tile_weight
-from altigrid.operators import resample, tiling
+from altigrid.operators import neighbourhood, resample, tiling
 
 BASE = "/root/testdata/sf0.001"
 LAID_OUT = ["c13_taper_weights", "d03_overlap_explode", "e13_trimmed_alignment", "e14_weighted_blend", "e15_seam_ratio", "u01_tile_predictor"]
@@ -92,3 +92,11 @@ def test_degree_grids_beyond_the_zones_or_a_turn(spark):
     for n in (3, 4, 5):  # no zone: unchanged
         assert found[n].epsg == 4326 and (found[n].h, found[n].w) == (4, 5)
         assert got[n] == [(r, c, r * 10.0 + c, True) for r in range(4) for c in range(5)]
+
+
+def test_cells_keep_many_partitions(spark):
+    """Coalesced by their size in a shuffle, a core would get one partition, however many cells that makes."""
+    want = 4 * spark.sparkContext.defaultParallelism
+    a = spark.range(20_000).select((F.col("id") % 5).alias("scene"), F.expr("int(id div 500)").alias("row"), F.expr("int(id div 5 % 100)").alias("col"), F.lit(1.0).alias("v"))
+    assert meet(a, a.withColumnRenamed("v", "u")).rdd.getNumPartitions() >= want
+    assert neighbourhood.blocked(a, 1, 1).rdd.getNumPartitions() >= want
