@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from altigrid.functions.numbers import as_col
-from altigrid.model import cut_measured, finite
+from altigrid.model import cell_parts, cut_measured, finite
 
 MANTISSA_STEPS = 128.0
 EXPONENT_BIAS = 1100
@@ -137,6 +137,9 @@ def quantiles(
 
     # a bucket of one value is its own answer
     flat = chosen.where("_lo = _hi").select(*by, F.col("_lo").alias("_v"), F.explode("_want").alias("_t"))
+    deal = group if len(measures) > 1 else by  # the name of an only measure is a constant, which the planner drops from the keys
+    if depth == 0 and deal:  # all rows are sorted: they are dealt out before the join, into a given number of partitions
+        rows = rows.repartition(cell_parts(df.sparkSession), *deal)
     close = rows.join(chosen.where("_lo < _hi").select(*keys, "_below", "_want"), keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_v")) - 1 + F.col("_below")
     ranked = close.withColumn("_rank", rank).where(F.array_contains("_want.rank", F.col("_rank").cast("bigint")))

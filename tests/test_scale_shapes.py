@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from altigrid import model
 from altigrid.model import attach, meet
 from altigrid.functions.tiles import tile_weight
-from altigrid.operators import neighbourhood, resample, tiling
+from altigrid.operators import neighbourhood, ranks, resample, tiling
 
 BASE = "/root/testdata/sf0.001"
 LAID_OUT = ["c13_taper_weights", "d03_overlap_explode", "e13_trimmed_alignment", "e14_weighted_blend", "e15_seam_ratio", "u01_tile_predictor"]
@@ -100,3 +101,11 @@ def test_cells_keep_many_partitions(spark):
     a = spark.range(20_000).select((F.col("id") % 5).alias("scene"), F.expr("int(id div 500)").alias("row"), F.expr("int(id div 5 % 100)").alias("col"), F.lit(1.0).alias("v"))
     assert meet(a, a.withColumnRenamed("v", "u")).rdd.getNumPartitions() >= want
     assert neighbourhood.blocked(a, 1, 1).rdd.getNumPartitions() >= want
+
+
+def test_rows_of_quantiles_are_dealt_out(spark):
+    a = spark.range(20_000).select((F.col("id") % 500).alias("scene"), F.col("id").cast("double").alias("v"))
+    for wanted in ({"q": ("v", 0.5)}, {"q": ("v", 0.5), "p": (F.col("v") * 2, 0.25)}):
+        out = ranks.quantiles(a, ["scene"], wanted)
+        assert f"{model.cell_parts(spark)}), REPARTITION_BY_NUM" in plan_of(out)
+        assert {r.scene: r.q for r in out.collect()} == {s: s + 500 * 19.5 for s in range(500)}
