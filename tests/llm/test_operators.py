@@ -260,6 +260,18 @@ def test_token_files(spark, docs, rows, empty):
     assert tokens.round_trip(empty, path).count() == 0
 
 
+def test_word_encoder_folds_like_the_library():
+    from altigrid.llm import tokens
+
+    e = tokens.WordEncoder(vocab.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(7)
+    pool = [*map(chr, range(0x21, 0x530)), "\u0301", "\u1e9e", "\u2028", "\u4e00", "\uac00", "\U0001f600", "'s", "'LL", "<|", "|>", "the", *"   "]
+    texts = ["T\u0308 H\u0331 x", "<|ENDOFTEXT|> a<|endoftext|>b CAN'T", "CAN'T can't''s d'd", "", " \t", " a\x85b\u00a0c\x1cd ", "\u0130\u0130 \u03a3\u03b1\u03a3"]
+    texts += ["".join(rng.choice(pool, 60)) for _ in range(500)]
+    for x, ids in zip(texts, e.encode([t.encode() for t in texts]), strict=True):
+        assert ids.dtype == np.uint32 and ids.tolist() == e.tok.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
 def test_packing(docs, rows, empty):
     from altigrid.llm import packing
 
