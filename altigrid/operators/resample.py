@@ -57,41 +57,54 @@ def bilinear_at(cells: DataFrame, at: DataFrame, y: str, x: str, out: str) -> Da
     return j.withColumn(out, F.when(F.col("_hit"), value)).drop("_y0", "_x0", "_hit", "v00", "v01", "v10", "v11")
 
 
-def look_up(cells: DataFrame, points: DataFrame, y: str, x: str, out: str, gradient: bool = False, strict: bool = False) -> DataFrame:
-    """Values at points that are few next to the cells: adds ``out``, with ``gradient`` also the
-    neighbour steps ``_dx, _dy`` and their cell distances ``_nx, _ny`` at the nearest cell.
+def look_up(cells: DataFrame, points: DataFrame, y: str, x: str, out: str, gradient: bool = False, strict: bool = False, more: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Values at points: adds ``out``, with ``gradient`` also the neighbour steps ``_dx, _dy`` and their cell
+    distances ``_nx, _ny`` at the nearest cell. ``more`` names further grids of the same scenes whose values are added.
 
-    The wanted cells are listed first and stored, so the planner knows the list's true size (a short
-    list is broadcast, the grid is then read once and not shuffled) and the grid scan is narrowed to
-    the rows and scenes the points touch.
+    The cells above left of the points are listed first, each once however many points lie below it, and stored with
+    their neighbours, so the planner knows the list's true size (a short list is broadcast, the grid is then read once
+    and not shuffled) and the grid scan is narrowed to the rows and scenes the points touch. The points themselves are
+    shuffled once at most, for all grids.
 
     With ``strict`` (``points`` then have ``h, w``) all four cells around a point must be there, those of weight
     0 too; for a point on the last row or column of centres the one before it takes the place of what lies beyond.
     """
     y0, x0 = F.floor(y).cast("int"), F.floor(x).cast("int")
-    y1, x1 = y0 + 1, x0 + 1
+    dy, dx = F.lit(1), F.lit(1)
     if strict:
-        last = [(F.col(p) == F.floor(p)) & (a == F.col(n)) for p, a, n in ((y, y1, "h"), (x, x1, "w"))]
-        y1, x1 = (F.when(on, F.greatest(F.col(n) - 2, F.lit(0))).otherwise(a).cast("int") for on, a, n in zip(last, (y1, x1), ("h", "w"), strict=True))
-    wanted = [("p00", y0, x0), ("p01", y0, x1), ("p10", y1, x0), ("p11", y1, x1)]
+        dy, dx = (F.when((F.col(p) == F.floor(p)) & (a + 1 == F.col(n)), F.greatest(F.col(n) - 2, F.lit(0)) - a).otherwise(1) for p, a, n in ((y, y0, "h"), (x, x0, "w")))
+    zero = F.lit(0)
+    wanted = [("p00", zero, zero), ("p01", zero, dx), ("p10", dy, zero), ("p11", dy, dx)]
     if gradient:
-        r, c = half_up(y).cast("int"), half_up(x).cast("int")
+        r, c = half_up(y).cast("int") - y0, half_up(x).cast("int") - x0
         wanted += [("c", r, c), ("e", r, c + 1), ("w", r, c - 1), ("s", r + 1, c), ("n", r - 1, c)]
-    spots = points.select("scene", F.col(y).alias("_y"), F.col(x).alias("_x"), *["h", "w"] * strict).distinct()
-    spots = spots.withColumnsRenamed({"_y": y, "_x": x})
-    slots = F.array(*[F.struct(F.lit(n).alias("slot"), rr.alias("row"), cc.alias("col")) for n, rr, cc in wanted])
-    keys = spots.select("scene", y, x, F.explode(slots).alias("_s")).select("scene", y, x, "_s.*")
+    lo, hi = (-1 if gradient or strict else 0), (2 if gradient else 1)
+    side = hi - lo + 1
+    offsets = [(r, c) for r in range(lo, hi + 1) for c in range(lo, hi + 1) if strict or not (r in (-1, 2) and c in (-1, 2))]
+    at = ["scene", "_y0", "_x0"]
+    spots = points.withColumn("_y0", y0).withColumn("_x0", x0)
+    slots = F.array(*[F.struct(F.lit((r - lo) * side + c - lo).alias("slot"), F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in offsets])
+    keys = spots.select(at).distinct().withColumn("_s", F.explode(slots))
+    keys = keys.select(*at, "_s.slot", (F.col("_y0") + F.col("_s.r")).alias("row"), (F.col("_x0") + F.col("_s.c")).alias("col"))
     edges = [f(c).alias(f"{n}_{c}") for c in KEY for n, f in (("lo", F.min), ("hi", F.max))]
     keys, box = cut_measured(keys, *edges)
-    near = cells.select(*KEY, "v")
-    for c in KEY:
-        if box[f"lo_{c}"] is not None:
-            near = near.where(F.col(c).between(box[f"lo_{c}"], box[f"hi_{c}"]))
-    found = keys.join(near, KEY)
-    got = found.groupBy("scene", y, x).agg(*[
-        a for n, _, _ in wanted for a in (F.max(F.when(F.col("slot") == n, F.col("v"))).alias(f"_v_{n}"), F.max((F.col("slot") == n).cast("int")).alias(f"_has_{n}"))
-    ])
-    return _from_slots(points.join(got, ["scene", y, x], "left"), [n for n, _, _ in wanted], y, x, out, strict)
+    for name, grid in {out: cells, **(more or {})}.items():
+        near = grid.select(*KEY, "v")
+        for c in KEY:
+            if box[f"lo_{c}"] is not None:
+                near = near.where(F.col(c).between(box[f"lo_{c}"], box[f"hi_{c}"]))
+        own = [F.col("slot") == i for i in range(side * side)]
+        got = keys.join(near, KEY).groupBy(at).agg(*[
+            a for i, mine in enumerate(own) for a in (F.max(F.when(mine, F.col("v"))).alias(f"_v{i}"), F.max(mine.cast("int")).alias(f"_has{i}"))
+        ])
+        got = got.select(*at, F.array(*[f"_v{i}" for i in range(len(own))]).alias("_v"), F.array(*[f"_has{i}" for i in range(len(own))]).alias("_has"))
+        spots = spots.join(got, at, "left")
+        use = wanted if name == out else wanted[:4]
+        for n, r, c in use:
+            i = (r - lo) * side + (c - lo)
+            spots = spots.withColumn(f"_v_{n}", F.get("_v", i)).withColumn(f"_has_{n}", F.get("_has", i))
+        spots = _from_slots(spots.drop("_v", "_has"), [n for n, _, _ in use], y, x, name, strict)
+    return spots.drop("_y0", "_x0")
 
 
 def _from_slots(j: DataFrame, slots: list[str], y: str, x: str, out: str, strict: bool = False) -> DataFrame:
@@ -170,11 +183,11 @@ def bilinear(cells: DataFrame, points: DataFrame) -> DataFrame:
 def inspect(cells: DataFrame, points: DataFrame, ref: DataFrame | None = None, px=1.0) -> DataFrame:
     """Height, slope at the nearest cell and error against a reference at each point."""
     px = as_col(px) if isinstance(px, (str, Column)) else F.lit(float(px))
-    out = _with_gradient(look_up(cells, points, "row_f", "col_f", "height", gradient=True), px)
+    more = {} if ref is None else {"_ref": ref}
+    out = _with_gradient(look_up(cells, points, "row_f", "col_f", "height", gradient=True, more=more), px)
     out = out.withColumn("slope", F.when(F.col("height").isNotNull(), slope_degrees("gx", "gy"))).drop("gx", "gy")
     if ref is None:
         return out.withColumn("error", F.lit(None).cast("double"))
-    out = look_up(ref, out, "row_f", "col_f", "_ref")
     return out.withColumn("error", F.col("height") - F.col("_ref")).drop("_ref")
 
 

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,45 @@ def test_rows_of_quantiles_are_dealt_out(spark):
         out = ranks.quantiles(a, ["scene"], wanted)
         assert f"{model.cell_parts(spark)}), REPARTITION_BY_NUM" in plan_of(out)
         assert {r.scene: r.q for r in out.collect()} == {s: s + 500 * 19.5 for s in range(500)}
+
+
+def test_points_of_a_cell_share_its_stencil(spark, to_cells, monkeypatch):
+    """What is stored and looked up follows the cells that points touch, not the points."""
+    rng = np.random.default_rng(5)
+    grid = rng.normal(size=(6, 7))
+    grid[2, 3] = np.nan
+    ref = grid * 2 + 1
+    at = np.concatenate([rng.uniform(-0.5, 6.9, (400, 2)), [[5, 6], [0, 0], [5, 2.5], [2, 3], [1.5, 2.5]]])
+    points = spark.createDataFrame([(i, 0, float(r), float(c)) for i, (r, c) in enumerate(at)], "point int, scene bigint, row_f double, col_f double")
+    stored = []
+    keep = resample.cut_measured
+    monkeypatch.setattr(resample, "cut_measured", lambda df, *m: stored.append(keep(df, *m)) or stored[-1])
+    got = {r.point: r for r in resample.inspect(to_cells(grid), points, to_cells(ref)).collect()}
+    assert len(stored) == 1 and stored[0][0].count() <= 12 * 8 * 9
+    assert len(got) == len(at)
+
+    def value(g, r, c):
+        r0, c0 = int(np.floor(r)), int(np.floor(c))
+        if not (0 <= r0 < 6 and 0 <= c0 < 7):
+            return None
+        total = 0.0
+        for i, wr in ((r0, 1 - (r - r0)), (r0 + 1, r - r0)):
+            for j, wc in ((c0, 1 - (c - c0)), (c0 + 1, c - c0)):
+                if wr * wc > resample.WEIGHT_FLOOR:
+                    if not (i < 6 and j < 7) or np.isnan(g[i, j]):
+                        return None
+                    total += wr * wc * g[i, j]
+        return total
+
+    for i, (r, c) in enumerate(at):
+        want, other = value(grid, r, c), value(ref, r, c)
+        assert (got[i].height is None) == (want is None), (r, c)
+        if want is None:
+            assert got[i].slope is None and got[i].error is None
+            continue
+        assert abs(got[i].height - want) < 1e-9 and abs(got[i].error - (want - other)) < 1e-9
+        a, b = int(np.floor(r + 0.5)), int(np.floor(c + 0.5))
+        w, e, n, s = grid[a, max(b - 1, 0)], grid[a, min(b + 1, 6)], grid[max(a - 1, 0), b], grid[min(a + 1, 5), b]
+        gx, gy = (e - w) / (min(b + 1, 6) - max(b - 1, 0)), (s - n) / (min(a + 1, 5) - max(a - 1, 0))
+        slope = None if np.isnan(gx + gy) else np.degrees(np.arctan(np.hypot(gx, gy)))
+        assert (got[i].slope is None) == (slope is None) and (slope is None or abs(got[i].slope - slope) < 1e-9), (r, c)
