@@ -69,7 +69,9 @@ def join_footprints(items: DataFrame, sites: DataFrame, cell_deg: float = 1.0) -
 
     Both sides carry ``west, south, east, north`` in degrees. Boxes are listed under the degree
     cells they touch and met by equi-join; a pair is kept only in the first cell both touch, so no
-    de-duplication pass is needed.
+    de-duplication pass is needed. They meet sorted and merged, also where one side could be broadcast:
+    so the items of a cell come together, each with the same sites in the same order, and the pairs, which may
+    be many times the input, are stored in a small part of the room.
     """
 
     def cell(c):
@@ -81,7 +83,7 @@ def join_footprints(items: DataFrame, sites: DataFrame, cell_deg: float = 1.0) -
             "_gx", F.explode(F.sequence(cell(F.col(f"{p}west")), cell(F.col(f"{p}east"))))
         ).withColumn("_gy", F.explode(F.sequence(cell(F.col(f"{p}south")), cell(F.col(f"{p}north")))))
 
-    both = listed(items, "i_").join(listed(sites, "s_"), ["_gx", "_gy"])
+    both = listed(items, "i_").join(listed(sites, "s_").hint("merge"), ["_gx", "_gy"])
     meet = (
         (F.col("i_west") <= F.col("s_east")) & (F.col("s_west") <= F.col("i_east"))
         & (F.col("i_south") <= F.col("s_north")) & (F.col("s_south") <= F.col("i_north"))

@@ -152,3 +152,18 @@ def test_points_of_a_cell_share_its_stencil(spark, to_cells, monkeypatch):
         gx, gy = (e - w) / (min(b + 1, 6) - max(b - 1, 0)), (s - n) / (min(a + 1, 5) - max(a - 1, 0))
         slope = None if np.isnan(gx + gy) else np.degrees(np.arctan(np.hypot(gx, gy)))
         assert (got[i].slope is None) == (slope is None) and (slope is None or abs(got[i].slope - slope) < 1e-9), (r, c)
+
+
+def test_footprint_pairs_come_cell_by_cell(spark):
+    """Items of a degree cell come together, each with the same sites in the same order, so that the pairs are stored in little room."""
+    from altigrid.operators import joins
+
+    k = F.col("id")
+    box = lambda i: [(i * 7 % 5 * 10.0 + 0.25).alias("west"), F.lit(0.25).alias("south"), (i * 7 % 5 * 10.0 + 0.75).alias("east"), F.lit(0.75).alias("north")]
+    got = joins.join_footprints(spark.range(200).select(k.alias("item"), *box(k)), spark.range(100).select(k.alias("site"), *box(k)))
+    assert "SortMergeJoin" in plan_of(got) and "BroadcastHashJoin" not in plan_of(got)
+    rows = [(r.item, r.site) for r in got.select("item", "site").collect()]
+    assert sorted(rows) == [(i, j) for i in range(200) for j in range(100) if i % 5 == j % 5]
+    cells = [i % 5 for i, _ in rows]
+    assert sum(a != b for a, b in zip(cells, cells[1:])) == 4
+    assert len({tuple(j for i, j in rows if i == x) for x in range(200)}) == 5
