@@ -17,6 +17,7 @@ from altigrid.operators.ranks import quantiles
 
 SUMMARY_METRICS = [*METRICS, "ndsm_rmse"]
 FLOAT32_EPS = 1.1920928955078125e-07
+RANK_DIGITS = 9
 
 
 def summarize(per_tile: DataFrame, methods: list[str] | None = None) -> DataFrame:
@@ -244,7 +245,9 @@ def rank_sweep(scores: DataFrame, current: dict, top: int = 10) -> DataFrame:
     """H4: settings by objective with the best ones, the current default and the DEM-only rows.
 
     ``kind`` is ``ranked`` (rank 1 is the best), ``current`` or ``dem_only``. The number of settings
-    is the length of the caller's list, so ranking them is small.
+    is the length of the caller's list, so ranking them is small. Settings that choose the same scales have one
+    objective, whose last bits depend on the order of its sums: objectives are ranked to ``RANK_DIGITS`` digits,
+    equal ones by ``setting``.
     """
     keys = ["mode", "band_sigma_k", "band_coarse_cells", "band_min_r", "dem_relief_std_m", "prior_height_m"]
     by = ["setting", *keys]
@@ -254,7 +257,7 @@ def rank_sweep(scores: DataFrame, current: dict, top: int = 10) -> DataFrame:
     # one source per scene and setting
     sources = source_histogram(scores.select("setting", "scene", "source").distinct(), ["setting"])
     table = obj.join(nd, "setting").join(sources, "setting")
-    ranked = table.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("objective"), "setting")))
+    ranked = table.withColumn("rank", F.row_number().over(Window.orderBy(F.round("objective", RANK_DIGITS).asc_nulls_last(), "setting")))
     is_current = F.lit(True)
     for k, v in current.items():
         is_current = is_current & (F.col(k) == F.lit(v))

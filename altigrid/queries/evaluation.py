@@ -125,10 +125,7 @@ SELECT 'ranked' AS kind, CAST(rank AS INTEGER) AS rank, setting, round(objective
 UNION ALL SELECT 'current', CAST(rank AS INTEGER), setting, round(objective, 4) + 0.0, round(nd, 4) + 0.0, sources FROM rk WHERE min_r = 0.1 AND ph = 0
 UNION ALL SELECT 'dem_only', NULL, NULL, (SELECT round(avg(m), 4) + 0.0 FROM (SELECT {fx.LANDSCAPE} AS landscape, avg(base) AS m FROM sw WHERE setting = 0 GROUP BY 1)), NULL, NULL""")
 def h04(spark, d):
-    s = sweep_scores(spark, d)
-    # settings that choose the same scales tie exactly; even out the last bits before ranking
-    s = s.withColumn("rmse", F.round("rmse", 9)).withColumn("rmse_objects", F.round("rmse_objects", 9))
-    out = ev.rank_sweep(s, {"band_min_r": 0.1, "prior_height_m": 0.0}, 5)
+    out = ev.rank_sweep(sweep_scores(spark, d), {"band_min_r": 0.1, "prior_height_m": 0.0}, 5)
     return r6(out.select("kind", "rank", "setting", "objective", "ndsm_objective", "sources"), ["objective", "ndsm_objective"], 4)
 
 

@@ -167,3 +167,15 @@ def test_footprint_pairs_come_cell_by_cell(spark):
     cells = [i % 5 for i, _ in rows]
     assert sum(a != b for a, b in zip(cells, cells[1:])) == 4
     assert len({tuple(j for i, j in rows if i == x) for x in range(200)}) == 5
+
+
+def test_settings_of_one_objective_rank_by_their_number(spark):
+    """Sums of the same values in another order differ in their last bits; such settings tie."""
+    from altigrid.operators import evaluation as ev
+
+    values = [0.1 + 0.2, 0.3, 0.2, 0.3 - 2e-16]
+    rows = [(i, "nearest", 1.0, 4.0, float(i), 1e9, 0.0, 0, 0, "urban", "dem_only", v, v, 1.0) for i, v in enumerate(values)]
+    names = "setting mode band_sigma_k band_coarse_cells band_min_r dem_relief_std_m prior_height_m scene tile landscape source rmse rmse_objects rmse_dem_only".split()
+    out = ev.rank_sweep(spark.createDataFrame(rows, names), {"band_min_r": 1.0}, 4)
+    assert [(r.rank, r.setting) for r in out.where("kind = 'ranked'").orderBy("rank").collect()] == [(1, 2), (2, 0), (3, 1), (4, 3)]
+    assert [(r.rank, r.setting) for r in out.where("kind = 'current'").collect()] == [(3, 1)]
