@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from altigrid.functions import geo
 from altigrid.functions.numbers import as_col
-from altigrid.model import KEY, attach, cut, finite, meet
+from altigrid.model import KEY, attach, cut, cut_measured, finite, meet
 from altigrid.sources.strips import beside, cells_of, is_strips
 
 RANGE_BUCKET = 256
+FEW_SITES = 20_000
+PLACE = "_place"
 ALIGNMENT_FIELDS = ["width", "height", "pixel_size_m", "units", "crs", "bounds"]
 
 
@@ -64,14 +66,14 @@ def tile_rectangles(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     )
 
 
-def join_footprints(items: DataFrame, sites: DataFrame, cell_deg: float = 1.0) -> DataFrame:
+def join_footprints(items: DataFrame, sites: DataFrame, cell_deg: float = 1.0, by_cell: bool = True) -> DataFrame:
     """Bounding boxes of items that intersect bounding boxes of sites.
 
     Both sides carry ``west, south, east, north`` in degrees. Boxes are listed under the degree
     cells they touch and met by equi-join; a pair is kept only in the first cell both touch, so no
     de-duplication pass is needed. They meet sorted and merged, also where one side could be broadcast:
     so the items of a cell come together, each with the same sites in the same order, and the pairs, which may
-    be many times the input, are stored in a small part of the room.
+    be many times the input, are stored in a small part of the room. Without ``by_cell`` the planner chooses how they meet.
     """
 
     def cell(c):
@@ -83,7 +85,8 @@ def join_footprints(items: DataFrame, sites: DataFrame, cell_deg: float = 1.0) -
             "_gx", F.explode(F.sequence(cell(F.col(f"{p}west")), cell(F.col(f"{p}east"))))
         ).withColumn("_gy", F.explode(F.sequence(cell(F.col(f"{p}south")), cell(F.col(f"{p}north")))))
 
-    both = listed(items, "i_").join(listed(sites, "s_").hint("merge"), ["_gx", "_gy"])
+    spread = listed(sites, "s_")
+    both = listed(items, "i_").join(spread.hint("merge") if by_cell else spread, ["_gx", "_gy"])
     meet = (
         (F.col("i_west") <= F.col("s_east")) & (F.col("s_west") <= F.col("i_east"))
         & (F.col("i_south") <= F.col("s_north")) & (F.col("s_south") <= F.col("i_north"))
@@ -124,15 +127,43 @@ def latest_year(items: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     return attach(items, newest, by).where(F.year(ts) == F.col("year"))
 
 
+def newest_footprints(items: DataFrame, sites: DataFrame, ts: str = "ts") -> DataFrame:
+    """D4 and D5 in one: per site (``scene``) the intersecting items of its most recent year.
+
+    The newest year of a site is found first and stored beside its box, so that the pairs, of which there may be many
+    times the input, are never shuffled and those of older years end where they arise. A stored list of few sites is
+    broadcast, as the planner sees by its size; many are merged with the items cell by cell. Runs when called.
+    """
+    stored, seen = cut_measured(sites, F.count(F.lit(1)).alias("rows"))
+    by_cell = seen["rows"] > FEW_SITES
+    boxes = items.select("west", "south", "east", "north", F.year(ts).alias("_year"))
+    newest = join_footprints(boxes, stored, by_cell=by_cell).groupBy("scene").agg(F.max("_year").alias("_newest"))
+    dated = cut(stored.join(newest, "scene"))
+    return join_footprints(items, dated, by_cell=by_cell).where(F.year(ts) == F.col("_newest")).drop("_newest")
+
+
+def number_layers(layers: DataFrame, order: str = "priority", tie: str = "layer") -> DataFrame:
+    """Adds ``_place``, a layer's place in its scene by ``order`` and ``tie``, to a table with one row per layer.
+
+    Cells made of it that keep the column are put together by :func:`mosaic` and :func:`mosaic_images` without a join. A layer
+    without ``order`` or ``tie`` gets no place and is never chosen.
+    """
+    known = F.col(order).isNotNull() & F.col(tie).isNotNull()
+    return layers.withColumn(PLACE, F.when(known, F.dense_rank().over(Window.partitionBy("scene").orderBy(order, tie))))
+
+
 def mosaic(layers: DataFrame, order: str = "priority", tie: str = "layer") -> DataFrame:
     """Per cell the first non-missing value in ``order`` (ties: smallest ``tie``).
 
     The layers' places in that order are numbered first (one stored row per layer of a scene), so that
     the choice is a hash aggregate of two numbers. Cells missing in every layer stay NULL. For a
-    newest-first mosaic pass a descending key (for example the negated end time).
+    newest-first mosaic pass a descending key (for example the negated end time). Cells that bring
+    the places of :func:`number_layers` are neither listed nor joined.
     """
+    code = F.when(finite("v").isNotNull(), F.col(PLACE))
+    if PLACE in layers.columns:
+        return layers.groupBy(*KEY).agg(F.min_by("v", code).alias("v"), F.min_by(tie, code).alias("layer_used"))
     places = layer_places(layers, order, tie)
-    code = F.when(finite("v").isNotNull(), F.col("_place"))
     x = attach(layers.select(*KEY, "v", order, tie), places, ["scene", order, tie], how="left")
     best = x.groupBy(*KEY).agg(F.min_by("v", code).alias("v"), F.min(code).alias("_place"))
     names = places.select("scene", "_place", F.col(tie).alias("layer_used"))
@@ -157,13 +188,18 @@ def mosaic_images(layers: DataFrame, min_coverage: float = 0.999) -> tuple[DataF
     """First image with any non-zero band wins each cell.
 
     ``layers``: scene, row, col, item, priority, r, g, b. Returns the cells of scenes that are
-    covered enough and a per-scene report with the covered share and the ids actually used.
+    covered enough and a per-scene report with the covered share and the ids actually used. Cells that bring the
+    places of :func:`number_layers` are not joined with them, and their mosaic is stored for both results.
     """
     lit = (F.col("r") != 0) | (F.col("g") != 0) | (F.col("b") != 0)
-    places = layer_places(layers, "priority", "item")
-    code = F.when(lit, F.col("_place"))
-    x = attach(layers, places, ["scene", "priority", "item"], how="left")
-    cells = x.groupBy(*KEY).agg(F.min(code).alias("_place"), *[F.min_by(c, code).alias(c) for c in "rgb"])
+    code = F.when(lit, F.col(PLACE))
+    best = [F.min(code).alias(PLACE), *[F.min_by(c, code).alias(c) for c in "rgb"]]
+    if PLACE in layers.columns:
+        cells = cut(layers.groupBy(*KEY).agg(*best, F.min_by("item", code).alias("item")))
+        places = cells.where(F.col(PLACE).isNotNull()).select("scene", PLACE, "item").distinct()
+    else:
+        places = layer_places(layers, "priority", "item")
+        cells = attach(layers, places, ["scene", "priority", "item"], how="left").groupBy(*KEY).agg(*best)
     share = cells.groupBy("scene").agg(F.avg(F.col("_place").isNotNull().cast("double")).alias("coverage"))
     used = (
         cells.where(F.col("_place").isNotNull()).select("scene", "_place").distinct().join(places, ["scene", "_place"]).groupBy("scene")

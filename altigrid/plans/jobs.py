@@ -151,13 +151,21 @@ def build_site(
     ``items`` and ``sites`` carry degree boxes; ``items`` also ``item, ts``; ``sites`` also
     ``scene, h, w``. The three callables turn matched items into cells on the site grid: images to
     scene, row, col, item, priority, r, g, b; heights to scene, row, col, layer, priority, v.
+
+    Sites with one box and grid size are one place: it is built once, under its smallest ``scene``, and its tiles
+    are given to all of them. Matched items have ``_place``, their number in their scene by ``item``; cells
+    that keep it are taken in that order and meet no join before their mosaic is made.
     """
-    matched = joins.join_footprints(items, sites)
-    newest = cut(joins.latest_year(matched, ["scene"]).select("scene", "item", "ts"))
+    box = ["west", "south", "east", "north", "h", "w"]
+    places = cut(sites.groupBy(*box).agg(F.min("scene").alias("scene")))
+    matched = joins.newest_footprints(items, places).select("scene", "item", "ts")
+    newest = cut(joins.number_layers(matched, "item", "item"))
     image, report = joins.mosaic_images(image_cells(newest), min_coverage)
     surface = joins.mosaic(surface_cells(newest)).select(*KEY, "v")
     ground = joins.mosaic(ground_cells(newest)).select(*KEY, F.col("v").alias("dtm"))
     accepted = report.where("accepted").select("scene")
     on_site = meet(meet(image.select(*KEY), surface, how="left"), ground, how="left")
-    extent = sites.select("scene", "h", "w").join(accepted, "scene", "left_semi")
-    return tiling.cut_tiles(on_site, tile_px, min_valid, extent)
+    extent = places.select("scene", "h", "w").join(accepted, "scene", "left_semi")
+    tiles = tiling.cut_tiles(on_site, tile_px, min_valid, extent).withColumnRenamed("scene", "_first")
+    members = sites.select("scene", *box).distinct().join(places.withColumnRenamed("scene", "_first"), box).select("scene", "_first")
+    return members.join(tiles, "_first").drop("_first")

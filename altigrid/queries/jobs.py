@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from altigrid.operators import evaluation as ev
+from altigrid.operators import joins
 from altigrid.plans import jobs
 from altigrid.queries import fixtures as fx
 from altigrid.queries.calibration import HIGH
@@ -156,16 +157,16 @@ def v4(spark, d):
     sites = site_boxes(spark, d).withColumnRenamed("site", "scene").withColumn("h", F.lit(24)).withColumn("w", F.lit(24))
 
     def cells(matched):
-        return grid_frame(matched.select("scene", "item", F.lit(24).alias("h"), F.lit(24).alias("w")))
+        return grid_frame(matched.select("scene", "item", joins.PLACE, F.lit(24).alias("h"), F.lit(24).alias("w")))
 
     def image(matched):
         lit = (F.col("row") >= F.col("item") * 3 % 8) & (F.col("item") % 4 != 0)
         level = F.when(lit, 100).otherwise(0)
-        return cells(matched).select(*KEY, "item", F.col("item").alias("priority"), level.alias("r"), level.alias("g"), F.lit(0).alias("b"))
+        return cells(matched).select(*KEY, joins.PLACE, "item", F.col("item").alias("priority"), level.alias("r"), level.alias("g"), F.lit(0).alias("b"))
 
     def heights(matched):
         v = F.when((F.col("row") + F.col("col") + F.col("item")) % 6 != 0, F.col("item") * 1.0 + F.col("row"))
-        return cells(matched).select(*KEY, F.col("item").alias("layer"), F.col("item").alias("priority"), v.alias("v"))
+        return cells(matched).select(*KEY, joins.PLACE, F.col("item").alias("layer"), F.col("item").alias("priority"), v.alias("v"))
 
     return r6(jobs.build_site(catalogue(spark, d), sites, image, heights, heights, 8, 0.84, 0.7), ["valid_frac"])
 

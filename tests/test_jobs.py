@@ -98,3 +98,63 @@ def test_control_points_find_their_pixels(spark):
     for points in (world.select("scene", "point", "x", "y"), degrees):
         got = {(r.scene, r.point): (r.row_f, r.col_f) for r in geo.place_points(points, scenes).collect()}
         assert got.keys() == want.keys() and all(abs(a - b) < 1e-4 for k in want for a, b in zip(got[k], want[k]))
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_build_site_builds_a_place_once(spark, monkeypatch, few):
+    """Sites of one box share their cells; every site gets the tiles, by the items of the newest year that meets it."""
+    import datetime
+
+    from altigrid.operators import joins
+    from altigrid.operators.resample import grid_frame
+
+    monkeypatch.setattr(joins, "FEW_SITES", few)  # few sites may be broadcast, many are merged
+
+    boxes = [(0.2, 0.2, 1.4, 0.9), (10.0, -5.5, 11.0, -4.5), (40.0, 40.0, 41.0, 41.0)]
+    sites = spark.createDataFrame([(i, *boxes[i % 3], 8, 8) for i in range(31)] + [(5, *boxes[2], 8, 8), (99, None, None, None, None, 8, 8)], "scene bigint, west double, south double, east double, north double, h int, w int")
+    at = [(0.0, 0.0, 0.5, 0.5), (10.5, -5.0, 12.0, -4.0)]
+    items = [(i, datetime.datetime(2000 + i % 4, 5, 1) if i else None, *at[i // 4 % 2]) for i in range(16)]
+    seen = []
+
+    def cells(matched):
+        return grid_frame(matched.withColumn("h", F.lit(8)).withColumn("w", F.lit(8)))
+
+    def image(matched):
+        seen.append(sorted((r.scene, r.item) for r in matched.collect()))
+        return cells(matched).select("scene", "row", "col", "_place", "item", F.col("item").alias("priority"), F.lit(1).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+
+    def heights(matched):
+        v = F.when((F.col("row") < 4) | (F.col("item") % 8 > 4), F.col("item") * 1.0)
+        return cells(matched).select("scene", "row", "col", "_place", F.col("item").alias("layer"), F.col("item").alias("priority"), v.alias("v"))
+
+    items = spark.createDataFrame(items, "item bigint, ts timestamp, west double, south double, east double, north double")
+    got = sorted(tuple(r) for r in jobs.build_site(items, sites, image, heights, heights, 4, 0.5).select("scene", "r", "c", "valid_frac").collect())
+    assert seen == [[(0, 3), (0, 11), (1, 7), (1, 15)]]
+    assert got == sorted((s, r, c, 1.0) for s in range(31) for r in range(2) for c in range(2) if s % 3 == 1 or s % 3 == 0 and r == 0)
+
+
+def test_mosaics_of_numbered_layers_need_no_join(spark):
+    """Layers numbered while they had a row each give the same mosaics; their cells are neither joined nor shuffled again."""
+    from altigrid.operators import joins
+    from altigrid.operators.resample import grid_frame
+
+    k = F.col("id")
+    layers = spark.range(60).select((k % 4).alias("scene"), k.cast("string").alias("item"), F.when(k % 7 != 3, k * 5 % 6).alias("priority"), F.lit(5).alias("h"), F.lit(6).alias("w"))
+    code = F.hash("scene", "item", "row", "col")
+
+    def cells(dims):
+        kept = [c for c in dims.columns if c == "_place"]
+        return grid_frame(dims).select("scene", "row", "col", *kept, "item", "priority", F.when(code % 3 == 0, code * 1.0).alias("v"), *[F.when(code % 5 == i, code % 90).otherwise(0).alias(c) for i, c in enumerate("rgb")])
+
+    def rows(df):
+        return sorted(map(repr, df.select(*sorted(df.columns)).collect()))
+
+    plain, placed = cells(layers), cells(joins.number_layers(layers, "priority", "item"))
+    assert rows(joins.mosaic(plain, tie="item")) == rows(joins.mosaic(placed, tie="item"))
+    for a, b in zip(joins.mosaic_images(plain, 0.5), joins.mosaic_images(placed, 0.5), strict=True):
+        assert rows(a) == rows(b) != []
+    best = joins.mosaic(placed.withColumn("item", F.col("item").cast("int")), tie="item")
+    text = best._sc._jvm.PythonSQLUtils.explainString(best._jdf.queryExecution(), "simple")
+    final = text.split("== Initial Plan ==")[0]
+    assert "Join" not in final and "SortAggregate" not in final and "hashpartitioning(scene#" in final and "row#" in final.split("hashpartitioning(")[1].split(")")[0]
+    assert not any("col#" in p.split(")")[0] for p in final.split("hashpartitioning(")[1:])
